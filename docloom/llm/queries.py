@@ -16,6 +16,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.ngram_join import ngram_components
+
+    return ngram_components(documents(spark, sf_dir), 3, 9, 10)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.token_files import token_files
 
@@ -35,7 +41,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_files, op6_mix_sources, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op6_mix_sources, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
