@@ -9,6 +9,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 #: A random 64-bit value for every byte, so that the rolling sum does not depend on small byte values.
 BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+BYTE_2 = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -35,11 +36,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[size]
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any span follows; data: uint8."""
+def prefix(data: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+    """Prefix sums from which the hash of any span follows; data: uint8. Another table: an independent hash."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * up[: len(data)], out=out[1:])
+    np.cumsum(table[data] * up[: len(data)], out=out[1:])
     return out
 
 

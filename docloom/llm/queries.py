@@ -6,6 +6,7 @@ Paths of tokenizer files are parameters; the defaults come from the installed `p
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm.common import documents
 
@@ -28,6 +29,24 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), "byte_level", 2)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.quality import judge
+
+    return judge(documents(spark, sf_dir))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.warc import archive
+
+    return archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.mixing import plan_mix
 
@@ -40,8 +59,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), "words", 1, 4096)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), 400).drop("t", "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op6_mix_sources, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_exact_top_k, op4_quality_rules, op5_warc, op6_mix_sources, op8_best_fit_packing, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
