@@ -36,12 +36,12 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "100 * n_symbols > 10 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
     ("short_words", "2 * word_chars < 5 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),
     ("shouting", "100 * n_capital_words > 40 * n_words"),
     ("few_letters", "100 * n_letters < 60 * word_chars"),
-    ("repeated_line_text", "100 * dup_line_chars > 30 * word_chars"),
+    ("repeated_line_text", "100 * dup_line_chars > 60 * word_chars"),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_words"]

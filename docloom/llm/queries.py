@@ -53,12 +53,24 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.langid import identify
+
+    return identify(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.packing import pack
 
     return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), "words", 1, 4096)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.suffix_dedup import remove_repeats
 
@@ -66,7 +78,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_exact_top_k, op4_quality_rules, op5_warc, op6_mix_sources, op8_best_fit_packing, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_exact_top_k, op4_quality_rules, op5_warc, op6_mix_sources, op7_language_id, op8_best_fit_packing, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
