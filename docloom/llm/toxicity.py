@@ -6,9 +6,9 @@ marginal. Offsets of tokens with a marginal of at least `SPAN` are reported, and
 from its marginals by a logistic function fitted on the learning documents.
 
 Labelled tokens are needed, but documents are labelled: a token of a toxic document is labelled toxic if it
-has one of the word beginnings that explain the toxic documents. These are chosen greedily by the number of
-toxic documents they newly explain, among those that clean documents hardly have; so the words of one toxic
-text that has many copies do not get in once what is common to toxic texts is in.
+has one of the words or word beginnings that several toxic documents have and clean documents hardly have.
+Near copies among the toxic documents count as one there, so that the other words of a toxic text with many
+copies do not get in.
 
 Learning takes up to `FIT_TOXIC` toxic and `FIT_CLEAN` other labelled documents, those with the least hash of
 their id, on the driver; the bound holds at any size. Everything else runs over all documents.
@@ -139,33 +139,37 @@ def aggregate(of: np.ndarray, marginal: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log(most / (1 - most)), np.log1p(total)], 1)
 
 
+def alike(docs: list[np.ndarray], sketch: int = 32) -> np.ndarray:
+    """A group number for each document: documents that share half of their least hashed keys count as one."""
+    group, leaders = np.arange(len(docs)), defaultdict(list)
+    for i, keys in enumerate(docs):
+        own = np.sort(hashing.mix(keys))[:sketch].tolist()
+        votes = Counter(j for k in own for j in leaders[k])
+        best, n = max(votes.items(), key=lambda x: (x[1], -x[0]), default=(i, 0))
+        if n >= max(1, len(own) // 2):
+            group[i] = best
+        else:
+            for k in own:
+                leaders[k].append(i)
+    return group
+
+
 def explain(docs: list[np.ndarray], toxic: np.ndarray) -> set[int]:
-    """Feature keys that explain the toxic documents, greedily. docs: the distinct keys of each document."""
+    """Feature keys that mark toxic documents. docs: the distinct keys of each document.
+
+    Near copies among the toxic documents count as one, so the other words of a text with copies don't get in.
+    """
     n1, n0 = Counter(), Counter()
-    for keys, x in zip(docs, toxic):
-        (n1 if x else n0).update(keys.tolist())
-    odds = max(1, (~toxic).sum()) / max(1, toxic.sum())
-    good = {k for k, n in n1.items() if n >= 3 and n0[k] <= 0.02 * n * odds}
-    where = defaultdict(set)
-    for i in np.flatnonzero(toxic):
-        for k in docs[i].tolist():
-            if k in good:
-                where[k].add(i)
-    chosen: set[int] = set()
-    least = max(3, 0.004 * toxic.sum())
-    order = sorted(where, key=lambda k: (-len(where[k]), k))
-    left = {i for i in np.flatnonzero(toxic)}
-    while order:
-        k = max(order, key=lambda k: (len(where[k]), -n0[k], k))
-        if len(where[k]) < least:
-            break
-        chosen.add(k)
-        gone = where[k] & left
-        left -= gone
-        for x in {y for i in gone for y in docs[i].tolist() if y in where}:
-            where[x] -= gone
-        order = [x for x in order if len(where[x]) >= least]
-    return chosen
+    own = [docs[i] for i in np.flatnonzero(toxic)]
+    group = alike(own)
+    for keys in (np.unique(np.concatenate([own[j] for j in np.flatnonzero(group == g)])) for g in np.unique(group)):
+        n1.update(keys.tolist())
+    for i in np.flatnonzero(~toxic):
+        n0.update(docs[i].tolist())
+    # as many in clean documents as labels may be wrong, at the sample's odds
+    odds = max(1.0, (~toxic).sum() / max(1, toxic.sum()))
+    least = max(4, 0.002 * len(np.unique(group)))
+    return {k for k, n in n1.items() if n >= least and n0[k] <= 0.05 * n * odds}
 
 
 def learn(texts: list[bytes], toxic: np.ndarray, rounds: int = 30) -> Model:
