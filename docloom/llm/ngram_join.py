@@ -240,6 +240,18 @@ def ngram_components(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10, text:
     return out
 
 
+def keep_first(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10) -> DataFrame:
+    """The documents, with all their columns, less all but one (the least doc_id) of each component.
+
+    Rows that repeat a kept document's id are copies of it and go too, unless their text differs.
+    """
+    found = ngram_components(docs, k, p, q)
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    few = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return left.dropDuplicates(["doc_id", "text"]) if _repeated(found) else left
+
+
 def _repeated(made: DataFrame) -> bool:
     """Whether any doc_id comes twice: then a class's text is fetched once all the same."""
     return made.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0

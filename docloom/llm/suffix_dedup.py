@@ -279,7 +279,9 @@ def repeated_spans(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 
 def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, t (hash of the text), n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null where all or nothing went). Stored."""
+    """docs(doc_id, text) -> doc_id, t (hash of the text), n_bytes, n_removed, n_spans, kept_sha256, kept (the
+    text left, without characters that lost a byte; null where all or nothing went). Stored.
+    """
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t"), "text")
     marked, spans = repeated_spans(docs, width)
@@ -296,12 +298,12 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                 gone = np.cumsum(step[:-1]) > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                for to, x in zip(out, (doc_id, t, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept)):
+                for to, x in zip(out, (doc_id, t, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))):
                     to.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "t", "removed", "runs", "sha", "kept"])
 
-    done = _with_text(docs, spans, "spans").mapInArrow(cut, "doc_id long, t long, removed long, runs long, sha string, kept binary")
+    done = _with_text(docs, spans, "spans").mapInArrow(cut, "doc_id long, t long, removed long, runs long, sha string, kept string")
     joined = marked.join(done, ["doc_id", "t"], "left")
     count = lambda whole, part: F.when(F.col("copy"), whole).otherwise(F.coalesce(part, F.lit(0))).cast("long")
     out = store(
@@ -316,3 +318,20 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     )
     drop(marked, spans)
     return out
+
+
+def strip_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
+    """The documents, with all their columns, without repeated strings; n_chars follows where there is one.
+
+    A character that loses a byte goes as a whole. Documents that keep no word, and had one, go.
+    """
+    done = remove_repeats(docs, width).where("n_removed > 0")
+    rest = done.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.lit(True).alias("_cut"), F.coalesce("kept", F.lit("")).alias("_text"))
+    rest = rest.dropDuplicates(["_id", "_t"])
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_t"))
+    text = F.when(F.col("_cut"), F.col("_text")).otherwise(F.col("text"))
+    joined = docs.join(rest, on, "left")
+    joined = joined.where("_cut IS NULL OR _text RLIKE '[^ \\\\t-\\\\r]'").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return joined.select(*docs.columns)

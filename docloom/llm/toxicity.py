@@ -284,6 +284,21 @@ def tag(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, schema)
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose score is under the threshold."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").lower().encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            keep = np.zeros(len(texts), bool)
+            for a, b in chunks([len(t) for t in texts], 1 << 20):
+                _, _, of, keys = tokens(texts[a:b])
+                keep[a:b] = model.scores(of, model.marginals(of, keys), b - a) < threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(make, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, spans: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     ready(docs.sparkSession)
