@@ -33,8 +33,9 @@ from docloom.llm import hashing
 from docloom.llm.common import chunks, ready
 from docloom.llm.langid import held_out
 
-FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 3_000, 5_000, 48 << 20
+FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 800, 2_400, 7 << 20
 CHAIN, SPAN = 64, 0.5
+CHANCE = 1e-5
 #: Lengths in bytes of the word beginnings that serve as features, besides the whole word.
 STEMS = (4, 5, 6, 7, 8)
 U = np.uint64
@@ -154,22 +155,24 @@ def alike(docs: list[np.ndarray], sketch: int = 32) -> np.ndarray:
     return group
 
 
-def explain(docs: list[np.ndarray], toxic: np.ndarray) -> set[int]:
+def explain(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Feature keys that mark toxic documents. docs: the distinct keys of each document.
 
     Near copies among the toxic documents count as one, so the other words of a text with copies don't get in.
     """
-    n1, n0 = Counter(), Counter()
     own = [docs[i] for i in np.flatnonzero(toxic)]
     group = alike(own)
-    for keys in (np.unique(np.concatenate([own[j] for j in np.flatnonzero(group == g)])) for g in np.unique(group)):
-        n1.update(keys.tolist())
+    each = [np.unique(np.concatenate([own[j] for j in np.flatnonzero(group == g)])) for g in np.unique(group)]
+    keys, n1 = np.unique(np.concatenate(each), return_counts=True)
+    # so many that chance alone, at the sample's share of toxic texts, would not bring them all
+    least = max(4, 0.002 * len(each), np.log(CHANCE) / np.log(max(1e-9, toxic.mean())))
+    keys, n1 = keys[n1 >= least], n1[n1 >= least]
+    n0 = np.zeros(len(keys))
     for i in np.flatnonzero(~toxic):
-        n0.update(docs[i].tolist())
+        n0 += np.isin(keys, docs[i], assume_unique=True)
     # as many in clean documents as labels may be wrong, at the sample's odds
     odds = max(1.0, (~toxic).sum() / max(1, toxic.sum()))
-    least = max(4, 0.002 * len(np.unique(group)))
-    return {k for k, n in n1.items() if n >= least and n0[k] <= 0.05 * n * odds}
+    return keys[n0 <= 0.05 * n1 * odds]
 
 
 def learn(texts: list[bytes], toxic: np.ndarray, rounds: int = 30) -> Model:
@@ -181,25 +184,29 @@ def learn(texts: list[bytes], toxic: np.ndarray, rounds: int = 30) -> Model:
     parts = [(a, b, *tokens(texts[a:b])) for a, b in chunks([len(t) for t in texts])]
     of = np.concatenate([p[4] + p[0] for p in parts])
     keys = np.concatenate([p[5] for p in parts])
+    parts = [p[:2] for p in parts]
     edge = np.searchsorted(of, np.arange(len(texts) + 1))
     docs = [np.setdiff1d(np.unique(keys[a:b]), [U(0)]) for a, b in zip(edge[:-1], edge[1:])]
-    stems = np.array(sorted(explain(docs, toxic)), np.uint64)
+    stems = explain(docs, toxic)
+    del docs
     label = np.isin(keys, stems).any(1) & toxic[of]
     place = chains(of)
     chain = place // CHAIN
     has = np.bincount(chain, weights=label) > 0
     # all chains with a toxic token, and as many others as keep the sum bounded
     other = np.flatnonzero(~has)
-    other = other[np.argsort(hashing.mix(other.astype(np.uint64)))][: max(4000, 3 * int(has.sum()))]
+    other = other[np.argsort(hashing.mix(other.astype(np.uint64)))][: max(2000, 2 * int(has.sum()))]
     use = np.zeros(len(has), bool)
     use[np.flatnonzero(has)], use[other] = True, True
     keep = use[chain]
     number = np.cumsum(use) - 1
     place, keys_, label = number[chain[keep]] * CHAIN + place[keep] % CHAIN, keys[keep], label[keep].astype(float)
+    del keys, of, chain
     known, times = np.unique(keys_[keys_ != 0], return_counts=True)
     known = known[times >= 2]
-    at = np.searchsorted(known, keys_)
+    at = np.searchsorted(known, keys_).astype(np.int32)
     valid = (at < len(known)) & (known[np.minimum(at, max(0, len(known) - 1))] == keys_)
+    del keys_
     n = int(use.sum())
     length = np.bincount(place // CHAIN, minlength=n)
     gold = np.zeros(n * CHAIN)
@@ -208,7 +215,7 @@ def learn(texts: list[bytes], toxic: np.ndarray, rounds: int = 30) -> Model:
     live = np.arange(1, CHAIN)[None, :] < length[:, None]
     wanted = np.array([[((g[:, :-1] == i) & (g[:, 1:] == j) & live).sum() for j in (0, 1)] for i in (0, 1)], float)
     w, trans, bias = np.zeros(len(known) + 1), np.zeros((2, 2)), -4.0
-    at = np.where(valid, at, len(known))
+    at = np.where(valid, at, np.int32(len(known)))
     sums = [np.full_like(w, 1e-3), np.full((2, 2), 1e-3), 1e-3]
     for _ in range(rounds):  # full-batch AdaGrad on the log likelihood with an L2 penalty
         w[-1] = 0
@@ -216,7 +223,7 @@ def learn(texts: list[bytes], toxic: np.ndarray, rounds: int = 30) -> Model:
         unary[place] = w[at].sum(1) + bias
         marginal, pairs = forward_backward(unary.reshape(n, CHAIN), trans, length)
         miss = label - marginal.ravel()[place]
-        grad = [np.bincount(at.ravel(), weights=np.repeat(miss, at.shape[1]), minlength=len(w)) - 0.02 * w, wanted - pairs - 0.02 * trans, miss.sum()]
+        grad = [sum(np.bincount(column, weights=miss, minlength=len(w)) for column in at.T) - 0.02 * w, wanted - pairs - 0.02 * trans, miss.sum()]
         sums = [s + x * x for s, x in zip(sums, grad)]
         step = [0.7 * x / np.sqrt(s) for x, s in zip(grad, sums)]
         w, trans, bias = w + step[0], trans + step[1], bias + float(step[2])
@@ -224,7 +231,12 @@ def learn(texts: list[bytes], toxic: np.ndarray, rounds: int = 30) -> Model:
     seen = np.zeros(1 << 20, bool)
     seen[known[heavy] & U(len(seen) - 1)] = True
     model = Model(known[heavy], w[heavy], bias, trans, np.zeros(3), seen)
-    x = np.concatenate([aggregate(p[4], model.marginals(p[4], p[5]), p[1] - p[0]) for p in parts])
+    del at, valid, place, gold, g, live
+    made = []
+    for a, b in parts:
+        _, _, of, keys = tokens(texts[a:b])
+        made.append(aggregate(of, model.marginals(of, keys), b - a))
+    x = np.concatenate(made)
     model.link = _logistic(x, toxic.astype(float))
     return model
 
