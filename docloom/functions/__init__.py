@@ -1,0 +1 @@
+"""Column expressions, and the plain Python that Arrow batches run."""

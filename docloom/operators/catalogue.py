@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
+MODULES = ("text_queries", "table_queries", "plan_queries", "diff_queries", "more_queries")
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
@@ -22,9 +24,16 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"docloom.operators.{name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)

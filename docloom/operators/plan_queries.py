@@ -72,9 +72,9 @@ t AS (SELECT *, 0.06::DOUBLE * least(base, 14e6) + 0.15::DOUBLE * greatest(0, le
 x AS (SELECT *, greatest(0::DOUBLE, tax - least(CASE WHEN tax <= 1300000 THEN tax * 0.55::DOUBLE ELSE 715000 + (tax - 1300000) * 0.3::DOUBLE END, CASE WHEN g <= 33000000 THEN 740000::DOUBLE WHEN g <= 70000000 THEN greatest(660000::DOUBLE, 740000 - (g - 33000000) * 0.008::DOUBLE) ELSE greatest(500000::DOUBLE, 660000 - (g - 70000000) * 0.005::DOUBLE) END) - CASE kids WHEN 0 THEN 0::DOUBLE WHEN 1 THEN 250000 WHEN 2 THEN 550000 ELSE 550000 + (kids - 2) * 400000 END) / 12 AS it FROM t)"""
 
 
-@query("income_tax", _pay_sql + " SELECT c_custkey, round(it, 2) AS tax FROM x")
+@query("income_tax", _pay_sql + " SELECT c_custkey, round(it, 0) AS tax FROM x")
 def income_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pay(spark, sf_dir).select("c_custkey", F.round(P.monthly_income_tax(F.col("m"), F.col("dep"), F.col("kids")), 2).alias("tax"))
+    return _pay(spark, sf_dir).select("c_custkey", F.round(P.monthly_income_tax(F.col("m"), F.col("dep"), F.col("kids")), 0).alias("tax"))
 
 
 @query("net_pay", _pay_sql + """, y AS (SELECT c_custkey, m, floor(pb * 0.0475::DOUBLE / 10) * 10 AS pension, floor(m * 0.03595::DOUBLE / 10) * 10 AS health, floor(m * 0.009::DOUBLE / 10) * 10 AS employment, floor(it / 10) * 10 AS income_tax FROM x),

@@ -1,0 +1,4 @@
+"""Streams: the text, table and planning expressions are plain Columns and apply to streaming DataFrames too.
+
+No operator of this library needs event-time state, so there is nothing else here.
+"""
