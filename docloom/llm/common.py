@@ -6,6 +6,7 @@ and all executors see, so a lost executor costs a re-read and never the job.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,13 +55,20 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/docloom/{tag}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: what follows starts from files."""
+def store(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: what follows starts from files.
+
+    free: lets Spark's cleaner, which waits for the driver's garbage collection, delete shuffle files that
+    the table has made needless; for steps that shuffle about as much as the input.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docloom_path = path
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
     return out
 
 

@@ -3,23 +3,29 @@
 1. Equal sets become one class (128-bit set fingerprint and size), so copies are never compared.
 2. The matrix of tokens and groups is addressed through slices: the token space is cut into more slices
    than two linked sets of a size band can differ in, so linked sets agree on some whole slice. A slice that
-   only one class has is dropped; classes that meet in a slice are put into the same group of similar sets.
-   Common passages do not matter here, as a slice holds a set's tokens from all over the text.
-3. Groups are cut into blocks of bounded size, and each block stores its members and its token union.
-4. For every two blocks that meet in a slice, each member's overlap with the other block's union bounds
-   its similarity to all that block's members. Only members that reach the threshold are opened and
-   compared exactly, by one matrix product; spanning links leave the task, not all pairs.
+   only one class has is dropped; classes that meet in slices, directly or through others, are one group of
+   similar sets. Common passages do not matter here, as a slice holds a set's tokens from all over the text.
+3. Groups are cut into blocks of bounded size. A block stores its token union once and its members as
+   positions in the union, compressed: little for similar sets.
+4. For every two blocks of a group, each member's overlap with the other block's union bounds its
+   similarity to all that block's members. Only members that reach the threshold are opened and compared
+   exactly, by one matrix product; spanning links leave the task, not all pairs.
 5. Connected components of the links, and of the copies, are the result.
 
+Below 0.9, where slices are many, only documents that can have a link at all get slices: those of whose
+tokens under a fixed hash bound so many occur elsewhere as a link needs (see `can_link`).
+
 No filter loses a link: 2 is a pigeonhole argument (see `slices`), 4 is |Q & D| <= |Q & union|.
 
 Nulls and edge cases: a text that is null or has no words has no shingles and is its own component;
-a text shorter than a shingle is one shingle; repeated rows are copies. An empty table gives no rows.
+a text shorter than a shingle is one shingle; repeated rows are copies; rows without a doc_id
+link only with equal sets below 0.9. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import hashing
-from docloom.llm.common import binary_list, chunks, drop, list_array, partitions_of, ready, store
+from docloom.llm.common import binary_list, chunks, drop, list_array, ready, store
 from docloom.llm.components import components
 
 #: Members and tokens of a block; a single larger set is a block of its own.
-BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 15
+BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 18
 #: Up to so many documents are fetched by broadcasting their ids; more by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: The share of the token space over which `can_link` counts, above the share in which linked sets may differ.
+PROBE_MARGIN = 0.07
 U = np.uint64
 
 
@@ -48,15 +56,17 @@ def bands(p: int, q: int) -> tuple[tuple[int, int, int, int, int], ...]:
     """
     out, low = [], 1
     while low < 1 << 40:
-        top = max(low, math.ceil(low * 1.5) - 1)
+        top = max(low, math.ceil(low * 1.2) - 1)
         differ = 2 * top * (q - p) // (q + p)
-        strong = 1 if low < 60 else 3
-        extra = 2
-        for _ in range(8):
-            mean = 0.95 * low / (differ + 1 + extra)
-            weak = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(strong))
-            extra = math.ceil(1.5 * (differ + 1 + extra) * weak) + 2
-            if extra > differ + 20:
+        strong, extra = 1, 1
+        for least in (5, 4, 3, 2, 1):  # slices as telling as the number of weak ones allows
+            more = 1
+            for _ in range(12):
+                mean = 0.95 * low / (differ + 1 + more)
+                few = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(least))
+                more = math.ceil(1.2 * (differ + 1 + more) * few + 1)
+            if more <= max(2, 0.25 * differ) or least == 1:
+                strong, extra = least, min(more, max(2, differ))
                 break
         out.append((low, top, differ + 1 + extra if differ else 0, extra, strong))
         low = top + 1
@@ -90,8 +100,12 @@ def slices(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.concatenate(made) if made else np.zeros(0, np.uint64)
 
 
-def fingerprints(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n, k1, k2 (the set's fingerprint), slices."""
+def fingerprints(docs: DataFrame, k: int, p: int, q: int, probe: float = 0.0, with_slices: bool = True) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n, k1, k2 (the set's fingerprint), slices, and on request probes and need.
+
+    probes: the tokens under `probe` of the hash space; need: how many of them a linked set must have too.
+    """
+    bound = U(int(probe * 2**64)) if probe < 1 else U(2**64 - 1)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,12 +115,35 @@ def fingerprints(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
                 end = np.cumsum(n)
                 start = end - n
                 one, two = (np.concatenate(([U(0)], np.cumsum(hashing.mix(tokens ^ U(s)), dtype=np.uint64))) for s in (11, 29))
-                own = [slices(tokens[i:j], p, q) for i, j in zip(start, end)]
-                lists = list_array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64), np.array([len(x) for x in own]))
                 keys = [hashing.mix(x[end] - x[start]).view(np.int64) for x in (one, two)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), lists], ["doc_id", "n", "k1", "k2", "slices"])
+                out = [batch.column(0).slice(a, b - a), pa.array(n), pa.array(keys[0]), pa.array(keys[1])]
+                if with_slices:
+                    out.append(_lists([slices(tokens[i:j], p, q) for i, j in zip(start, end)]))
+                if probe:
+                    own = [tokens[i:j][: np.searchsorted(tokens[i:j], bound)] for i, j in zip(start, end)]
+                    out += [_lists(own), pa.array(np.array([len(x) for x in own]) - (n - -(-n * p // q)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    schema = "doc_id long, n long, k1 long, k2 long" + ", slices array<long>" * with_slices + ", probes array<long>, need long" * bool(probe)
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, schema)
+
+
+def _lists(own: list[np.ndarray]) -> pa.ListArray:
+    return list_array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64), np.array([len(x) for x in own], np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n long, k1 long, k2 long, slices array<long>")
+
+def can_link(made: DataFrame) -> DataFrame:
+    """doc_id of the documents that may have a link: enough of their probes occur in another row too.
+
+    A set linked with A lacks at most n - t n of A's tokens, so it has all but as many of A's probes, and
+    probes are chosen by their hash alone, the same for all sets. A need of zero or less passes.
+    """
+    rows = made.where("need > 0").select("k1", F.explode("probes").alias("x"))
+    shared = rows.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
+    enough = rows.join(shared, "x").groupBy("k1").agg(F.count("*").alias("have"))
+    found = made.where("n > 0").join(enough, "k1", "left").where("need <= 0 OR have >= need").select("doc_id").distinct()
+    return store(found, "can-link", free=True)
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -125,60 +162,96 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, members) -> block, ids, sizes, tokens of all members, and their union."""
+    """(block, members) -> block, ids, sizes, all_tokens (the union, ascending), at (members as positions in it)."""
     for batch in batches:
-        for block, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data = b"".join(m["tokens"] for m in members)
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            members = row["members"]
+            union, at = np.unique(np.frombuffer(b"".join(m["tokens"] for m in members), np.uint64), return_inverse=True)
             yield pa.RecordBatch.from_pydict({
-                "block": pa.array([block], pa.int64()),
+                "block": pa.array([row["block"]], pa.int64()),
                 "ids": pa.array([[m["doc_id"] for m in members]], pa.list_(pa.int64())),
                 "sizes": pa.array([[len(m["tokens"]) // 8 for m in members]], pa.list_(pa.int32())),
-                "tokens": pa.array([data], pa.binary()),
-                "all_tokens": pa.array([np.unique(np.frombuffer(data, np.uint64)).tobytes()], pa.binary()),
+                "all_tokens": pa.array([union.tobytes()], pa.binary()),
+                "at": pa.array([_pack(at)], pa.binary()),
             })
 
 
-def open_groups(one: tuple, two: tuple | None, p: int, q: int) -> list[tuple[int, int]]:
-    """Spanning links between the members of two blocks (two None: within one).
-
-    A block: ids, sizes, tokens of the members one after another, union.
-    """
-    blocks = [one] if two is None else [one, two]
-    opened = []
-    for b, (ids, sizes, tokens, _) in enumerate(blocks):
-        other = blocks[-1 - b]
-        of = np.repeat(np.arange(len(ids)), sizes)
-        known = np.searchsorted(other[3], tokens)
-        known = (known < len(other[3])) & (other[3][np.minimum(known, len(other[3]) - 1)] == tokens)
-        bound = np.bincount(of, weights=known, minlength=len(ids)).astype(np.int64)
-        close = np.array([((other[1] * q >= n * p) & (n * q >= other[1] * p)).any() for n in sizes])
-        opens = (bound * q >= p * sizes) & close
-        keep = opens[of]
-        opened.append((ids[opens], sizes[opens], tokens[keep], np.repeat(np.arange(opens.sum()), sizes[opens])))
-    if any(not len(x[0]) for x in opened):
-        return []
-    ids, sizes = (np.concatenate([x[i] for x in opened]) for i in (0, 1))
-    tokens = np.concatenate([x[2] for x in opened])
-    of = np.concatenate([opened[0][3], *[x[3] + len(opened[0][0]) for x in opened[1:]]])
-    values, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
-    shared = np.cumsum(times > 1) - 1
-    keep = times[column] > 1
-    row, column = of[keep], shared[column[keep]]
-    common = np.zeros((len(ids), len(ids)), np.int64)
-    width = int(shared[-1]) + 1 if len(values) else 0
-    step = max(1, (1 << 23) // max(1, len(ids)))
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for a in range(0, width, step):  # a bounded part of the columns at a time
-        i, j = np.searchsorted(column, [a, a + step])
-        part = np.zeros((len(ids), min(step, width - a)), np.float32)
-        part[row[i:j], column[i:j] - a] = 1
-        common += (part @ part.T).astype(np.int64)
-    linked = common * q >= p * (sizes[:, None] + sizes[None, :] - common)
+def _pack(at: np.ndarray) -> bytes:
+    """Positions as compressed steps: mostly ones where members have most of the union."""
+    return zlib.compress(np.diff(at.astype(np.int32), prepend=np.int32(0)).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.int32), dtype=np.int64)
+
+
+class Block:
+    """Sets of a group: their token union and, for each member, the union's positions it has."""
+
+    def __init__(self, ids, sizes, all_tokens: bytes, at: bytes):
+        self.ids, self.sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+        self.union = np.frombuffer(all_tokens, np.uint64)
+        self.at = _unpack(at)
+        self.of = np.repeat(np.arange(len(self.ids)), self.sizes)
+
+    def opens(self, column: np.ndarray, other: Block, p: int, q: int) -> np.ndarray:
+        """Members whose overlap with the other block's union, and whose size, allow a link. column: the other's column of each token, or -1."""
+        bound = np.bincount(self.of, weights=column[self.at] >= 0, minlength=len(self.ids)).astype(np.int64)
+        close = ((other.sizes[None, :] * q >= self.sizes[:, None] * p) & (self.sizes[:, None] * q >= other.sizes[None, :] * p)).any(1)
+        return (bound * q >= p * self.sizes) & close
+
+    def entries(self, column: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The opened members' rows and columns in the matrix, by column."""
+        at = column[self.at]
+        keep = (at >= 0) & opens[self.of]
+        row, at = (np.cumsum(opens) - 1)[self.of[keep]], at[keep]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+
+def _product(one: tuple, two: tuple, n: int, m: int, width: int) -> np.ndarray:
+    """Common tokens of n members with m, a bounded part of the columns at a time."""
+    common = np.zeros((n, m), np.int64)
+    step = max(1, (1 << 22) // max(1, n, m))
+    for a in range(0, width, step):
+        parts = []
+        for (row, column), k in ((one, n), (two, m)):
+            i, j = np.searchsorted(column, [a, a + step])
+            x = np.zeros((k, min(step, width - a)), np.float32)
+            x[row[i:j], column[i:j] - a] = 1
+            parts.append(x)
+        common += (parts[0] @ parts[1].T).astype(np.int64)
+    return common
+
+
+def open_groups(one: Block, two: Block | None, p: int, q: int) -> list[tuple[int, int]]:
+    """Spanning links between the members of two blocks, or within one."""
+    if two is None:
+        times = np.bincount(one.at, minlength=len(one.union))
+        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)
+        opens = one.opens(column, one, p, q)
+        own = one.entries(column, opens)
+        ids, sizes = one.ids[opens], one.sizes[opens]
+        common = _product(own, own, len(ids), len(ids), int((times > 1).sum()))
+        linked = common * q >= p * (sizes[:, None] + sizes[None, :] - common)
+    else:
+        both, i, j = np.intersect1d(one.union, two.union, assume_unique=True, return_indices=True)
+        columns = [np.full(len(x.union), -1) for x in (one, two)]
+        columns[0][i] = columns[1][j] = np.arange(len(both))
+        opens = [x.opens(c, y, p, q) for x, y, c in ((one, two, columns[0]), (two, one, columns[1]))]
+        n, m = int(opens[0].sum()), int(opens[1].sum())
+        if not n or not m:
+            return []
+        common = _product(one.entries(columns[0], opens[0]), two.entries(columns[1], opens[1]), n, m, len(both))
+        ids = np.concatenate((one.ids[opens[0]], two.ids[opens[1]]))
+        sizes = (one.sizes[opens[0]], two.sizes[opens[1]])
+        linked = np.eye(n + m, dtype=bool)
+        linked[:n, n:] = common * q >= p * (sizes[0][:, None] + sizes[1][None, :] - common)
+        linked[n:, :n] = linked[:n, n:].T
     label = np.arange(len(ids))
-    while True:
-        new = np.where(linked, label[None, :], len(ids)).min(1)
-        new = np.minimum(new, label)
+    while len(ids):
+        new = np.minimum(np.where(linked, label[None, :], len(ids)).min(1), label)
         new = new[new]
         if (new == label).all():
             break
@@ -191,42 +264,50 @@ def ngram_components(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10, text:
     spark = docs.sparkSession
     ready(spark)
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    made = store(fingerprints(docs, k, p, q), "fingerprints")
+    probing = 10 * (q - p) > q
+    if probing:
+        made = store(fingerprints(docs, k, p, q, min(1.0, (q - p) / q + PROBE_MARGIN), False), "fingerprints")
+        ids = can_link(made)
+        few = ids.count() <= BROADCAST_IDS
+        chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        sliced = store(fingerprints(chosen, k, p, q), "slices")
+    else:
+        made = sliced = store(fingerprints(docs, k, p, q), "fingerprints")
     classes = store(made.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    rows = made.select("k1", F.explode("slices").alias("s"))
+    rows = sliced.select("k1", F.explode("slices").alias("s"))
     live = rows.groupBy("s").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("s", "lo")
-    meet = store(rows.join(live, "s").distinct(), "meet")
-    group = meet.groupBy("k1").agg(F.min("lo").alias("g"))
-    members = classes.join(group, "k1")
-    size = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).alias("blocks"))
-    members = store(members.join(size, "g").select("k1", "rep", F.xxhash64("g", F.pmod(F.xxhash64("rep"), "blocks")).alias("block")), "members")
+    meet = store(rows.join(live, "s").where("k1 <> lo").select("k1", "lo").distinct(), "meet", free=True)
+    members = classes.join(components(meet, "k1", "lo").withColumnsRenamed({"node": "k1", "component": "g"}), "k1")
+    size = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
+    members = members.join(size, "g").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = store(members.select("rep", F.xxhash64("g", "part").alias("block")), "members")
+    parts = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
+    pairs = size.where("blocks > 1").select("g", "blocks", parts).where("i < blocks - 1").select("g", "i", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)).alias("j"))
+    pairs = pairs.select(F.xxhash64("g", "i").alias("one"), F.xxhash64("g", "j").alias("two"))
 
     wanted = members.select("block", F.col("rep").alias("doc_id"))
     if members.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]) if _repeated(made) else docs.join(wanted, "doc_id")
     sets = _sets(texts.select("block", "doc_id", "text"), k)
-    blocks = store(sets.groupBy("block").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members")).mapInArrow(_unions, "block long, ids array<long>, sizes array<int>, tokens binary, all_tokens binary"), "blocks")
+    members_of = sets.groupBy("block").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members"))
+    blocks = store(members_of.mapInArrow(_unions, "block long, ids array<long>, sizes array<int>, all_tokens binary, at binary"), "blocks", free=True)
 
-    at = store(meet.join(members, "k1").select("s", "block").distinct(), "at")
-    a, b = at.alias("a"), at.alias("b")
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.block") <= F.col("b.block"))).select(F.col("a.block").alias("one"), F.col("b.block").alias("two")).distinct()
-    names = ("ids", "sizes", "tokens", "all_tokens")
+    names = ("ids", "sizes", "all_tokens", "at")
     first = blocks.select(F.col("block").alias("one"), F.struct(*names).alias("x"))
     second = blocks.select(F.col("block").alias("two"), F.struct(*names).alias("y"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(x: dict) -> tuple:
-            return np.array(x["ids"], np.int64), np.array(x["sizes"], np.int64), np.frombuffer(x["tokens"], np.uint64), np.frombuffer(x["all_tokens"], np.uint64)
-
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                found = open_groups(block(row["x"]), None if row["one"] == row["two"] else block(row["y"]), p, q)
+                found = open_groups(Block(**row["x"]), Block(**row["y"]) if "y" in row else None, p, q)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in found], pa.int64()) for j in (0, 1)], ["a", "b"])
 
-    links = pairs.join(first, "one").join(second, "two").repartition(2 * partitions_of(docs)).mapInArrow(verify, "a long, b long")
+    within = first.where(F.size("x.ids") > 1).select("x").mapInArrow(verify, "a long, b long")
+    across = pairs.join(first, "one").join(second, "two").select("x", "y").mapInArrow(verify, "a long, b long")
+    links = store(within.union(across), "links", free=True)
     of = components(links)
     result = (
         made.where("n > 0").select("doc_id", "n", "k1", "k2")
@@ -236,7 +317,7 @@ def ngram_components(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10, text:
         .union(made.where("n = 0").select("doc_id", "n", "doc_id"))
     )
     out = store(result, "components")
-    drop(made, classes, meet, members, blocks, at)
+    drop(made, sliced, classes, meet, members, blocks, links)
     return out
 
 
