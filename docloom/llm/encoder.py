@@ -17,7 +17,7 @@ import os
 import re
 from array import array
 
-UNITS, PIECES = 500_000, 600_000
+UNITS, PIECES = 900_000, 900_000
 _NEAR_SPACE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: A run of Latin letters with or without a space before it, then ASCII punctuation up to the end.
