@@ -137,11 +137,12 @@ def can_link(made: DataFrame) -> DataFrame:
     """doc_id of the documents that may have a link: enough of their probes occur in another row too.
 
     A set linked with A lacks at most n - t n of A's tokens, so it has all but as many of A's probes, and
-    probes are chosen by their hash alone, the same for all sets. A need of zero or less passes.
+    probes are chosen by their hash alone, the same for all sets. A need of zero or less passes; such rows
+    are partners of others all the same, so their probes count as occurrences.
     """
-    rows = made.where("need > 0").select("k1", F.explode("probes").alias("x"))
+    rows = made.where("n > 0").select("k1", "need", F.explode("probes").alias("x"))
     shared = rows.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
-    enough = rows.join(shared, "x").groupBy("k1").agg(F.count("*").alias("have"))
+    enough = rows.where("need > 0").join(shared, "x").groupBy("k1").agg(F.count("*").alias("have"))
     found = made.where("n > 0").join(enough, "k1", "left").where("need <= 0 OR have >= need").select("doc_id").distinct()
     return store(found, "can-link", free=True)
 

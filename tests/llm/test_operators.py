@@ -89,6 +89,21 @@ def test_ngram_join_blocks(spark, docs, monkeypatch):
     assert got == brute_components(rows, 3, 9, 10)
 
 
+def test_ngram_join_isolated_pairs(spark):
+    """Pairs that share nothing with other documents, of sizes where one side needs common probes and the other none."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        n, like = int(rng.integers(10, 200)), rng.uniform(0.78, 0.95)
+        own = [f"p{i}w{j}" for j in range(n + 4)]
+        longer = own + [f"p{i}x{j}" for j in range(round(n * (1 / like - 1)))]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(longer))]
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 8, 10).collect()}
+    want = brute_components(rows, 5, 8, 10)
+    assert sum(c % 2 == 0 and c != i for i, (_, c) in want.items()) > 400
+    assert got == want
+
+
 def test_slices_agree_for_linked_sets():
     """Sets at the threshold share a signature, at every size."""
     rng = np.random.default_rng(1)
