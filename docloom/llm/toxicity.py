@@ -11,7 +11,10 @@ Near copies among the toxic documents count as one there, so that the other word
 copies do not get in.
 
 Learning takes up to `FIT_TOXIC` toxic and `FIT_CLEAN` other labelled documents, those with the least hash of
-their id, on the driver; the bound holds at any size. Everything else runs over all documents.
+their id, on the driver, of `FIT_BYTES` of text at most; the bounds hold at any size. A class has the share of
+the bytes that it has of the documents, and what the other class leaves; a document that does not fit is passed
+over and the next is tried, so one over its class's bytes is not learned from. Everything else runs over all
+documents.
 
 Nulls and edge cases: a text that is null or has no letter has no tokens and gets the score of such a text;
 without labels of both kinds every score is the share of toxic labels (0 without any). Labels that are null
@@ -254,6 +257,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return b
 
 
+def sample(order: list[tuple[int, int, int]]) -> list[int]:
+    """(id, bytes, toxic) in order of choice -> the ids to learn from, within each class's part of `FIT_BYTES`."""
+    clean = sum(n for _, n, toxic in order if not toxic)
+    left = {1: max(FIT_BYTES * FIT_TOXIC // (FIT_TOXIC + FIT_CLEAN), FIT_BYTES - clean)}
+    took = []
+    for kind in (1, 0):
+        used = 0
+        for k, n, toxic in order:
+            if toxic == kind and used + n <= left[kind]:
+                used += n
+                took.append(k)
+        left[0] = FIT_BYTES - used
+    return took
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic) -> a model from documents that are not held out."""
     own = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -264,13 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(k,) for k in ids], "doc_id long")
     pick = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").withColumn("n", F.octet_length("text"))
-    order = pick.select("doc_id", "n", F.xxhash64(F.lit(3), "doc_id").alias("h")).orderBy("h", "doc_id").limit(FIT_TOXIC + FIT_CLEAN).collect()
-    total, took = 0, []
-    for r in order:
-        if total + r["n"] > FIT_BYTES:
-            break
-        total += r["n"]
-        took.append((r["doc_id"],))
+    sizes = pick.groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").collect()
+    took = [(k,) for k in sample([(r["doc_id"], r["n"], ids[r["doc_id"]]) for r in sizes])]
     rows = pick.join(F.broadcast(spark.createDataFrame(took, "doc_id long")), "doc_id").select("doc_id", "text").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "text").collect() if took else []
     return learn([r["text"].lower().encode() for r in rows], np.array([ids[r["doc_id"]] == 1 for r in rows], bool))
 

@@ -377,6 +377,35 @@ def test_toxicity(spark, odd, none):
     assert toxicity(none, few).count() == 0
 
 
+def test_toxicity_sample_keeps_both_classes(spark, monkeypatch):
+    """Neither a very long document early in the order nor rare labels take the toxic documents' place."""
+    from docloom.llm import toxicity
+    from docloom.llm.langid import held_out
+
+    ids = spark.range(1, 601).withColumnRenamed("id", "doc_id").where(~held_out()).orderBy(F.xxhash64(F.lit(3), "doc_id")).collect()
+    ids = [r["doc_id"] for r in ids]
+    toxic = set(ids[5::40])
+    rng = np.random.default_rng(6)
+    text = {i: " ".join(f"{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}{chr(97 + x // 676)}plain" for x in rng.integers(0, 17_576, 60)) + " vilest" * (i in toxic) for i in ids}
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in ids], "doc_id long, toxic int")
+    seen = []
+    learn = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda texts, y: seen.append((sum(map(len, texts)), int(y.sum()), int((~y).sum()))) or learn(texts, y))
+
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "FIT_BYTES", 60_000)
+        toxicity.fit(spark.createDataFrame(list(text.items()), "doc_id long, text string"), labels)
+    size, n_toxic, n_clean = seen.pop()
+    assert n_toxic == len(toxic) and n_clean > 60 and size <= 60_000
+
+    text[ids[0]] = "plain " * (toxicity.FIT_BYTES // 5)
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    model = toxicity.fit(docs, labels)
+    assert seen.pop()[1:] == (len(toxic), len(ids) - len(toxic) - 1)
+    got = toxicity.keep_clean(docs, model).select("doc_id").collect()
+    assert {r["doc_id"] for r in got} == set(ids) - toxic
+
+
 def test_field_marginals_by_enumeration():
     from itertools import product
 
