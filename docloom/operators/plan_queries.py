@@ -107,10 +107,21 @@ _zone_list = ", ".join(f"('{i}', '{z}')" for i, z in Z.CITIES)
 @query("zone_convert", f"""SELECT event_id, id, l AS local_time, CAST(l AS DATE) - CAST(ts AS DATE) AS shift, round(datediff('minute', ts, l) / 60.0::DOUBLE, 1) AS offset_hours, hour(l) + minute(l) / 60.0::DOUBLE >= 9 AND hour(l) + minute(l) / 60.0::DOUBLE < 18 AS works
 FROM (SELECT event_id, ts, id, (ts AT TIME ZONE 'UTC') AT TIME ZONE zone AS l FROM (SELECT * FROM events WHERE event_type = 'purchase' OR event_id % 5 = 0), (VALUES {_zone_list}) c(id, zone))""")
 def zone_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in every city's wall time; the city dimension is a fixed short list."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase' OR event_id % 5 = 0").select("event_id", "ts")
+    """A part of the events (purchases, and one in five others) in every city's wall time; `zone_convert_all` takes all."""
+    return _in_zones(table(spark, sf_dir, "events").where("event_type = 'purchase' OR event_id % 5 = 0"))
+
+
+@query("zone_convert_all", f"""SELECT event_id, id, l AS local_time, CAST(l AS DATE) - CAST(ts AS DATE) AS shift, round(datediff('minute', ts, l) / 60.0::DOUBLE, 1) AS offset_hours, hour(l) + minute(l) / 60.0::DOUBLE >= 9 AND hour(l) + minute(l) / 60.0::DOUBLE < 18 AS works
+FROM (SELECT event_id, ts, id, (ts AT TIME ZONE 'UTC') AT TIME ZONE zone AS l FROM events, (VALUES {_zone_list}) c(id, zone))""")
+def zone_convert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in every city's wall time."""
+    return _in_zones(table(spark, sf_dir, "events"))
+
+
+def _in_zones(events: DataFrame) -> DataFrame:
+    """The city dimension is a fixed short list."""
     named = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(z).alias("zone")) for i, z in Z.CITIES])
-    d = e.withColumn("c", F.explode(named)).select("event_id", "ts", "c.id", Z.wall_time(F.col("ts"), F.col("c.zone")).alias("l"))
+    d = events.withColumn("c", F.explode(named)).select("event_id", "ts", "c.id", Z.wall_time(F.col("ts"), F.col("c.zone")).alias("l"))
     return d.select("event_id", "id", F.col("l").alias("local_time"), Z.day_shift(F.col("l"), F.col("ts")).cast("long").alias("shift"), Z.offset_hours(F.col("l"), F.col("ts")).alias("offset_hours"), Z.works(F.col("l")).alias("works"))
 
 
