@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.align import dice_of
 from docloom.operators.catalogue import query
+from docloom.session import ship
 
 #: The white-space class for the SQL side.
 _WS = r"[\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -85,16 +90,49 @@ cb AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(gb) AS x FROM
 s AS (SELECT ca.doc_id, sum(least(ca.c, cb.c)) AS m FROM ca JOIN cb ON ca.doc_id = cb.doc_id AND ca.x = cb.x GROUP BY ca.doc_id)
 SELECT g.doc_id, round(2.0::DOUBLE * coalesce(m, 0)::DOUBLE / (len(ga) + len(gb)), 9) AS dice FROM g LEFT JOIN s USING (doc_id)""")
 def char_ngram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of a document's opening with its predecessor's: multiset Dice over bigrams (unigrams if short)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.lower("text"), 1, 200).alias("a"))
-    # neighbours by rank, joined on it: no window over all rows
-    nxt = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("b"))
-    d = d.join(nxt, "doc_id")
-    grams = lambda c: F.when(F.length(c) < 8, T.char_ngrams(F.col(c), 1)).otherwise(T.char_ngrams(F.col(c), 2))
-    d = d.select("doc_id", grams("a").alias("ga"), grams("b").alias("gb"))
-    each = d.select("doc_id", F.explode("ga").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(d.select("doc_id", F.explode("gb"), F.lit(0), F.lit(1)))
-    m = each.groupBy("doc_id", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).groupBy("doc_id").agg(F.sum(F.least("a", "b")).alias("m"), F.sum(F.col("a") + F.col("b")).alias("n"))
-    return m.select("doc_id", F.round(F.lit(2.0) * F.col("m") / F.col("n"), 9).alias("dice"))
+    """Similarity of a document's opening with its predecessor's: multiset Dice over bigrams (unigrams if short).
+
+    Openings are the first 200 characters; `char_ngram_dice_whole` takes whole texts.
+    """
+    return _dice(table(spark, sf_dir, "documents").select("doc_id", F.substring(F.lower("text"), 1, 200).alias("a")))
+
+
+@query("char_ngram_dice_whole")
+def char_ngram_dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of a document's whole text with its predecessor's, as `char_ngram_dice`. No SQL: it is slow on long texts."""
+    return _dice(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("a")))
+
+
+def _dice(d: DataFrame) -> DataFrame:
+    """d(doc_id, a) -> doc_id, dice; no row without a predecessor's text, null for a null text."""
+    ship(d.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dice = [None if x is None else dice_of(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dice, pa.float64())], ["doc_id", "dice"])
+
+    pairs = _with_previous(d).where("b IS NOT NULL")
+    return pairs.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, dice double").select("doc_id", F.round("dice", 9).alias("dice"))
+
+
+def _with_previous(d: DataFrame) -> DataFrame:
+    """d(doc_id, a) -> doc_id, a, b: a of the row before by doc_id, whatever the gaps; rows without an id come last.
+
+    Windows are per range of ids, and each range also gets the last rows of the range before: no window over all rows.
+    """
+    n = min(256, max(64, d.count() // 10_000))
+    bounds = d.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)
+    k = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds))]).cast("array<double>"), lambda x: x < F.col("doc_id")))
+    d = d.withColumn("k", F.when(F.col("doc_id").isNull(), n).otherwise(k))
+    last = d.groupBy("k").agg(F.max("doc_id").alias("top")).orderBy("k").collect()
+    carry = [(r["top"], after["k"]) for r, after in zip(last, last[1:])]
+    d = d.withColumn("carried", F.lit(False))
+    if carry:
+        tops = F.create_map(*[F.lit(x) for pair in carry for x in pair])
+        d = d.union(d.withColumn("k", F.try_element_at(tops, "doc_id")).where("k IS NOT NULL").withColumn("carried", F.lit(True)))
+    before = F.lag("a").over(Window.partitionBy("k").orderBy(F.col("doc_id").asc_nulls_last()))
+    return d.withColumn("b", before).where("NOT carried").select("doc_id", "a", "b")
 
 
 @query("a1_columns", """
