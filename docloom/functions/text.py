@@ -5,6 +5,8 @@ All are Column expressions; nothing here runs Python on executors. Null in, null
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ from pyspark.sql import functions as F
 WS = r"\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 
+#: The same without the line feed.
+_BLANK = WS.replace(r"\t-\r", r"\t\x0B-\r")
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of an expression that is evaluated once, however often f uses it, also within f's own lambdas."""
+    return F.transform(F.array(c), f)[0]
+
+
 def trim(c: Column) -> Column:
     """Without white space, Unicode's included, at both ends."""
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
@@ -27,8 +38,9 @@ def lines(c: Column) -> Column:
 
 
 def trim_lines(c: Column) -> Column:
-    """Every line trimmed, runs of blank lines reduced to one."""
-    return F.regexp_replace(F.array_join(F.transform(lines(c), trim), "\n"), "\n{3,}", "\n\n")
+    """Every line trimmed, runs of blank lines reduced to one; in one pass over the text."""
+    c = F.regexp_replace(c, f"(?<![{_BLANK}])[{_BLANK}]++(?=\\n|\\z)|(?:(?<=\\n)|\\A)[{_BLANK}]++", "")
+    return F.regexp_replace(c, "\n{3,}", "\n\n")
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -42,10 +54,14 @@ def remove_linebreaks(c: Column) -> Column:
 
 
 def kept_lines(c: Column) -> Column:
-    """Lines that are blank or whose trimmed text did not come before."""
-    all_lines = lines(c)
-    keys = F.transform(all_lines, trim)
-    return F.filter(all_lines, lambda x, i: (trim(x) == "") | (F.array_position(keys, trim(x)) == i + 1))
+    """Lines that are blank or whose trimmed text did not come before.
+
+    Lines are sorted by trimmed text and place, so equal ones are neighbours: a text of n lines takes n log n steps.
+    """
+    marked = F.array_sort(F.transform(lines(c), lambda x, i: F.struct(trim(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = lambda own: F.filter(own, lambda e, j: (e["k"] == "") | (j == 0) | (F.get(own, j - 1)["k"] != e["k"]))
+    in_order = F.array_sort(F.transform(bound(marked, first), lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+    return F.transform(in_order, lambda e: e["x"])
 
 
 def dedupe_lines(c: Column) -> Column:
@@ -107,9 +123,12 @@ def escape_xml(c: Column) -> Column:
     return F.replace(c, F.lit("'"), F.lit("&apos;"))
 
 
+#: A run of white space, a run of letters, digits and underscores, or a single other character.
+TOKEN = r"\s+|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+
+
 def tokens(c: Column) -> Column:
-    """Runs of white space, runs of letters, digits and underscores, and single other characters."""
-    return F.regexp_extract_all(c, F.lit(r"\s+|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
 def char_ngrams(c: Column, n: int) -> Column:
@@ -159,6 +178,17 @@ def column_letters(n: Column) -> Column:
     return F.concat(F.when(c >= 0, digit(c)).otherwise(""), F.when(b >= 0, digit(b)).otherwise(""), digit(a))
 
 
+def alphabetic(n: Column) -> Column:
+    """1 -> a, 26 -> z, 27 -> aa; up to three letters."""
+    return F.lower(column_letters(n))
+
+
+def circled(n: Column) -> Column:
+    """The circled number for 1 to 20; others in parentheses."""
+    signs = F.lit("".join(chr(0x2460 + i) for i in range(20)))
+    return F.when(n.between(1, 20), F.substring(signs, n.cast("int"), F.lit(1))).otherwise(F.concat(F.lit("("), n.cast("string"), F.lit(")")))
+
+
 def roman(n: Column) -> Column:
     """Roman numerals, lower case."""
     steps = [(1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]

@@ -71,15 +71,15 @@ def job_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.union(each)
 
 
-@query("reorder_item", "SELECT vec_id, CASE WHEN vec_id % 12 < 8 THEN round(m, 5) ELSE round(o, 5) END AS moment FROM (SELECT vec_id, list_sum(list_transform(a, lambda x, i: x * i)) AS o, list_sum(list_transform(list_insert_, lambda x, i: x * i)) AS m FROM (SELECT vec_id, a, (a[:f] || a[f + 2:])[:2] || [a[f + 1]] || (a[:f] || a[f + 2:])[3:] AS list_insert_ FROM (SELECT vec_id, CAST(embedding[:8] AS DOUBLE[]) AS a, CAST(vec_id % 12 AS INT) AS f FROM embeddings)))")
+@query("reorder_item", "SELECT vec_id, round(list_sum(list_transform(CASE WHEN f < len(a) THEN o ELSE a END, lambda x, i: x * i)), 4) AS moment FROM (SELECT vec_id, f, a, (a[:f] || a[f + 2:])[:2] || [a[f + 1]] || (a[:f] || a[f + 2:])[3:] AS o FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, CAST(vec_id % 80 AS INT) AS f FROM embeddings))")
 def reorder_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The item at vec_id % 12 of the first eight moves to place 2; nothing moves from a place that is not there."""
-    d = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("a"), (F.col("vec_id") % 12).cast("int").alias("f"))
+    """The item at vec_id % 80 moves to place 2; nothing moves from a place that is not there."""
+    d = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"), (F.col("vec_id") % 80).cast("int").alias("f"))
     a = F.col("a")
-    rest = F.concat(F.slice(a, F.lit(1), F.col("f")), F.slice(a, F.col("f") + 2, F.lit(8)))
-    moved = F.concat(F.slice(rest, 1, 2), F.array(F.get(a, F.col("f"))), F.slice(rest, 3, 8))
+    rest = F.concat(F.slice(a, F.lit(1), F.col("f")), F.slice(a, F.col("f") + 2, F.size(a)))
+    moved = F.concat(F.slice(rest, F.lit(1), F.lit(2)), F.array(F.get(a, F.col("f"))), F.slice(rest, F.lit(3), F.size(a)))
     out = F.when(F.col("f") < F.size(a), moved).otherwise(a)
-    return d.select("vec_id", F.round(F.aggregate(F.transform(out, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 5).alias("moment"))
+    return d.select("vec_id", F.round(F.aggregate(F.transform(out, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 4).alias("moment"))
 
 
 @query("selection_default", "SELECT p_partkey, round(least(d, greatest(0.1::DOUBLE, least(5.0::DOUBLE, d / 4))), 9) AS until FROM (SELECT p_partkey, p_retailprice / 100::DOUBLE AS d FROM part)")

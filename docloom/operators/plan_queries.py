@@ -17,7 +17,34 @@ from docloom.operators.catalogue import query
 from docloom.operators.text_queries import table
 
 
-@query("holidays_dim")
+#: Year, and the days of the Lunar New Year, Buddha's Birthday and Chuseok, for the SQL side.
+_LUNAR = """
+(1995, '01-31', '05-07', '09-09'), (1996, '02-19', '05-24', '09-27'), (1997, '02-08', '05-14', '09-16'), (1998, '01-28', '05-03', '10-05'),
+(1999, '02-16', '05-22', '09-24'), (2000, '02-05', '05-11', '09-12'), (2001, '01-24', '05-01', '10-01'), (2002, '02-12', '05-19', '09-21'),
+(2003, '02-01', '05-08', '09-11'), (2004, '01-22', '05-26', '09-28'), (2005, '02-09', '05-15', '09-18'), (2006, '01-29', '05-05', '10-06'),
+(2007, '02-18', '05-24', '09-25'), (2008, '02-07', '05-12', '09-14'), (2009, '01-26', '05-02', '10-03'), (2010, '02-14', '05-21', '09-22'),
+(2011, '02-03', '05-10', '09-12'), (2012, '01-23', '05-28', '09-30'), (2013, '02-10', '05-17', '09-19'), (2014, '01-31', '05-06', '09-08'),
+(2015, '02-19', '05-25', '09-27'), (2016, '02-08', '05-14', '09-15'), (2017, '01-28', '05-03', '10-04'), (2018, '02-16', '05-22', '09-24'),
+(2019, '02-05', '05-12', '09-13'), (2020, '01-25', '04-30', '10-01'), (2021, '02-12', '05-19', '09-21'), (2022, '02-01', '05-08', '09-10'),
+(2023, '01-22', '05-27', '09-29'), (2024, '02-10', '05-15', '09-17'), (2025, '01-29', '05-05', '10-06'), (2026, '02-17', '05-24', '09-25'),
+(2027, '02-07', '05-13', '09-15'), (2028, '01-27', '05-02', '10-03'), (2029, '02-13', '05-20', '09-22'),
+(2030, '02-03', '05-09', '09-12')
+"""
+_holidays_sql = f"""WITH lunar(y, ny, bu, ch) AS (VALUES {_LUNAR}),
+own AS (SELECT y, ord, make_date(y, m, d) AS first, 1 AS n, rest, [name] AS names FROM lunar, (VALUES {", ".join(f"({i}, {m}, {d}, {name!r}, {int(eligible)})" if "'" not in name else f"({i}, {m}, {d}, '{name.replace(chr(39), chr(39) * 2)}', {int(eligible)})" for i, (m, d, name, eligible) in enumerate(C.FIXED))}) f(ord, m, d, name, rest)
+ UNION ALL SELECT y, 20, CAST(y || '-' || ny AS DATE) - 1, 3, 2, ['Lunar New Year holiday', 'Lunar New Year''s Day', 'Lunar New Year holiday'] FROM lunar
+ UNION ALL SELECT y, 21, CAST(y || '-' || bu AS DATE), 1, 1, ['Buddha''s Birthday'] FROM lunar
+ UNION ALL SELECT y, 22, CAST(y || '-' || ch AS DATE) - 1, 3, 2, ['Chuseok holiday', 'Chuseok', 'Chuseok holiday'] FROM lunar
+ UNION ALL SELECT 2026, 23, DATE '2026-06-03', 1, 0, ['9th nationwide local elections']),
+days AS (SELECT y, ord, rest, first + CAST(k AS INT) AS d, names[k + 1] AS name FROM (SELECT *, unnest(range(n)) AS k FROM own)),
+lost AS (SELECT y, ord, d FROM (SELECT *, count(*) OVER (PARTITION BY y, d) AS held FROM days) WHERE rest > 0 AND (held > 1 OR isodow(d) = 7 OR rest = 1 AND isodow(d) = 6)),
+due AS (SELECT DISTINCT y, ord FROM lost l WHERE NOT EXISTS (SELECT 1 FROM lost e WHERE e.y = l.y AND e.d = l.d AND e.ord < l.ord)),
+free AS (SELECT *, row_number() OVER (PARTITION BY y, ord ORDER BY d) AS r FROM (SELECT y, ord, names, first + n + CAST(k AS INT) AS d FROM (SELECT own.*, unnest(range(20)) AS k FROM own JOIN due USING (y, ord))) c WHERE isodow(d) < 6 AND NOT EXISTS (SELECT 1 FROM days WHERE days.y = c.y AND days.d = c.d)),
+turn AS (SELECT y, ord, row_number() OVER (PARTITION BY d ORDER BY ord) AS r FROM free WHERE r = 1),
+holidays AS (SELECT d AS date, name, false AS substitute FROM days UNION ALL SELECT d, 'Substitute holiday (' || names[1] || ')', true FROM free JOIN turn USING (y, ord, r))"""
+
+
+@query("holidays_dim", _holidays_sql + " SELECT * FROM holidays")
 def holidays_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.holidays(spark, 1995, 2030)
 
@@ -33,14 +60,20 @@ def business_days_weekends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.datediff(end, start) + 1).cast("long").alias("total"), (before(F.date_add(end, 1)) - before(start)).cast("long").alias("business"))
 
 
-@query("business_days")
+@query("business_days", _holidays_sql + """, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderkey % 30 AS INT) AS n FROM orders)
+SELECT o_orderkey, CAST(any_value(n) + 1 AS BIGINT) AS total, CAST(count(*) FILTER (WHERE isodow(d) < 6 AND d NOT IN (SELECT date FROM holidays)) AS BIGINT) AS business FROM (SELECT o_orderkey, n, a + CAST(unnest(range(n + 1)) AS INT) AS d FROM o) GROUP BY o_orderkey""")
 def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order date to a bounded number of days later, Korean holidays left out, by two joins with the day index."""
-    days = C.business_index(spark, 1994, 2002)
+    """Order date to a bounded number of days later, Korean holidays left out, by two joins with the day index.
+
+    The index has the years that the orders have; an order without a date has null counts.
+    """
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("a"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("b"))
+    first, last = o.agg(F.year(F.min("a")), F.year(F.max("b"))).first()
+    days = C.business_index(spark, first or 2000, last or 2000)
     x = days.select(F.col("day").alias("a"), (F.col("upto") - F.col("works")).alias("from"))
     y = days.select(F.col("day").alias("b"), F.col("upto").alias("to"))
-    return o.join(F.broadcast(x), "a").join(F.broadcast(y), "b").select("o_orderkey", (F.datediff("b", "a") + 1).cast("long").alias("total"), (F.col("to") - F.col("from")).alias("business"))
+    joined = o.join(F.broadcast(x), "a", "left").join(F.broadcast(y), "b", "left")  # a row for each day of the calendar
+    return joined.select("o_orderkey", (F.datediff("b", "a") + 1).cast("long").alias("total"), (F.col("to") - F.col("from")).alias("business"))
 
 
 _AS_OF = date(2026, 3, 15)
@@ -49,12 +82,11 @@ _AS_OF = date(2026, 3, 15)
 def _leave(method: str):
     return lambda spark, sf_dir: (
         table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("h"))
-        .where("NOT (month(h) = 2 AND day(h) = 29)")
         .select("o_orderkey", C.annual_leave(F.col("h"), F.lit(_AS_OF), method).alias("days"))
     )
 
 
-_hires = "(SELECT o_orderkey, CAST(o_orderdate AS DATE) AS h FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29))"
+_hires = "(SELECT o_orderkey, CAST(o_orderdate AS DATE) AS h FROM orders)"
 query("annual_leave_hire", f"SELECT o_orderkey, CAST(CASE WHEN datesub('year', h, DATE '2026-03-15') < 1 THEN least(11, datesub('month', h, DATE '2026-03-15')) ELSE least(25, 15 + (datesub('year', h, DATE '2026-03-15') - 1) // 2) END AS DOUBLE) AS days FROM {_hires}")(_leave("hire"))
 query("annual_leave_fiscal", f"SELECT o_orderkey, CAST(CASE WHEN year(h) = 2026 THEN least(11, datesub('month', h, DATE '2026-03-15')) WHEN year(h) = 2025 THEN floor(150.0::DOUBLE * (DATE '2026-01-01' - h) / 365 + 0.5) / 10 ELSE least(25, 15 + greatest(0, datesub('year', h, DATE '2026-01-01') - 1) // 2) END AS DOUBLE) AS days FROM {_hires}")(_leave("fiscal"))
 
@@ -104,24 +136,24 @@ def severance(spark: SparkSession, sf_dir: str) -> DataFrame:
 _zone_list = ", ".join(f"('{i}', '{z}')" for i, z in Z.CITIES)
 
 
-@query("zone_convert", f"""SELECT event_id, id, l AS local_time, CAST(l AS DATE) - CAST(ts AS DATE) AS shift, round(datediff('minute', ts, l) / 60.0::DOUBLE, 1) AS offset_hours, hour(l) + minute(l) / 60.0::DOUBLE >= 9 AND hour(l) + minute(l) / 60.0::DOUBLE < 18 AS works
-FROM (SELECT event_id, ts, id, (ts AT TIME ZONE 'UTC') AT TIME ZONE zone AS l FROM (SELECT * FROM events WHERE event_type = 'purchase' OR event_id % 5 = 0), (VALUES {_zone_list}) c(id, zone))""")
-def zone_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part of the events (purchases, and one in five others) in every city's wall time; `zone_convert_all` takes all."""
-    return _in_zones(table(spark, sf_dir, "events").where("event_type = 'purchase' OR event_id % 5 = 0"))
+_zones_sql = f"""SELECT event_id, id, l AS local_time, CAST(l AS DATE) - CAST(ts AS DATE) AS shift, round(datediff('minute', ts, l) / 60.0::DOUBLE, 1) AS offset_hours, hour(l) + minute(l) / 60.0::DOUBLE >= 9 AND hour(l) + minute(l) / 60.0::DOUBLE < 18 AS works
+FROM (SELECT event_id, ts, id, (ts AT TIME ZONE 'UTC') AT TIME ZONE zone AS l FROM events, (VALUES {_zone_list}) c(id, zone))"""
 
 
-@query("zone_convert_all", f"""SELECT event_id, id, l AS local_time, CAST(l AS DATE) - CAST(ts AS DATE) AS shift, round(datediff('minute', ts, l) / 60.0::DOUBLE, 1) AS offset_hours, hour(l) + minute(l) / 60.0::DOUBLE >= 9 AND hour(l) + minute(l) / 60.0::DOUBLE < 18 AS works
-FROM (SELECT event_id, ts, id, (ts AT TIME ZONE 'UTC') AT TIME ZONE zone AS l FROM events, (VALUES {_zone_list}) c(id, zone))""")
-def zone_convert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("zone_convert", _zones_sql)
+def zone_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events in every city's wall time."""
     return _in_zones(table(spark, sf_dir, "events"))
 
 
+# the same under the name that it had beside a query on part of the events
+query("zone_convert_all", _zones_sql)(zone_convert)
+
+
 def _in_zones(events: DataFrame) -> DataFrame:
     """The city dimension is a fixed short list."""
-    named = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(z).alias("zone")) for i, z in Z.CITIES])
-    d = events.withColumn("c", F.explode(named)).select("event_id", "ts", "c.id", Z.wall_time(F.col("ts"), F.col("c.zone")).alias("l"))
+    local = F.array(*[F.struct(F.lit(i).alias("id"), Z.wall_time(F.col("ts"), F.lit(z)).alias("l")) for i, z in Z.CITIES])
+    d = events.select("event_id", "ts", F.explode(local).alias("c")).select("event_id", "ts", "c.id", "c.l")
     return d.select("event_id", "id", F.col("l").alias("local_time"), Z.day_shift(F.col("l"), F.col("ts")).cast("long").alias("shift"), Z.offset_hours(F.col("l"), F.col("ts")).alias("offset_hours"), Z.works(F.col("l")).alias("works"))
 
 

@@ -107,13 +107,13 @@ def sheet_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' purchases by minute of the day: a sparse grid with gaps."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    return e.select((F.col("user_id") % 7).cast("string").alias("sheet"), (F.hour("ts") * 60 + F.minute("ts") + 1).alias("row"), (F.dayofmonth("ts") * 3).alias("col"), F.col("value").cast("string").alias("v"))
+    """A sheet for each user, events by minute of the day and day of the month: a sparse grid with gaps."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").cast("string").alias("sheet"), (F.hour("ts") * 60 + F.minute("ts") + 1).alias("row"), (F.dayofmonth("ts") * 3).alias("col"), F.col("value").cast("string").alias("v"))
 
 
 def _trim_query(name: str, axis: str, other: str, least: int) -> None:
-    sql = f"""WITH g AS (SELECT CAST(user_id % 7 AS VARCHAR) AS sheet, hour(ts) * 60 + minute(ts) + 1 AS row, day(ts) * 3 AS col, event_id FROM events WHERE event_type = 'purchase'),
+    sql = f"""WITH g AS (SELECT CAST(user_id AS VARCHAR) AS sheet, hour(ts) * 60 + minute(ts) + 1 AS row, day(ts) * 3 AS col, event_id FROM events WHERE value IS NOT NULL),
     u AS (SELECT DISTINCT sheet, {axis} AS p FROM g), m AS (SELECT sheet, p, p - coalesce(lag(p) OVER (PARTITION BY sheet ORDER BY p), 0) - 1 AS gap FROM u),
     r AS (SELECT sheet, p, sum(CASE WHEN gap >= {least} THEN gap ELSE 0 END) OVER (PARTITION BY sheet ORDER BY p) AS gone FROM m)
     SELECT g.sheet, CAST(g.{axis} - r.gone AS BIGINT) AS place, CAST(count(*) AS BIGINT) AS n FROM g JOIN r ON g.sheet = r.sheet AND g.{axis} = r.p GROUP BY ALL"""

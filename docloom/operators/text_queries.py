@@ -77,32 +77,30 @@ def text_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_filter(t, lambda x: regexp_full_match(x, '\\s+'))) AS BIGINT) AS n_space
 FROM (SELECT doc_id, regexp_extract_all(text, '\\s+|[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]') AS t FROM documents)""")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.filter("t", lambda x: x.rlike(r"^\s+$"))).cast("long").alias("n_space"))
+    count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", count(T.TOKEN).alias("n_tokens"), count(r"\s+").alias("n_space"))
 
 
-@query("char_ngram_dice", """
-WITH d AS (SELECT doc_id, substr(lower(text), 1, 200) AS a, substr(lower(lag(text) OVER (ORDER BY doc_id)), 1, 200) AS b FROM documents),
+_dice_sql = """
+WITH d AS (SELECT doc_id, lower(text) AS a, lower(lag(text) OVER (ORDER BY doc_id)) AS b FROM documents),
 n AS (SELECT doc_id, CASE WHEN length(a) < 8 THEN 1 ELSE 2 END AS na, CASE WHEN length(b) < 8 THEN 1 ELSE 2 END AS nb, a, b FROM d WHERE b IS NOT NULL),
 g AS (SELECT doc_id, CASE WHEN length(a) <= na THEN [a] ELSE list_transform(range(1, length(a) - na + 2), lambda i: substr(a, i, na)) END AS ga, CASE WHEN length(b) <= nb THEN [b] ELSE list_transform(range(1, length(b) - nb + 2), lambda i: substr(b, i, nb)) END AS gb FROM n),
 ca AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(ga) AS x FROM g) GROUP BY ALL),
 cb AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(gb) AS x FROM g) GROUP BY ALL),
 s AS (SELECT ca.doc_id, sum(least(ca.c, cb.c)) AS m FROM ca JOIN cb ON ca.doc_id = cb.doc_id AND ca.x = cb.x GROUP BY ca.doc_id)
-SELECT g.doc_id, round(2.0::DOUBLE * coalesce(m, 0)::DOUBLE / (len(ga) + len(gb)), 9) AS dice FROM g LEFT JOIN s USING (doc_id)""")
-def char_ngram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of a document's opening with its predecessor's: multiset Dice over bigrams (unigrams if short).
-
-    Openings are the first 200 characters; `char_ngram_dice_whole` takes whole texts.
-    """
-    return _dice(table(spark, sf_dir, "documents").select("doc_id", F.substring(F.lower("text"), 1, 200).alias("a")))
+SELECT g.doc_id, round(2.0::DOUBLE * coalesce(m, 0)::DOUBLE / (len(ga) + len(gb)), 9) AS dice FROM g LEFT JOIN s USING (doc_id)"""
 
 
-@query("char_ngram_dice_whole")
-def char_ngram_dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of a document's whole text with its predecessor's, as `char_ngram_dice`. No SQL: it is slow on long texts."""
+@query("char_ngram_dice", _dice_sql)
+def char_ngram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of a document's whole text with its predecessor's: multiset Dice over bigrams (unigrams if short)."""
     return _dice(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("a")))
 
 
+# the same under the name that it had beside a query on openings
+query("char_ngram_dice_whole", _dice_sql)(char_ngram_dice)
+
+
 def _dice(d: DataFrame) -> DataFrame:
     """d(doc_id, a) -> doc_id, dice; no row without a predecessor's text, null for a null text."""
     ship(d.sparkSession)
@@ -152,15 +150,43 @@ def file_name_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sheet_names", """
-SELECT page_id, CASE WHEN rn = 1 THEN base ELSE substr(base, 1, 31 - length(' (' || rn || ')')) || ' (' || rn || ')' END AS sheet, '''' || replace(base, '''', '''''') || '''' AS quoted
-FROM (SELECT page_id, base, row_number() OVER (PARTITION BY lower(base) ORDER BY page_id) AS rn FROM (SELECT page_id, substr(regexp_replace(regexp_replace(url, '[\\\\/*?:\\[\\]]', '_', 'g'), '^''+|''+$', '', 'g'), 1, 31) AS base FROM pages))""")
+WITH RECURSIVE p AS (SELECT page_id, page_id // 500 AS book, row_number() OVER (PARTITION BY page_id // 500 ORDER BY page_id) AS r, substr(CASE WHEN b = '' THEN 'Sheet' WHEN lower(b) = 'history' THEN b || '_' ELSE b END, 1, 31) AS base
+ FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[\\\\/*?:\\[\\]]', '_', 'g'), '^''+|''+$', '', 'g') AS b FROM pages)),
+t(page_id, book, r, used, sheet) AS (SELECT page_id, book, r, [lower(base)], base FROM p WHERE r = 1
+ UNION ALL SELECT page_id, book, r, list_append(used, lower(name)), name FROM (
+  SELECT p.page_id, p.book, p.r, t.used, list_filter(list_transform(range(1, CAST(p.r AS INT) + 1), lambda n: CASE WHEN n = 1 THEN p.base ELSE substr(p.base, 1, 31 - length(' (' || n || ')')) || ' (' || n || ')' END), lambda x: NOT list_contains(t.used, lower(x)))[1] AS name
+  FROM t JOIN p ON p.book = t.book AND p.r = t.r + 1))
+SELECT page_id, sheet, '''' || replace(sheet, '''', '''''') || '''' AS quoted FROM t""")
 def sheet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique sheet names; the first holder of a name keeps it."""
-    d = table(spark, sf_dir, "pages").select("page_id", T.sheet_name(F.col("url")).alias("base"))
-    d = d.withColumn("rn", F.row_number().over(Window.partitionBy(F.lower("base")).orderBy("page_id")))
-    tail = F.concat(F.lit(" ("), F.col("rn").cast("string"), F.lit(")"))
-    name = F.when(F.col("rn") == 1, F.col("base")).otherwise(F.concat(F.substr("base", F.lit(1), F.lit(31) - F.length(tail)), tail))
-    return d.select("page_id", name.alias("sheet"), T.quote_sheet(F.col("base")).alias("quoted"))
+    """Unique names of the sheets of workbooks, of up to 500 pages each."""
+    d = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 500).alias("book"), "page_id", T.sheet_name(F.col("url")).alias("base"))
+    return unique_names(d, "book", "page_id", "base").select("page_id", F.col("name").alias("sheet"), T.quote_sheet(F.col("name")).alias("quoted"))
+
+
+def unique_names(d: DataFrame, book: str, order: str, base: str, most: int = 31) -> DataFrame:
+    """d(book, order, base) with name: the base, or it with the first number from 2 on that gives a new name.
+
+    Names differ also without regard to case. A book's names are one small group, as the sheets of a workbook are.
+    """
+    ship(d.sparkSession)
+    schema = ", ".join(f"`{n}` {t}" for n, t in d.dtypes) + ", name string"
+
+    def name(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        used: set[str] = set()
+        names, reached = [], {}
+        for b in group.column(base).to_pylist():
+            n = reached.get(b, 1)
+            made = b if n == 1 else f"{b[: most - len(f' ({n})')]} ({n})"
+            while made.lower() in used:
+                n += 1
+                made = f"{b[: most - len(f' ({n})')]} ({n})"
+            used.add(made.lower())
+            reached[b] = n
+            names.append(made)
+        return group.append_column("name", pa.array(names, pa.string()))
+
+    return d.groupBy(book).applyInArrow(name, schema)
 
 
 @query("json_unsafe_integers", """
@@ -191,10 +217,15 @@ def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("numerals", """
-SELECT p_size, array_to_string([CASE WHEN p_size >= 50 THEN 'l' ELSE repeat('x', CAST(CASE WHEN p_size // 10 = 4 THEN 1 ELSE p_size // 10 END AS INT)) || CASE WHEN p_size // 10 = 4 THEN 'l' ELSE '' END END, list_extract(['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'], CAST(p_size % 10 + 1 AS INT))], '') AS roman FROM (SELECT DISTINCT CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_size BETWEEN 1 AND 50)""")
+SELECT n, ['', 'm', 'mm', 'mmm'][n // 1000 + 1] || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][n // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][n // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1] AS roman,
+ CASE WHEN n > 702 THEN chr(CAST(97 + (n - 703) // 676 AS INT)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(97 + ((n - 1) // 26 - 1) % 26 AS INT)) ELSE '' END || chr(CAST(97 + (n - 1) % 26 AS INT)) AS letters,
+ CASE WHEN n <= 20 THEN chr(CAST(9311 + n AS INT)) ELSE '(' || n || ')' END AS circled
+FROM (SELECT DISTINCT p_partkey % 3999 + 1 AS n FROM part)""")
 def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "part").where("p_size BETWEEN 1 AND 50").select(F.col("p_size").cast("long").alias("p_size")).distinct()
-    return d.select("p_size", T.roman(F.col("p_size")).alias("roman"))
+    """List labels of all numbers that roman numerals go up to."""
+    n = F.col("n")
+    d = table(spark, sf_dir, "part").select((F.col("p_partkey") % 3999 + 1).alias("n")).distinct()
+    return d.select("n", T.roman(n).alias("roman"), T.alphabetic(n).alias("letters"), T.circled(n).alias("circled"))
 
 
 @query("html_title", """
