@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import re
 import struct
+from collections.abc import Iterator
 
 ENCRYPTED = bytes.fromhex("D0CF11E0A1B11AE1")
 #: Sample rates by MPEG version bits.
@@ -29,42 +31,35 @@ def is_encrypted(data: bytes) -> bool:
     return data.startswith(ENCRYPTED)
 
 
-def _wav_rate(data: bytes) -> int | None:
-    at = 12
-    while at + 8 <= len(data):
-        name, size = struct.unpack_from("<4sI", data, at)
-        if name == b"fmt " and size >= 16 and at + 16 <= len(data):
-            (rate,) = struct.unpack_from("<I", data, at + 12)
-            return rate if 3_000 <= rate <= 384_000 else None
-        at += 8 + size + size % 2
-    return None
+def riff_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(name, body) of a RIFF file's chunks, as far as they are there; bodies are padded to even length."""
+    source = io.BytesIO(data[12:])
+    while len(head := source.read(8)) == 8:
+        size = int.from_bytes(head[4:], "little")
+        yield head[:4], source.read(size + size % 2)[:size]
 
 
-def _mp3_rate(data: bytes) -> int | None:
-    at = 0
-    if data[:3] == b"ID3" and len(data) >= 10:
-        size = 0
-        for b in data[6:10]:
-            size = size << 7 | b & 0x7F
-        at = 10 + size
-    while at + 4 <= len(data):
-        at = data.find(b"\xff", at)
-        if at < 0 or at + 4 > len(data):
-            return None
-        b1, b2 = data[at + 1], data[at + 2]
-        version, layer, index = b1 >> 3 & 3, b1 >> 1 & 3, b2 >> 2 & 3
-        if b1 >> 5 == 7 and layer and index < 3 and version in _MPEG_RATES:
-            return _MPEG_RATES[version][index]
-        at += 1
-    return None
+#: A frame of MPEG audio: eleven set bits, the version (not 1), the layer (not 0), a bitrate, the rate's place (not 3).
+_FRAME = re.compile(rb"(?=\xff([\xe2-\xe7\xf2-\xff])([\x00-\xff])[\x00-\xff])")
 
 
 def sample_rate(data: bytes, name: str = "") -> int | None:
     """From a WAV or MP3 header; None if there is none."""
-    if len(data) >= 28 and data[:4] == b"RIFF" and data[8:12] == b"WAVE" and (rate := _wav_rate(data)):
-        return rate
-    if name.lower().endswith(".mp3") or data[:3] == b"ID3" or len(data) >= 3 and data[0] == 0xFF and data[1] >= 0xE0:
-        return _mp3_rate(data)
+    if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
+        form = next((body for name, body in riff_chunks(data) if name == b"fmt "), b"")
+        # tag, channels, rate, bytes a second, block, bits: sixteen bytes
+        rate = struct.unpack("<HHIIHH", form[:16])[2] if len(form) >= 16 else 0
+        if 3_000 <= rate <= 384_000:
+            return rate
+    tagged = data[:3] == b"ID3"
+    if not (tagged or name.lower().endswith(".mp3") or data[:2] >= b"\xff\xe0"):
+        return None
+    # a tag's size has seven bits a byte
+    skip = 10 + sum((b & 0x7F) << 7 * k for k, b in enumerate(data[9:5:-1])) if tagged else 0
+    for m in _FRAME.finditer(data, skip):
+        version, layer, place = m[1][0] >> 3 & 3, m[1][0] >> 1 & 3, m[2][0] >> 2 & 3
+        if layer and place < 3 and version in _MPEG_RATES:
+            return _MPEG_RATES[version][place]
     return None
 
 

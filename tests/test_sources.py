@@ -4,6 +4,7 @@ import io
 import struct
 import zipfile
 
+import numpy as np
 import pytest
 
 from docloom.functions import align, formats
@@ -83,3 +84,26 @@ def test_alignment():
     one, two = "이 문단은 두 개로 나뉘는 긴 문단입니다. 추가된 문장.", "여기부터 둘째 문단이 시작됩니다."
     assert [k for k, *_ in align.compare([whole], [one, two])] == ["changed"]
     assert [k for k, *_ in align.compare(["a", "b", "c"], ["a", "x long other", "c"])] == ["unchanged", "deleted", "added", "unchanged"]
+
+
+def test_long_sequences_are_exact():
+    """Beyond what a table in memory holds: a path of most gain, and a longest common subsequence."""
+    rng = np.random.default_rng(2)
+    gain = rng.normal(size=(70, 55))
+    total = np.zeros((71, 56))
+    total[0], total[:, 0] = -0.5 * np.arange(56), -0.5 * np.arange(71)
+    for i in range(70):
+        for j in range(55):
+            total[i + 1, j + 1] = max(total[i, j] + gain[i, j], total[i, j + 1] - 0.5, total[i + 1, j] - 0.5)
+    path = align.best_path(lambda i: gain[i], 70, 55, 0.5)
+    assert sum(-0.5 if None in x else gain[x] for x in path) == pytest.approx(total[-1, -1])
+    a = [f"t{i}" for i in rng.integers(0, 400, 1500)]
+    b = [x if rng.random() < 0.8 else "new" for x in a if rng.random() < 0.9]
+    parts = align.diff_tokens(" ".join(a), " ".join(b), "ngram")
+    assert (2 * len(a)) * (2 * len(b)) > align.MOST_DIFF_CELLS
+    assert "".join(t for k, t in parts if k != "added") == " ".join(a) and "".join(t for k, t in parts if k != "deleted") == " ".join(b)
+    row = np.zeros(len(b) + 1, int)
+    for t in a:
+        row = np.maximum.accumulate(np.maximum(row, np.concatenate(([0], np.where(np.array(b) == t, row[:-1] + 1, 0)))))
+    assert sum(len(t.split()) for k, t in parts if k == "equal") >= row[-1]
+    assert align.diff_tokens(" ".join(a), " ".join(b), "ngram", align.MOST_DIFF_CELLS) == [("deleted", " ".join(a)), ("added", " ".join(b))]
