@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the `tokenizers` library, with bounded caches of encoded pieces.
+"""Token ids of whole texts by the `tokenizers` library, with a bounded table of encoded pieces.
 
 A text is cut only where the tokenizer itself always cuts, so the pieces' ids, joined, are the whole
 text's ids:
@@ -7,21 +7,33 @@ text's ids:
   attaches exactly that space to what follows, whatever the context.
 * ``words``: at ASCII spaces and line feeds, which this kind of vocabulary drops.
 
-A unit not seen before is cut again into Latin-letter runs and the rest, where the first cache missed;
-both caches are bounded (`UNITS`, `PIECES`) and start anew when full, so a worker's memory does not grow.
+In both, the ASCII punctuation that ends a run of Latin letters is a piece of its own. Pieces are hashed with
+NumPy and looked up all at once in a table of `SLOTS` places, where a new piece replaces the one in its place;
+the tokenizer sees only the others. The table never grows, so neither does a worker's memory.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
+from itertools import chain
 
-UNITS, PIECES = 900_000, 900_000
+import numpy as np
+
+from docloom.llm import hashing
+
+#: Places of the table (a power of two), and the most ids that a piece in it has.
+SLOTS, IDS = 1 << 21, 8
+U = np.uint64
+#: Bytes that UTF-8 never has: between pieces, and between texts.
+_CUT_BYTE, _TEXT_BYTE = b"\xff", b"\xfe"
 _NEAR_SPACE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: A run of Latin letters with or without a space before it, then ASCII punctuation up to the end.
-_LETTERS = re.compile("( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?%&$#*]+)?\\Z")
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b".,;:!?%&$#*")] = True
+#: Bytes of ASCII letters and of the Latin letters from U+00C0 to U+023F.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
 _loaded: dict[tuple[str, str], Encoder] = {}
 
 
@@ -35,52 +47,96 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.mode = mode
-        self.lead = " " if mode == "byte_level" else ""
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.n = np.zeros(SLOTS, np.uint8)
+        self.ids = np.zeros((SLOTS, IDS), np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
-    def cut(self, text: str) -> tuple[str, list[str]]:
-        """What comes first, and the units after it, each without the space before it."""
+    def cut(self, text: str) -> bytes:
+        """The text with a mark between pieces, in place of the space there."""
         if self.mode == "words":
-            return "", text.replace("\n", " ").split(" ")
-        if not text:
-            return "", []
-        if text[0] == " " or text[-1] == " " or _NEAR_SPACE.search(text):
+            return text.encode().replace(b"\n", _CUT_BYTE).replace(b" ", _CUT_BYTE)
+        if text and (text[0] == " " or text[-1] == " " or _NEAR_SPACE.search(text)):
             first, *rest = _CUT.split(text)
-            return first, [x[1:] for x in rest]
-        first, *rest = text.split(" ")
-        return first, rest
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, units: list[str]) -> None:
-        """Puts the units' ids into the cache."""
-        pieces, lead = self.pieces, self.lead
-        if len(pieces) > PIECES:
-            pieces.clear()
-        parts = []
-        for u in units:
-            m = _LETTERS.match(lead + u)
-            parts.append((lead + u, None) if m is None else m.groups())
-        flat = {p for pair in parts for p in pair if p is not None}
-        new = list(flat.difference(pieces))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            pieces.update(zip(part, self.whole(part)))
-        self.units.update((u, pieces[a] if b is None else pieces[a] + pieces[b]) for u, (a, b) in zip(units, parts))
+            return _CUT_BYTE.join([first.encode(), *[x[1:].encode() for x in rest]])
+        return text.encode().replace(b" ", _CUT_BYTE)
+
+    def pieces(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces, none of them empty, and whether the space before belongs to each."""
+        marks = np.flatnonzero(data >= 0xFE)
+        start, end = np.concatenate(([0], marks + 1)), np.append(marks, len(data))
+        spaced = ~np.isin(start, begin) if self.mode == "byte_level" else np.zeros(len(start), bool)
+        keep = end > start
+        start, end, spaced = start[keep], end[keep], spaced[keep]
+        # where the punctuation at a piece's end begins
+        plain = np.flatnonzero(~_PUNCTUATION[data])
+        last = np.searchsorted(plain, end) - 1
+        mid = np.maximum(np.where(last >= 0, plain[np.maximum(last, 0)] + 1 if len(plain) else 0, 0), start)
+        odd = ~_LETTER[data]
+        times = data[:-1] == 0xC3
+        odd[:-1] |= times & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # signs among the letters
+        count = np.concatenate(([0], np.cumsum(odd)))
+        split = (mid > start) & (mid < end) & (count[mid] == count[start])
+        order = np.argsort(np.concatenate((np.arange(len(start)) * 2, np.flatnonzero(split) * 2 + 1)), kind="stable")
+        ends = np.where(split, mid, end)
+        return (np.concatenate(x)[order] for x in ((start, mid[split]), (ends, end[split]), (spaced, np.zeros(int(split.sum()), bool))))
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        cut = [self.cut(t or "") for t in texts]
-        if len(self.units) > UNITS:
-            self.units.clear()
-        units = self.units
-        if new := set().union(*[x for _, x in cut]).difference(units):
-            self.learn(list(new))
-        heads = self.whole([x for x, _ in cut])
-        get = units.__getitem__
-        return [head + b"".join(map(get, x)) for head, (_, x) in zip(heads, cut)]
+        made = [self.cut(t or "") for t in texts]
+        blob = _TEXT_BYTE.join(made)
+        data = np.frombuffer(blob, np.uint8)
+        begin = np.cumsum([0] + [len(x) + 1 for x in made])[:-1]
+        start, end, spaced = self.pieces(data, begin)
+        if not len(start):
+            return [b""] * len(texts)
+        tag, place = (hashing.span_hashes(data, start, end, table) for table in (hashing.BYTE, hashing.BYTE_2))
+        _, first, which = np.unique(tag ^ spaced.astype(np.uint64), return_index=True, return_inverse=True)
+        tag, place, own = tag[first], (place[first] + spaced[first].astype(np.uint64)) & U(SLOTS - 1), spaced[first]
+        tag = (tag ^ own.astype(np.uint64)) | U(1 << 63)  # zero is an empty place
+        known = self.keys[place] == tag
+        n = np.zeros(len(tag), np.int64)
+        n[known] = self.n[place[known]]
+        rows = self.ids[place[known]]
+        flat = [rows[np.arange(IDS) < n[known][:, None]].astype(np.uint32)]
+        at, held = np.zeros(len(tag), np.int64), len(flat[0])
+        at[known] = np.cumsum(n[known]) - n[known]
+        new = np.flatnonzero(~known)
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            strings = [(" " if s else "") + blob[a:b].decode() for a, b, s in zip(start[first[part]].tolist(), end[first[part]].tolist(), own[part].tolist())]
+            ids, n[part] = self.whole(strings)
+            at[part] = held + np.cumsum(n[part]) - n[part]
+            held += len(ids)
+            flat.append(ids)
+        ids = np.concatenate(flat)
+        short = new[n[new] <= IDS]
+        _, last = np.unique(place[short], return_index=True)
+        short = short[last]
+        row = np.arange(IDS) < n[short][:, None]
+        values = np.zeros((len(short), IDS), self.ids.dtype)
+        values[row] = ids[_ranges(at[short], n[short])]
+        self.keys[place[short]], self.n[place[short]], self.ids[place[short]] = tag[short], n[short], values
+        length = n[which]
+        out = ids[_ranges(at[which], length)]
+        upto = np.concatenate(([0], np.cumsum(length)))
+        edge = upto[np.searchsorted(start, np.append(begin, len(data) + 1))].tolist()
+        return [out[a:b].tobytes() for a, b in zip(edge, edge[1:])]
+
+
+def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranges at .. at + n one after another."""
+    return np.arange(int(n.sum())) + np.repeat(at - (np.cumsum(n) - n), n)
+
+
+def release() -> None:
+    """Gives back what this worker holds."""
+    _loaded.clear()
 
 
 def encoder(path: str, mode: str) -> Encoder:

@@ -10,6 +10,8 @@ _INV = pow(_BASE, -1, 1 << 64)
 #: A random 64-bit value for every byte, so that the rolling sum does not depend on small byte values.
 BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 BYTE_2 = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Bytes that are hashed at once, which bounds the memory that a long text takes.
+STRETCH = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -50,6 +52,18 @@ def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((pre[end] - pre[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+    """As `spans`, of spans in order that do not overlap, a bounded stretch of the data at a time."""
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + STRETCH, "right")))
+        low = start[a]
+        out[a:b] = spans(prefix(data[low : end[b - 1]], table), start[a:b] - low, end[a:b] - low)
+        a = b
+    return out
+
+
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of anything but ASCII white space."""
     inside = np.zeros(len(data) + 2, np.int8)
@@ -65,7 +79,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begins = np.zeros(len(texts), np.int64)
     if len(texts) > 1:
         np.cumsum([len(t) + 1 for t in texts[:-1]], out=begins[1:])
-    return spans(prefix(data), start, end), np.searchsorted(begins, start, "right") - 1
+    return span_hashes(data, start, end), np.searchsorted(begins, start, "right") - 1
 
 
 def runs(sorted_keys: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import hashing
-from docloom.llm.common import chunks, ready
+from docloom.llm.common import chunks, lean, ready
 from docloom.llm.langid import held_out
 
 FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 800, 2_400, 7 << 20
@@ -56,12 +56,11 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
     of = np.searchsorted(begin, start, "right") - 1
-    pre = hashing.prefix(data)
     keys = np.zeros((len(start), 1 + len(STEMS)), np.uint64)
-    keys[:, 0] = hashing.mix(hashing.spans(pre, start, end) + U(1))
+    keys[:, 0] = hashing.mix(hashing.span_hashes(data, start, end) + U(1))
     for i, n in enumerate(STEMS, 1):
         long = np.flatnonzero(end - start >= n)
-        keys[long, i] = hashing.spans(pre, start[long], start[long] + n)
+        keys[long, i] = hashing.span_hashes(data, start[long], start[long] + n)
     return start - begin[of], end - begin[of], of, keys
 
 
@@ -294,7 +293,7 @@ def tag(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").lower().encode() for t in batch.column(1).to_pylist()]
-            for a, b in chunks([len(t) for t in texts], 1 << 20):
+            for a, b in chunks([len(t) for t in texts], 1 << 18):
                 start, end, of, keys = tokens(texts[a:b])
                 marginal = model.marginals(of, keys)
                 out = [batch.column(0).slice(a, b - a), pa.array(model.scores(of, marginal, b - a))]
@@ -306,7 +305,7 @@ def tag(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "score", "spans"][: len(out)])
 
     schema = "doc_id long, score double" + ", spans array<struct<start: int, end: int, marginal: double>>" * spans
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(make), schema)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -316,12 +315,12 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for batch in batches:
             texts = [(t or "").lower().encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             keep = np.zeros(len(texts), bool)
-            for a, b in chunks([len(t) for t in texts], 1 << 20):
+            for a, b in chunks([len(t) for t in texts], 1 << 18):
                 _, _, of, keys = tokens(texts[a:b])
                 keep[a:b] = model.scores(of, model.marginals(of, keys), b - a) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(make, docs.schema)
+    return docs.mapInArrow(lean(make), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, spans: bool = False) -> DataFrame:
