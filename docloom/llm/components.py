@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-Each round is two joins and two grouped minima; only row counts and checksums reach the driver. Hub
-nodes are hot join keys, which adaptive execution splits; minima are pre-aggregated before the shuffle.
+Each round is two joins and two grouped minima; only row counts and checksums reach the driver. Minima are
+pre-aggregated before the shuffle and stored: a join of two shuffled tables, not of a table with a grouping, is
+what adaptive execution can split where a hub node is a hot key.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     e = store(e, "edges")
     told = None
     for _ in range(most):
-        large = _large_star(e)
-        small = store(_small_star(large), "edges")
-        drop(e)
-        e = small
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = _least(both)
+        large = store(_large_star(both, least), "edges")
+        drop(e, least)
+        least = _least(large)
+        e = store(_small_star(large, least), "edges")
+        drop(large, least)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == told:
             break
@@ -37,19 +41,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     )
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _least(e: DataFrame) -> DataFrame:
+    """u, m: the least neighbour of every node with edges (u, v). Stored."""
+    return store(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+
+
+def _large_star(both: DataFrame, least: DataFrame) -> DataFrame:
+    """Larger neighbours are joined to the least of a node and its neighbours."""
     return (
-        both.join(least, "u")
-        .where("v > u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both.where("v > u")
+        .join(least, "u")
+        .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         .where("u <> v")
         .distinct()
     )
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(e: DataFrame, least: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are joined to the least of these."""
     rest = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

@@ -1,154 +1,111 @@
 """N-gram Jaccard join by a token-group matrix: all documents whose shingle sets reach a similarity.
 
 1. Equal sets become one class (128-bit set fingerprint and size), so copies are never compared.
-2. The matrix of tokens and groups is addressed through slices: the token space is cut into more slices
-   than two linked sets of a size band can differ in, so linked sets agree on some whole slice. A slice that
-   only one class has is dropped; classes that meet in slices, directly or through others, are one group of
-   similar sets. Common passages do not matter here, as a slice holds a set's tokens from all over the text.
+2. A set's probes are its tokens under a bound of the hash space, the same bound for all sets. A linked set has
+   all but `n - ceil(t n)` of them, so two linked sets meet in the rarest so many (and one) of their probes;
+   tokens that only one class has come first and meet nobody. Sets too small for probes to tell index all they
+   have, and once more all their tokens among themselves. Sets that meet, directly or through others, are one
+   group of similar sets; common passages do not matter, as their tokens are not a set's rarest.
 3. Groups are cut into blocks of bounded size. A block stores its token union once and its members as
    positions in the union, compressed: little for similar sets.
-4. For every two blocks of a group, each member's overlap with the other block's union bounds its
-   similarity to all that block's members. Only members that reach the threshold are opened and compared
-   exactly, by one matrix product; spanning links leave the task, not all pairs.
-5. Connected components of the links, and of the copies, are the result.
-
-Below 0.9, where slices are many, only documents that can have a link at all get slices: those of whose
-tokens under a fixed hash bound so many occur elsewhere as a link needs (see `can_link`).
-
-No filter loses a link: 2 is a pigeonhole argument (see `slices`), 4 is |Q & D| <= |Q & union|.
-
-Nulls and edge cases: a text that is null or has no words has no shingles and is its own component;
-a text shorter than a shingle is one shingle; repeated rows are copies; rows without a doc_id
-link only with equal sets below 0.9. An empty table gives no rows.
+4. For two blocks of a group, each member's overlap with the other block's union bounds its similarity to all
+   that block's members. Only members that reach the threshold are opened and compared exactly, by one matrix
+   product; spanning links leave the task, not all pairs.
+5. A block is compared within itself and with the group's first block. What is in the group's largest component
+   by then needs no further comparison among itself; only the members outside it meet all other blocks. So a
+   group of near copies costs as much as it has members, not its square.
+6. Connected components of the links, and of the copies, are the result.
+
+No filter loses a link: 2 is the prefix argument, 4 is |Q & D| <= |Q & union|, 5 leaves out pairs that are
+connected already.
+
+Nulls and edge cases: a text that is null or has no words has no shingles, is linked with nothing and is its own
+component; a text shorter than a shingle is one shingle. Rows count by id and text: the same id with another text
+is another document, with the same text a copy of it. Rows without an id link like others; a component takes the
+least id that it has, null if it has none. An empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import hashing
-from docloom.llm.common import binary_list, chunks, drop, list_array, ready, store
+from docloom.llm.common import binary_list, chunks, drop, lean, list_array, ready, store
 from docloom.llm.components import components
 
 #: Members and tokens of a block; a single larger set is a block of its own.
 BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 18
-#: Up to so many documents are fetched by broadcasting their ids; more by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: The share of the token space over which `can_link` counts, above the share in which linked sets may differ.
-PROBE_MARGIN = 0.07
+#: Up to so many rows of ids (about 64 bytes each) are broadcast; more go by a shuffle.
+BROADCAST_IDS = 200_000
+#: The share of the token space that probes take, above the share in which linked sets may differ.
+PROBE_MARGIN = 0.2
 U = np.uint64
 
 
-@lru_cache(maxsize=None)
-def bands(p: int, q: int) -> tuple[tuple[int, int, int, int, int], ...]:
-    """Size bands (least size, greatest, slices, weak slices allowed, least tokens of a slice that is not weak).
-
-    For sets of at most `top` tokens each, similarity p/q or more means that they differ in at most
-    2 top (q-p)/(q+p) tokens.
-    """
-    out, low = [], 1
-    while low < 1 << 40:
-        top = max(low, math.ceil(low * 1.2) - 1)
-        differ = 2 * top * (q - p) // (q + p)
-        strong, extra = 1, 1
-        for least in (5, 4, 3, 2, 1):  # slices as telling as the number of weak ones allows
-            more = 1
-            for _ in range(12):
-                mean = 0.95 * low / (differ + 1 + more)
-                few = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(least))
-                more = math.ceil(1.2 * (differ + 1 + more) * few + 1)
-            if more <= max(2, 0.25 * differ) or least == 1:
-                strong, extra = least, min(more, max(2, differ))
-                break
-        out.append((low, top, differ + 1 + extra if differ else 0, extra, strong))
-        low = top + 1
-    return tuple(out)
-
-
-def slices(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Signatures of a set's slices (ascending hashed tokens in), for its own size band and all that it can reach.
-
-    With d possible differences and d + 1 + w slices, linked sets agree on w + 1 slices at least. Unless
-    both sets have more than w weak slices, one of these is not weak; where a set has more, it gives its
-    weak slices too. So linked sets always share a signature.
-    """
-    n, made = len(tokens), []
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashing.mix(tokens ^ U(0x5851F42D4C957F2D)), out=total[1:])
-    for i, (low, top, parts, weak, strong) in enumerate(bands(p, q)):
-        if top < n:
-            continue
-        if low * p > n * q:
-            break
-        if not parts:
-            continue
-        at = ((tokens >> U(32)) * U(parts)) >> U(32)
-        size = np.bincount(at.astype(np.int64), minlength=parts)
-        end = np.cumsum(size)
-        start = end - size
-        keep = np.arange(parts) if (size < strong).sum() > weak else np.flatnonzero(size >= strong)
-        own = total[end[keep]] - total[start[keep]]
-        made.append(hashing.mix(own + hashing.mix(keep.astype(np.uint64) + U((i + 1) << 40)) + size[keep].astype(np.uint64)))
-    return np.concatenate(made) if made else np.zeros(0, np.uint64)
-
-
-def fingerprints(docs: DataFrame, k: int, p: int, q: int, probe: float = 0.0, with_slices: bool = True) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n, k1, k2 (the set's fingerprint), slices, and on request probes and need.
-
-    probes: the tokens under `probe` of the hash space; need: how many of them a linked set must have too.
-    """
-    bound = U(int(probe * 2**64)) if probe < 1 else U(2**64 - 1)
+def fingerprints(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """docs(doc_id, t, text) -> doc_id, t, n, k1, k2 (the set's fingerprint), probes, and `tokens` where probes are too few to tell."""
+    share = min(1.0, (q - p) / q + PROBE_MARGIN)
+    bound = U(int(share * 2**64)) if share < 1 else U(2**64 - 1)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or b"").lower() for t in binary_list(batch.column(1))]  # A-Z only
+            texts = [(t or b"").lower() for t in binary_list(batch.column(2))]  # A-Z only
             for a, b in chunks([len(t) for t in texts]):
                 tokens, n = hashing.shingle_sets(texts[a:b], k)
                 end = np.cumsum(n)
                 start = end - n
                 one, two = (np.concatenate(([U(0)], np.cumsum(hashing.mix(tokens ^ U(s)), dtype=np.uint64))) for s in (11, 29))
                 keys = [hashing.mix(x[end] - x[start]).view(np.int64) for x in (one, two)]
-                out = [batch.column(0).slice(a, b - a), pa.array(n), pa.array(keys[0]), pa.array(keys[1])]
-                if with_slices:
-                    out.append(_lists([slices(tokens[i:j], p, q) for i, j in zip(start, end)]))
-                if probe:
-                    own = [tokens[i:j][: np.searchsorted(tokens[i:j], bound)] for i, j in zip(start, end)]
-                    out += [_lists(own), pa.array(np.array([len(x) for x in own]) - (n - -(-n * p // q)), pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, names)
-
-    schema = "doc_id long, n long, k1 long, k2 long" + ", slices array<long>" * with_slices + ", probes array<long>, need long" * bool(probe)
+                probes = [tokens[i:j][: np.searchsorted(tokens[i:j], bound)] for i, j in zip(start, end)]
+                few = np.array([len(x) for x in probes]) <= n - -(-n * p // q)
+                every = [tokens[i:j] if x else tokens[:0] for i, j, x in zip(start, end, few)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), *map(pa.array, keys), _lists(probes), _lists(every)], names)
+
+    schema = "doc_id long, t long, n long, k1 long, k2 long, probes array<long>, tokens array<long>"
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, schema)
+    return docs.select("doc_id", "t", "text").mapInArrow(lean(make), schema)
 
 
 def _lists(own: list[np.ndarray]) -> pa.ListArray:
     return list_array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64), np.array([len(x) for x in own], np.int64))
 
 
-def can_link(made: DataFrame) -> DataFrame:
-    """doc_id of the documents that may have a link: enough of their probes occur in another row too.
+def rarest(sets: DataFrame, tokens: str, p: int, q: int) -> DataFrame:
+    """sets(k1, n, tokens) -> k1, x: the tokens of each set in which linked sets meet. Stored.
 
-    A set linked with A lacks at most n - t n of A's tokens, so it has all but as many of A's probes, and
-    probes are chosen by their hash alone, the same for all sets. A need of zero or less passes; such rows
-    are partners of others all the same, so their probes count as occurrences.
+    The order of tokens is the same for all sets: first those that only one set has, then by number of sets.
     """
-    rows = made.where("n > 0").select("k1", "need", F.explode("probes").alias("x"))
-    shared = rows.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
-    enough = rows.where("need > 0").join(shared, "x").groupBy("k1").agg(F.count("*").alias("have"))
-    found = made.where("n > 0").join(enough, "k1", "left").where("need <= 0 OR have >= need").select("doc_id").distinct()
-    return store(found, "can-link", free=True)
+    rows = sets.select("k1", F.explode(tokens).alias("x"))
+    shared = rows.groupBy("x").agg(F.count("*").cast("int").alias("c"), F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("x", "c")
+    shared = store(shared, "shared")  # so that a join with hot tokens can be split
+    own = rows.join(shared, "x").groupBy("k1").agg(F.collect_list(F.struct("c", "x")).alias("l"))
+    own = own.join(sets.select("k1", "n", F.size(tokens).alias("m")), "k1")
+    lose = F.col("n") - F.ceil(F.col("n") * p / q)
+    many = F.when(F.col("m") > lose, lose + 1 - (F.col("m") - F.size("l"))).otherwise(F.size("l")).cast("int")
+    own = own.withColumn("many", many).where("many > 0")
+    out = store(own.select("k1", F.explode(F.slice(F.sort_array("l"), F.lit(1), F.col("many"))).alias("e")).select("k1", "e.x"), "index")
+    drop(shared)
+    return out
+
+
+def meetings(sets: DataFrame, p: int, q: int) -> DataFrame:
+    """(k1, lo): every set that meets another, and the least set that it meets in a token. Stored."""
+    probes, every = rarest(sets, "probes", p, q), rarest(sets.where(F.size("tokens") > 0), "tokens", p, q)
+    index = probes.union(every)
+    live = store(index.groupBy("x").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("x", "lo"), "live")
+    out = store(index.join(live, "x").where("k1 <> lo").select("k1", "lo").distinct(), "meet")
+    drop(probes, every, live)
+    return out
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs(block, doc_id, text) -> block, doc_id, tokens (ascending 64-bit hashes)."""
+    """docs(block, k1, text) -> block, k1, tokens (ascending 64-bit hashes)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +114,9 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 tokens, n = hashing.shingle_sets(texts[a:b], k)
                 end = np.cumsum(n)
                 blobs = [tokens[i:j].tobytes() for i, j in zip(end - n, end)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(blobs, pa.binary())], ["block", "doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(blobs, pa.binary())], ["block", "k1", "tokens"])
 
-    return docs.mapInArrow(make, "block long, doc_id long, tokens binary")
+    return docs.mapInArrow(lean(make), "block long, k1 long, tokens binary")
 
 
 def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +128,7 @@ def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             union, at = np.unique(np.frombuffer(b"".join(m["tokens"] for m in members), np.uint64), return_inverse=True)
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([row["block"]], pa.int64()),
-                "ids": pa.array([[m["doc_id"] for m in members]], pa.list_(pa.int64())),
+                "ids": pa.array([[m["k1"] for m in members]], pa.list_(pa.int64())),
                 "sizes": pa.array([[len(m["tokens"]) // 8 for m in members]], pa.list_(pa.int32())),
                 "all_tokens": pa.array([union.tobytes()], pa.binary()),
                 "at": pa.array([_pack(at)], pa.binary()),
@@ -260,43 +217,18 @@ def open_groups(one: Block, two: Block | None, p: int, q: int) -> list[tuple[int
     return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j]
 
 
-def ngram_components(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: components of the links with 'q * intersection >= p * union'."""
-    spark = docs.sparkSession
-    ready(spark)
-    docs = docs.select("doc_id", F.col(text).alias("text"))
-    probing = 10 * (q - p) > q
-    if probing:
-        made = store(fingerprints(docs, k, p, q, min(1.0, (q - p) / q + PROBE_MARGIN), False), "fingerprints")
-        ids = can_link(made)
-        few = ids.count() <= BROADCAST_IDS
-        chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        sliced = store(fingerprints(chosen, k, p, q), "slices")
-    else:
-        made = sliced = store(fingerprints(docs, k, p, q), "fingerprints")
-    classes = store(made.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    rows = sliced.select("k1", F.explode("slices").alias("s"))
-    live = rows.groupBy("s").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("s", "lo")
-    meet = store(rows.join(live, "s").where("k1 <> lo").select("k1", "lo").distinct(), "meet", free=True)
-    members = classes.join(components(meet, "k1", "lo").withColumnsRenamed({"node": "k1", "component": "g"}), "k1")
-    size = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    members = members.join(size, "g").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = store(members.select("rep", F.xxhash64("g", "part").alias("block")), "members")
-    parts = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
-    pairs = size.where("blocks > 1").select("g", "blocks", parts).where("i < blocks - 1").select("g", "i", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)).alias("j"))
-    pairs = pairs.select(F.xxhash64("g", "i").alias("one"), F.xxhash64("g", "j").alias("two"))
-
-    wanted = members.select("block", F.col("rep").alias("doc_id"))
+def _blocks(members: DataFrame, docs: DataFrame, k: int, repeated: bool) -> DataFrame:
+    """members(block, k1, id, tt): each set's block and the row to make it from -> stored blocks."""
     if members.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]) if _repeated(made) else docs.join(wanted, "doc_id")
-    sets = _sets(texts.select("block", "doc_id", "text"), k)
-    members_of = sets.groupBy("block").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members"))
-    blocks = store(members_of.mapInArrow(_unions, "block long, ids array<long>, sizes array<int>, all_tokens binary, at binary"), "blocks", free=True)
+        members = F.broadcast(members)
+    texts = docs.join(members, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("tt"))).select("block", "k1", "text")
+    sets = _sets(texts.dropDuplicates(["block", "k1"]) if repeated else texts, k)
+    listed = sets.groupBy("block").agg(F.collect_list(F.struct("k1", "tokens")).alias("members"))
+    return store(listed.mapInArrow(lean(_unions), "block long, ids array<long>, sizes array<int>, all_tokens binary, at binary"), "blocks")
 
-    names = ("ids", "sizes", "all_tokens", "at")
-    first = blocks.select(F.col("block").alias("one"), F.struct(*names).alias("x"))
-    second = blocks.select(F.col("block").alias("two"), F.struct(*names).alias("y"))
+
+def _compared(pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """(x, y: blocks; y may be absent) -> a, b: spanning links."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,34 +238,97 @@ def ngram_components(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10, text:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in found], pa.int64()) for j in (0, 1)], ["a", "b"])
 
-    within = first.where(F.size("x.ids") > 1).select("x").mapInArrow(verify, "a long, b long")
-    across = pairs.join(first, "one").join(second, "two").select("x", "y").mapInArrow(verify, "a long, b long")
-    links = store(within.union(across), "links", free=True)
-    of = components(links)
-    result = (
-        made.where("n > 0").select("doc_id", "n", "k1", "k2")
-        .join(classes, ["k1", "k2", "n"])
-        .join(of, F.col("rep") == F.col("node"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-        .union(made.where("n = 0").select("doc_id", "n", "doc_id"))
-    )
+    return pairs.mapInArrow(lean(verify), "a long, b long")
+
+
+def _links(docs: DataFrame, members: DataFrame, k: int, p: int, q: int, repeated: bool) -> DataFrame:
+    """members(g, k1, n, id, tt), stored -> stored links (a, b) of sets, enough to connect all that are linked."""
+    size = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
+    placed = members.join(size, "g").withColumn("part", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
+    placed = store(placed.select("g", "part", "k1", "id", "tt", (F.col("blocks") > 1).alias("more"), F.xxhash64("g", "part").alias("block")), "members")
+    blocks = _blocks(placed.select("block", "k1", "id", "tt"), docs, k, repeated)
+    payload = F.struct("ids", "sizes", "all_tokens", "at")
+    one, two = blocks.select(F.col("block").alias("one"), payload.alias("x")), blocks.select(F.col("block").alias("two"), payload.alias("y"))
+
+    links = _compared(one.where(F.size("x.ids") > 1).select("x"), p, q)
+    large = placed.where("more").select("g", "part", "block").distinct()
+    if not large.limit(1).count():
+        out = store(links, "links")
+        drop(placed, blocks)
+        return out
+    first = large.groupBy("g").agg(F.min_by("block", "part").alias("two"))
+    pairs = large.join(first, "g").where("block <> two").select(F.col("block").alias("one"), "two")
+    links = store(links.union(_compared(pairs.join(two, "two").join(one, "one").select("x", "y"), p, q)), "links")
+    # members outside their group's largest component meet all the group's blocks but their own and the first
+    of = components(links).select(F.col("node").alias("k1"), "component")
+    labelled = placed.where("more").join(of, "k1", "left").select("g", "k1", "id", "tt", "block", F.coalesce("component", "k1").alias("c"))
+    main = labelled.groupBy("g", "c").agg(F.count("*").alias("many")).groupBy("g").agg(F.max_by("c", F.struct("many", "c")).alias("main"))
+    rest = labelled.join(main, "g").where("c <> main")
+    many = rest.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"))
+    rest = rest.join(many, "g").select("g", "k1", "id", "tt", F.xxhash64("g", F.lit("rest"), F.pmod(F.xxhash64("k1", F.lit(1)), F.col("parts"))).alias("block"))
+    rest = store(rest, "rest")
+    outside = _blocks(rest.select("block", "k1", "id", "tt"), docs, k, repeated)
+    pairs = rest.select("g", F.col("block").alias("one")).distinct().join(large.join(first, "g").where("block <> two").select("g", F.col("block").alias("two")), "g").select("one", "two")
+    three = outside.select(F.col("block").alias("one"), payload.alias("x"))
+    out = store(links.union(_compared(pairs.join(three, "one").join(two, "two").select("x", "y"), p, q)), "links")
+    drop(placed, blocks, links, rest, outside)
+    return out
+
+
+def _known(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, t (hash of the text), text: a row's key is its id and t."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+
+
+def _classes(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """docs as by `_known` -> doc_id, t, n, first(id, t): of every row, the first row of its component. Stored."""
+    ready(docs.sparkSession)
+    made = store(fingerprints(docs, k, p, q), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("t").alias("tt"))
+    live = made.where("n > 0")
+    sets = store(live.groupBy("k1", "k2", "n").agg(F.min(row).alias("rep"), F.first("probes").alias("probes"), F.first("tokens").alias("tokens")), "sets")
+    meet = meetings(sets, p, q)
+    group = components(meet, "k1", "lo").select(F.col("node").alias("k1"), F.col("component").alias("g"))
+    members = store(sets.select("k1", "n", "rep.id", "rep.tt").join(group, "k1"), "grouped")
+    links = _links(docs, members, k, p, q, repeated(made))
+    of = components(links).select(F.col("node").alias("k1"), "component")
+    reps = sets.select("k1", "k2", "n", "rep").join(of, "k1", "left")
+    first = reps.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("lead"))
+    reps = reps.join(first, "component", "left").select("k1", "k2", "n", F.coalesce("lead", "rep").alias("first"))
+    result = live.select("doc_id", "t", "n", "k1", "k2").join(reps, ["k1", "k2", "n"]).select("doc_id", "t", "n", "first.id", "first.tt")
+    result = result.union(made.where("n = 0").select("doc_id", "t", "n", "doc_id", "t"))
     out = store(result, "components")
-    drop(made, sliced, classes, meet, members, blocks, links)
+    drop(made, sets, meet, members, links)
     return out
 
 
+def ngram_components(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: components of the links with 'q * intersection >= p * union'."""
+    return _classes(_known(docs, text), k, p, q).select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+
+
 def keep_first(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10) -> DataFrame:
-    """The documents, with all their columns, less all but one (the least doc_id) of each component.
+    """The documents, with all their columns, less all but one of each component: its least id (null last) stays.
 
-    Rows that repeat a kept document's id are copies of it and go too, unless their text differs.
+    Of rows that repeat both id and text of the one that stays, and have words, one stays too, whichever Spark
+    takes first; rows without words all stay.
     """
-    found = ngram_components(docs, k, p, q)
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.dropDuplicates(["doc_id", "text"]) if _repeated(found) else left
+    found = _classes(_known(docs), k, p, q)
+    gone = found.where("n > 0 AND NOT (doc_id <=> id AND t = tt)").select("doc_id", "t").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tt"))
+    same: Column = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("tt") == F.col("t"))
+    left = rows.join(_small(gone), same, "left_anti")
+    twice = found.where("n > 0").groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t")
+    if repeated(found):
+        once = left.join(_small(twice), same, "left_semi").dropDuplicates(["id", "tt"])
+        left = left.join(_small(twice), same, "left_anti").union(once)
+    return left.select("row.*")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def _repeated(made: DataFrame) -> bool:
-    """Whether any doc_id comes twice: then a class's text is fetched once all the same."""
-    return made.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+def repeated(made: DataFrame) -> bool:
+    """Whether any row comes twice: then a class's text is fetched once all the same."""
+    return made.where("n > 0").groupBy("doc_id", "t").count().where("count > 1").limit(1).count() > 0
