@@ -22,8 +22,10 @@ Matches are judged on the input, never cross documents, and may overlap, also wi
 128 bits in all where they decide. Copies of a whole document are found by their fingerprint and take part
 once.
 
+Rows are known by their id and the hash of their text, whose last bit says whether there is an id.
+
 Nulls and edge cases: null text counts as empty; texts under `width` bytes keep all; repeated rows are
-copies of each other; an empty table gives no rows.
+copies of each other; rows without an id take part like others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import hashing
-from docloom.llm.common import binary_list, chunks, drop, list_array, partitions_of, ready, store
+from docloom.llm.common import binary_list, chunks, drop, lean, list_array, partitions_of, ready, store
 
 U = np.uint64
 GRAM = 64
@@ -45,9 +47,9 @@ FAMILY = 64
 #: Rows of a bucket: more rows, more buckets.
 BUCKET_ROWS = 1_000_000
 #: Up to so many documents are picked out by broadcasting their ids; more by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 #: A text is hashed in stretches of so many bytes.
-STRETCH = 1 << 22
+STRETCH = 1 << 19
 _PLACE = (1 << 24) - 1
 
 
@@ -120,7 +122,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "t", "n_bytes", "f1", "f2", "sha256", "anchors"],
                 )
 
-    return docs.mapInArrow(make, "doc_id long, t long, n_bytes long, f1 long, f2 long, sha256 string, anchors array<long>")
+    return docs.mapInArrow(lean(make), "doc_id long, t long, n_bytes long, f1 long, f2 long, sha256 string, anchors array<long>")
 
 
 _ROWS = "doc_id long, t long, at long, many int, t1 long, t2 long"
@@ -162,7 +164,7 @@ def _families(docs: DataFrame, width: int) -> DataFrame:
                 at = start - r.begin[doc] + np.array([x[1] for x in of])
                 yield _rows([ids[x[0]] for x in of], [ts[x[0]] for x in of], at, end - start + 1, t1, t2)
 
-    return docs.mapInArrow(make, _ROWS)
+    return docs.mapInArrow(lean(make), _ROWS)
 
 
 def _single(docs: DataFrame, width: int) -> DataFrame:
@@ -180,7 +182,7 @@ def _single(docs: DataFrame, width: int) -> DataFrame:
                     tokens = [hashing.spans(hashing.prefix(data, table), at, at + width) for table in (hashing.BYTE, hashing.BYTE_2)]
                     yield _rows([doc_id] * len(at), [t] * len(at), at + begin, np.ones(len(at), np.int32), *tokens)
 
-    return docs.mapInArrow(make, _ROWS)
+    return docs.mapInArrow(lean(make), _ROWS)
 
 
 def multikey_quicksort(columns: list[np.ndarray], leaf: int = 4096) -> np.ndarray:
@@ -232,7 +234,7 @@ def sort_suffixes(rows: DataFrame, tag: str) -> DataFrame:
         out = out.append_column("edge", pa.array(edge)).append_column("bucket", pa.array(np.full(len(t1), TaskContext.get().partitionId(), np.int32)))
         yield from out.to_batches(max_chunksize=50_000)
 
-    done = store(rows.repartitionByRange(n, "t1", "t2", "doc_id", "at").mapInArrow(bucket, _ROWS + ", turn boolean, same boolean, edge int, bucket int"), tag)
+    done = store(rows.repartitionByRange(n, "t1", "t2", "doc_id", "at").mapInArrow(lean(bucket), _ROWS + ", turn boolean, same boolean, edge int, bucket int"), tag)
     # two rows a bucket at most: the last of one bucket against the first of the next that has rows
     ends = done.where("edge > 0").withColumn("_e", F.explode(F.expr("CASE edge WHEN 3 THEN array(1, 2) ELSE array(edge) END")))
     by_place = Window.orderBy("bucket", "_e")
@@ -265,7 +267,7 @@ def repeated_spans(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     marked_s = store(marked.select("doc_id", "t", "n_bytes", "sha256", "copy", (~F.col("copy") | F.col("doc_id").eqNullSafe(F.col("rep"))).alias("takes_part"), "anchors"), "marked")
     drop(profile)
     anchors = marked_s.where("takes_part").select("doc_id", "t", F.explode("anchors").alias("h"))
-    shared = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    shared = store(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")  # the join can be split at hot anchors
     per = store(anchors.join(shared, "h").groupBy("doc_id", "t").agg(F.collect_set("h").alias("shared")), "shared")
     families = store(_families(_with_text(docs, per, "shared"), width), "families")
     sorted_1 = sort_suffixes(families, "sorted")
@@ -274,16 +276,21 @@ def repeated_spans(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     sorted_2 = sort_suffixes(single, "sorted")
     found = sorted_1.where("same").select("doc_id", "t", "at", "many").union(sorted_2.where("same").select("doc_id", "t", "at", "many"))
     spans = store(found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "many")).alias("spans")), "spans")
-    drop(per, families, sorted_1, mixed, single, sorted_2)
+    drop(shared, per, families, sorted_1, mixed, single, sorted_2)
     return marked_s, spans
 
 
+def keyed(doc_id: Column, text: Column) -> list[Column]:
+    """doc_id (-1 for none) and t, neither null, by which a row is known; t is odd where there is no id."""
+    t = F.shiftleft(F.xxhash64(text), 1).bitwiseOR(doc_id.isNull().cast("long"))
+    return [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("doc_id"), t.alias("t")]
+
+
 def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, t (hash of the text), n_bytes, n_removed, n_spans, kept_sha256, kept (the
-    text left, without characters that lost a byte; null where all or nothing went). Stored.
+    """docs(doc_id, text) -> doc_id, t (see `keyed`), n_bytes, n_removed, n_spans, kept_sha256, kept (the text left, without characters that lost a byte; null where all or nothing went). Stored.
     """
     ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t"), "text")
+    docs = docs.select(*keyed(F.col("doc_id"), F.col("text")), "text")
     marked, spans = repeated_spans(docs, width)
     empty = hashlib.sha256().hexdigest()
 
@@ -303,12 +310,12 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "t", "removed", "runs", "sha", "kept"])
 
-    done = _with_text(docs, spans, "spans").mapInArrow(cut, "doc_id long, t long, removed long, runs long, sha string, kept string")
+    done = _with_text(docs, spans, "spans").mapInArrow(lean(cut), "doc_id long, t long, removed long, runs long, sha string, kept string")
     joined = marked.join(done, ["doc_id", "t"], "left")
     count = lambda whole, part: F.when(F.col("copy"), whole).otherwise(F.coalesce(part, F.lit(0))).cast("long")
     out = store(
         joined.select(
-            "doc_id", "t", "n_bytes",
+            F.when(F.col("t") % 2 == 0, F.col("doc_id")).alias("doc_id"), "t", "n_bytes",
             count(F.col("n_bytes"), F.col("removed")).alias("n_removed"),
             count(F.lit(1), F.col("runs")).alias("n_spans"),
             F.when(F.col("copy"), F.lit(empty)).otherwise(F.coalesce("sha", "sha256")).alias("kept_sha256"),
@@ -326,12 +333,10 @@ def strip_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     A character that loses a byte goes as a whole. Documents that keep no word, and had one, go.
     """
     done = remove_repeats(docs, width).where("n_removed > 0")
-    rest = done.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.lit(True).alias("_cut"), F.coalesce("kept", F.lit("")).alias("_text"))
-    rest = rest.dropDuplicates(["_id", "_t"])
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_t"))
-    text = F.when(F.col("_cut"), F.col("_text")).otherwise(F.col("text"))
-    joined = docs.join(rest, on, "left")
-    joined = joined.where("_cut IS NULL OR _text RLIKE '[^ \\\\t-\\\\r]'").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+    rest = done.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "t").agg(F.coalesce(F.first("kept"), F.lit("")).alias("kept"))
+    rows = docs.select(F.struct("*").alias("row"), *[c.alias(f"own_{i}") for i, c in enumerate(keyed(F.col("doc_id"), F.col("text")))])
+    joined = rows.join(rest, (F.col("own_0") == F.col("doc_id")) & (F.col("own_1") == F.col("t")), "left")
+    joined = joined.where("kept IS NULL OR kept RLIKE '[^ \\t-\\r]'")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    old = lambda c: F.col("row").getField(c)
+    return joined.select(*[(F.when(F.col("kept").isNotNull(), new[c]).otherwise(old(c)) if c in new else old(c)).alias(c) for c in docs.columns])
