@@ -5,7 +5,11 @@ document is emitted floor(rate) times plus one hash-seeded Bernoulli copy whose
 fraction. The decision depends on the document's id and the seed alone: reruns and any partitioning agree.
 
 Nulls and edge cases: a null text has size 0; a null source is a source of its own, after all others; a
-source without words has rate 0; an empty table gives an empty result. Other columns are kept out of the way.
+source without words has rate 0; an empty table gives an empty result. Documents with the same id are drawn
+alike; one without an id is drawn by the seed alone. Other columns travel in one field, whatever their names.
+
+What a source takes is a sum of such draws: about its target, with a variance of sum f (1 - f) size^2, where f
+is the fraction of the rate. A source of few or very unequal documents can miss its target by as much.
 """
 
 from __future__ import annotations
@@ -13,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, only
+from docloom.llm.common import WORD, drop, partitions_of, store
 
-#: Up to so many sources their rates are broadcast; more are joined by shuffling both sides.
+#: Up to so many sources are numbered in one task and their rates broadcast; more go by a shuffle.
 BROADCAST_SOURCES = 5_000
-#: Salts for the summing of sizes: a source that holds a third of all rows is summed in so many parts.
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 
@@ -26,57 +29,71 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def ranked(per: DataFrame) -> DataFrame:
+    """per(source, source_size) with `rank`: the source's place by code point, from zero, null last.
+
+    Up to `BROADCAST_SOURCES` sources are numbered in one task; more are range-partitioned, numbered within
+    their partition, and raised by the counts of the partitions before.
+    """
+    by_name = F.col("source").asc_nulls_last()
+    if per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        return per.withColumn("rank", F.row_number().over(Window.orderBy(by_name)) - 1)
+    per = store(per.repartitionByRange(partitions_of(per), by_name).withColumn("part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    base = per.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(by_name)) - 1
+    return per.withColumn("rank", within).join(base, "part").select("source", "source_size", (F.col("rank") + F.col("base")).alias("rank"))
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row per source: source, source_size, target, rate.
+    """One row per source: source, source_size, target, rate. Stored.
 
     Targets share the total by weight and stop at `most` times a source's size; the excess is shared again
-    among the rest until none is above. In the order of cap over weight the sources that stop come first, so
-    running sums over the (few) sources give the result at once.
+    among the rest until none is above. Each round is one sum over the sources, and there are few: what a free
+    source gets for each unit of weight only grows.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    per = per.withColumn("_rank", F.row_number().over(by_name) - 1).withColumn("_w", w)
-    per = per.withColumn("_cap", (F.col("source_size") * most).cast("double"))
-    by_room = Window.orderBy(F.col("_cap") / F.col("_w"), "_rank")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    per = (
-        per.withColumn("_total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("_capped", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_left", F.sum("_w").over(onward))
-        .withColumn("_level", (F.col("_total") - F.col("_capped")) / F.col("_left"))
-        .withColumn("_stops", F.col("_cap") / F.col("_w") <= F.col("_level"))
-        # the level of the first source that does not stop holds for all that do not
-        .withColumn("_free", F.min(F.when(~F.col("_stops"), F.struct(F.col("_cap") / F.col("_w"), "_rank", "_level"))).over(everything)["_level"])
-        .withColumn("target", F.when(F.col("_stops"), F.col("_cap")).otherwise(F.least("_cap", F.col("_w") * F.col("_free"))))
-    )
+    per = store(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    numbered = store(ranked(per).withColumn("weight", w).withColumn("cap", (F.col("source_size") * most).cast("double")), "ranked")
+    level = 0.0
+    while True:
+        stops = F.col("cap") <= F.col("weight") * level
+        total, capped, left = numbered.agg(F.sum("source_size"), F.sum(F.when(stops, F.col("cap"))), F.sum(F.when(~stops, F.col("weight")))).first()
+        if not left or (now := ((total or 0) - (capped or 0.0)) / left) <= level:
+            break
+        level = now
+    target = F.least(F.col("cap"), F.col("weight") * F.lit(level))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return per.select("source", "source_size", "target", F.least(rate, F.lit(float(most))).alias("rate"))
+    out = store(numbered.withColumn("target", target).select("source", "source_size", "target", F.least(rate, F.lit(float(most))).alias("rate")), "targets")
+    drop(per, numbered)
+    return out
 
 
 def copies(rate: Column, doc_id: Column, seed: int) -> Column:
-    """floor(rate) and one more with the probability of the fraction, decided by a hash of the id."""
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11).cast("double") / F.lit(float(1 << 53))
+    """floor(rate) and one more with the probability of the fraction, decided by 52 bits of a hash of seed and id."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 17, extra: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text, source, extra...) -> doc_id, size, source_size, target, rate, copies, taken, extra..."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *extra)
-    targets = source_targets(sized, weights, most)
-    n = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count()
-    t = targets.select(F.col("source").alias("_s"), "source_size", "target", "rate")
-    joined = sized.join(F.broadcast(t) if n <= BROADCAST_SOURCES else t, sized["source"].eqNullSafe(t["_s"])).drop("_s")
+def _planned(rows: DataFrame, weights: tuple[float, ...], most: int, seed: int) -> DataFrame:
+    """rows(doc_id, source, size, more) with source_size, target, rate, copies, taken."""
+    targets = source_targets(rows.select("source", "size"), weights, most)
+    t = targets.select(F.col("source").alias("its_source"), "source_size", "target", "rate")
+    few = t.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    joined = rows.join(F.broadcast(t) if few else t, rows["source"].eqNullSafe(t["its_source"]))
     n_copies = copies(F.col("rate"), F.col("doc_id"), seed)
     return joined.withColumn("copies", n_copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
+    """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, rate, copies, taken."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return _planned(sized, weights, most, seed).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
     """The mixed corpus: the documents' columns, each document as often as the plan says."""
-    names = list(docs.columns)
-    extra = tuple(n for n in names if n not in ("doc_id", "source"))
-    plan = plan_mix(docs, weights, most, seed, extra)
-    repeated = plan.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return only(repeated, *names)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    plan = _planned(rows, weights, most, seed).where("copies > 0")
+    return plan.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
