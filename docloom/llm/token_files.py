@@ -2,15 +2,15 @@
 
 A shard holds documents in ascending id order::
 
-    magic "S8BTOK1\\n" | blocks | index | footer (index offset, lengths; 40 bytes)
+    magic "S8BTOK2\\n" | blocks | index | footer (index offset, lengths; 40 bytes)
 
 A block holds up to `BLOCK` ids of the concatenated documents, and the index has every block's offset and
-number of words, and every document's id and number of ids. A shard is written under a temporary name,
+number of words, and every document's id, number of ids and whether it has an id. A shard is written under a temporary name,
 renamed when whole, and named in the manifest only then; a task that is run again writes a new name, so a
 lost executor leaves at most a file that no manifest names.
 
 Null text counts as empty; an empty document is its end id alone; repeated doc_ids stay separate documents
-(in the order of their ids' bytes). An empty table gives no shard rows.
+(in the order of their ids' bytes); documents without a doc_id come first. An empty table gives no shard rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import simple8b
-from docloom.llm.common import new_path, partitions_of, ready, store
+from docloom.llm.common import lean, new_path, partitions_of, ready, store
 
-MAGIC = b"S8BTOK1\n"
+MAGIC = b"S8BTOK2\n"
 BLOCK = 1 << 16
 _FOOTER = struct.Struct("<QQQQ8s")
 
@@ -49,10 +50,10 @@ class Writer:
         self.pending: list[bytes] = []
         self.held = 0
         self.blocks: list[tuple[int, int, int]] = []
-        self.docs: list[tuple[int, int]] = []
+        self.docs = array("q")  # id, ids, whether it has an id
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.docs.append((doc_id, len(ids) // 4))
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        self.docs.extend((doc_id or 0, len(ids) // 4, doc_id is not None))
         self.pending.append(ids)
         self.held += len(ids) // 4
         if self.held >= BLOCK:
@@ -71,13 +72,13 @@ class Writer:
 
     def close(self) -> None:
         self.flush(True)
-        blocks, docs = np.array(self.blocks, "<i8").reshape(-1, 3), np.array(self.docs, "<i8").reshape(-1, 2)
+        blocks, docs = np.array(self.blocks, "<i8").reshape(-1, 3), np.array(self.docs, "<i8").reshape(-1, 3)
         self.sink.write(blocks.tobytes())
         self.sink.write(docs.tobytes())
         self.sink.write(_FOOTER.pack(self.at, len(blocks), len(docs), int(docs[:, 1].sum()), MAGIC))
 
 
-def read_shard(source) -> Iterator[tuple[int, bytes]]:
+def read_shard(source) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids) of every document of a shard, a block at a time."""
     size = source.size()
     source.seek(size - _FOOTER.size)
@@ -86,16 +87,16 @@ def read_shard(source) -> Iterator[tuple[int, bytes]]:
         raise ValueError("not a token file")
     source.seek(at)
     blocks = np.frombuffer(source.read(24 * n_blocks), "<i8").reshape(-1, 3)
-    docs = np.frombuffer(source.read(16 * n_docs), "<i8").reshape(-1, 2)
+    docs = np.frombuffer(source.read(24 * n_docs), "<i8").reshape(-1, 3)
     have, held, b = [], 0, 0
-    for doc_id, n in docs.tolist():
+    for doc_id, n, known in docs.tolist():
         while held < n:
             offset, words, count = blocks[b].tolist()
             source.seek(offset)
             have.append(simple8b.decode(np.frombuffer(source.read(8 * words), "<u8"), count).astype("<u4"))
             held, b = held + count, b + 1
         data = have[0] if len(have) == 1 else np.concatenate(have) if have else np.zeros(0, "<u4")
-        yield doc_id, data[:n].tobytes()
+        yield doc_id if known else None, data[:n].tobytes()
         have, held = [data[n:]], held - n
 
 
@@ -130,11 +131,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, mode: str, end_id: int, f
             out.close()
             sink.close()
             files.move(f"{name}.tmp", name)
-            n = sum(x[1] for x in out.docs)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name.rsplit("/", 1)[1]], "first_doc": pa.array([first], pa.int64()), "n_docs": [len(out.docs)], "n_tokens": [n]})
+            n = sum(out.docs[1::3])
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name.rsplit("/", 1)[1]], "first_doc": pa.array([first], pa.int64()), "n_docs": [len(out.docs) // 3], "n_tokens": [n]})
 
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions_of(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    return store(ordered.mapInArrow(write, "shard long, name string, first_doc long, n_docs long, n_tokens long"), "token-manifest")
+    return store(ordered.mapInArrow(lean(write, "docloom.llm.encoder"), "shard long, name string, first_doc long, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -161,7 +162,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     # one shard a task: reading is spread as widely as writing was
     spread = listed.repartition(max(1, min(partitions_of(manifest), 100_000)), "name")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, mode: str = "byte_level", end_id: int = 2, folder: str | None = None) -> DataFrame:
