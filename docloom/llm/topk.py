@@ -1,54 +1,64 @@
 """Exact top-k search by a three-phase uniform threshold.
 
-Vectors are cut into `SLICES` slices of dimensions; a slice's inner products with a query are its score list,
-and a candidate's score is the sum over the lists. Queries and rows meet in blocks of bounded size.
-
-1. Every block gives the candidates that lead one of its lists, with their full scores. The k-th best of all
-   these is a safe cutoff for a query: its true k-th score is no less.
-2. With the cutoff, joined to the queries' blocks, every block collects the entries that some list scores
-   at cutoff / slices or more; whatever reaches the cutoff in sum has such an entry. What a candidate's
-   unseen lists can add is bounded by the same quotient, which drops most of them.
-3. The rest gets full scores; a block's k best go to the last ranking.
+Vectors are cut into slices of dimensions; a slice's inner products with a query are its score list, and a
+candidate's score is the sum over the lists. Rows stay where they are: each task holds a block of rows and
+streams the stored queries past it, so nothing is copied for every pair of blocks.
+
+1. Every block of rows finds, for each query, the leaders of its first list and scores these in full. The k-th
+   best of all is a safe cutoff for the query: its true k-th score is no less.
+2. The cutoffs, stored with the queries, go to all blocks. A block adds list after list; what a row can still
+   gain is bounded by the norms of the slices left (Cauchy-Schwarz), and the cutoff less that bound is the
+   threshold its sum must reach. Rows that no query of a block of queries needs any more drop out.
+3. Once the pairs that reach the threshold are few, they are scored in full one by one; a block's k best go to
+   the last ranking.
 
 Scores are integers: components become floor(scale * x) in double precision. Products run in float64 while
-they are exact there, else in 64-bit integers.
+they are exact there, else in 64-bit integers; bounds have a margin for rounding.
 
 Nulls and edge cases: vectors that are null, or hold null or non-finite components, take no part; vectors of
 another length than the query's are no candidates; a query with fewer than k candidates gets all; of repeated
-query ids one (the least vector) asks, and no row with the query's id answers it. An empty table gives no rows.
+query ids one (the least vector) asks, and no row with the query's id answers it; rows that repeat an id are
+candidates of their own. An empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import drop, ready, store
+from docloom.llm.common import drop, lean, partitions_of, ready, store
+from docloom.llm.token_files import filesystem
 
-SLICES, ROWS, QUERIES = 4, 4096, 512
+#: Slices of the dimensions, and rows and queries of a block: 16,384 vectors of 64 dimensions take 8 MB.
+SLICES, ROWS, QUERIES = 4, 16_384, 256
+#: With fewer pairs left than one in so many, what is left of their products is computed pair by pair.
+FEW = 16
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _matrix(table: pa.Table, scale: float) -> np.ndarray:
-    lists = table.column("v").combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(scale * flat).reshape(len(lists), -1)
+class Block:
+    """Vectors of one length: ids, components, and the norm of what is left after each slice."""
 
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, cutoff: np.ndarray | None = None):
+        self.ids, self.cutoff, self.most = ids, cutoff, float(np.abs(vectors).max(initial=0)) + 1
+        self.cut = np.linspace(0, vectors.shape[1], SLICES + 1).astype(int)
+        self.vectors = vectors
+        rest = [(vectors[:, j:].astype(np.float64) ** 2).sum(1) for j in self.cut[1:]]
+        self.rest = [np.sqrt(x) * (1 + 1e-9) for x in rest]
 
-def _lists(queries: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    """Partial scores by slice, as exact integers or floats."""
-    dims = queries.shape[1]
-    most = (np.abs(queries).max(initial=0) + 1) * (np.abs(rows).max(initial=0) + 1) * max(1, dims)
-    kind = np.float64 if most < 2**53 else np.int64
-    a, b = queries.astype(kind), rows.astype(kind)
-    cut = np.linspace(0, dims, SLICES + 1).astype(int)
-    return [a[:, i:j] @ b[:, i:j].T for i, j in zip(cut[:-1], cut[1:])]
+    def exact(self, other: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Both blocks' components, as floats where their products are exact so."""
+        kind = np.float64 if self.most * other.most * max(1, self.vectors.shape[1]) < 2**53 else np.int64
+        return self.vectors.astype(kind, copy=False), other.vectors.astype(kind, copy=False)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of one query, larger scores and then smaller ids first."""
     if len(scores) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -58,79 +68,117 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def first_phase(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    lists = _lists(queries, rows)
-    total = sum(lists)
-    for q, query in enumerate(query_ids.tolist()):
-        others = np.flatnonzero(ids != query)
-        lead = np.unique(np.concatenate([others[_best(x[q, others], ids[others], k)] for x in lists]))
-        for i in _best(total[q, lead], ids[lead], k):
-            yield query, int(ids[lead[i]]), int(total[q, lead[i]])
-
-
-def last_phases(queries: np.ndarray, query_ids: np.ndarray, cutoffs: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """cutoffs: NaN where a query has none."""
-    lists = _lists(queries, rows)
-    for q, query in enumerate(query_ids.tolist()):
-        keep = ids != query
-        if not np.isnan(cutoffs[q]):
-            share = cutoffs[q] / SLICES
-            seen = [x[q] >= share for x in lists]
-            bound = sum(np.where(s, x[q], share) for s, x in zip(seen, lists))
-            keep &= np.logical_or.reduce(seen) & (bound >= cutoffs[q] - 1e-6 * abs(cutoffs[q]))
-        at = np.flatnonzero(keep)
-        score = sum(x[q, at] for x in lists)
-        for i in _best(score, ids[at], k):
-            yield query, int(ids[at[i]]), int(score[i])
-
-
-def _table(found: Iterator[tuple[int, int, int]]) -> pa.Table:
-    rows = list(found)
-    return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
+def leaders(queries: Block, rows: Block, k: int, work: Counter) -> Pairs:
+    """The first phase: query id, row id and full score of each query's leaders in the first list."""
+    a, b = queries.exact(rows)
+    j = queries.cut[1]
+    part = a[:, :j] @ b[:, :j].T
+    work["products"] += part.size * j
+    own = queries.ids[:, None] == rows.ids[None, :]
+    part = np.where(own, np.iinfo(np.int64).min if part.dtype == np.int64 else -np.inf, part)
+    n = min(k, part.shape[1])
+    at = np.argpartition(part, part.shape[1] - n, 1)[:, part.shape[1] - n :] if n else np.zeros((len(a), 0), int)
+    q = np.repeat(np.arange(len(a)), n)
+    at = at.ravel()
+    keep = ~own[q, at]
+    q, at = q[keep], at[keep]
+    work["products"] += len(q) * a.shape[1]
+    return queries.ids[q], rows.ids[at], np.einsum("ij,ij->i", a[q], b[at]).astype(np.int64)
+
+
+def resolved(queries: Block, rows: Block, k: int, work: Counter) -> Pairs:
+    """The second and third phase: the k best of the rows that reach the cutoffs. Cutoffs are -inf where there are none."""
+    a, b = queries.exact(rows)
+    live, i = np.arange(len(b)), 0
+    total = np.zeros((len(a), len(b)), a.dtype)
+    reach = queries.ids[:, None] != rows.ids[None, :]
+    for s in range(SLICES):
+        if s and FEW * np.count_nonzero(reach) <= reach.size:
+            break
+        i, j = queries.cut[s], queries.cut[s + 1]
+        total = total + a[:, i:j] @ b[live, i:j].T
+        work["products"] += total.size * (j - i)
+        bound = total + queries.rest[s][:, None] * rows.rest[s][live][None, :]
+        reach &= bound >= (queries.cutoff - 1e-6 * np.abs(queries.cutoff))[:, None]
+        needed = reach.any(0)
+        live, total, reach, i = live[needed], total[:, needed], reach[:, needed], j
+    q, at = np.nonzero(reach)
+    score = total[q, at] + np.einsum("ij,ij->i", a[q, i:], b[live[at], i:])
+    work["products"] += len(q) * (a.shape[1] - i)
+    score, row_ids = score.astype(np.int64), rows.ids[live[at]]
+    edge = np.searchsorted(q, np.arange(len(a) + 1))
+    keep = np.concatenate([np.zeros(0, int), *[x + best(score[x:y], row_ids[x:y], k) for x, y in zip(edge, edge[1:])]])
+    return queries.ids[q[keep]], row_ids[keep], score[keep]
+
+
+def _blocks(batch: pa.RecordBatch | pa.Table, scale: float) -> Iterator[Block]:
+    """The vectors (vec_id, v, cutoff or none) by their length."""
+    table = pa.table(batch) if isinstance(batch, pa.RecordBatch) else batch
+    size = pc.list_value_length(table.column("v")).to_numpy()
+    for d in np.unique(size):
+        own = table.filter(pa.array(size == d))
+        flat = own.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        vectors = np.floor(scale * flat).reshape(own.num_rows, int(d))
+        if np.abs(vectors).max(initial=0) >= 2**53:
+            vectors = vectors.astype(np.int64)
+        cutoff = own.column("cutoff").to_pandas().to_numpy(np.float64) if "cutoff" in own.column_names else None
+        yield Block(own.column("vec_id").to_numpy(), vectors, None if cutoff is None else np.nan_to_num(cutoff, nan=-np.inf))
+
+
+def _asked(folder: str, scale: float) -> Iterator[Block]:
+    """The stored queries, a block at a time."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    files, root = filesystem(folder)
+    for f in sorted(x.path for x in files.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet")):
+        with files.open_input_file(f) as source:
+            for batch in pq.ParquetFile(source).iter_batches(QUERIES):
+                yield from _blocks(batch, scale)
+
+
+def _met(rows: DataFrame, asks: DataFrame, phase: Callable[[Block, Block, int, Counter], Pairs], k: int, scale: float) -> DataFrame:
+    """query_id, vec_id, score that a phase gives for every block of rows with every block of queries."""
+    folder = asks._docloom_path
+    names = ["query_id", "vec_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = {b.vectors.shape[1]: b for b in _blocks(pa.Table.from_batches(held), scale)}
+            for queries in _asked(folder, scale):
+                if (rows := own.get(queries.vectors.shape[1])) is not None:
+                    found = phase(queries, rows, k, Counter())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
+
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS:
+                yield from meet(held)
+                held, n = [], 0
+        if n:
+            yield from meet(held)
+
+    return rows.select("vec_id", "v").mapInArrow(lean(run), "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
     """vectors(vec_id, embedding); query: which rows ask -> query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
-    ready(spark)
+    ready(vectors.sparkSession)
     v = F.col("embedding")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    good = vectors.select("vec_id", "embedding", query.alias("_asks")).where(F.col("vec_id").isNotNull() & fine)
-    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), F.size(v).alias("d"), "_asks")
-    asks = store(good.where("_asks").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v")), "queries")
-    rows = store(good.drop("_asks"), "vectors")
-    n_rows, n_asks = -(-rows.count() // ROWS) or 1, -(-asks.count() // QUERIES) or 1
-
-    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        """Each row in one block of its own kind, met by every block of the other kind."""
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("vec_id", "v", "d", F.col("qb").cast("long").alias("qb"), F.col("rb").cast("long").alias("rb"))
-
-    keys = ["qb", "rb", "d"]
-    blocks = dealt(rows, "rb", n_rows, "qb", n_asks).groupBy(*keys)
-    schema = "query_id long, vec_id long, score long"
-
-    def one(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return _table(iter(()))
-        return _table(first_phase(_matrix(a, scale), a.column("vec_id").to_numpy(), _matrix(b, scale), b.column("vec_id").to_numpy(), k))
-
-    lead = dealt(asks, "qb", n_asks, "rb", n_rows).groupBy(*keys).cogroup(blocks).applyInArrow(one, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    cutoff = store(lead.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")), "cutoffs")
-    with_cutoff = asks.join(cutoff, "vec_id", "left")
-
-    def two(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return _table(iter(()))
-        cut = a.column("cutoff").cast(pa.float64()).to_numpy()
-        return _table(last_phases(_matrix(a, scale), a.column("vec_id").to_numpy(), cut, _matrix(b, scale), b.column("vec_id").to_numpy(), k))
-
-    again = (
-        with_cutoff.withColumn("qb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_asks)))
-        .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-        .select("vec_id", "v", "d", "cutoff", F.col("qb").cast("long").alias("qb"), F.col("rb").cast("long").alias("rb"))
-    )
-    found = again.groupBy(*keys).cogroup(blocks).applyInArrow(two, schema)
-    out = store(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
-    drop(asks, rows, cutoff)
+    good = vectors.select("vec_id", "embedding", query.alias("asks")).where(F.col("vec_id").isNotNull() & fine)
+    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), "asks")
+    asks = store(good.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    n = max(partitions_of(vectors), -(-good.count() // ROWS))
+    rows = store(good.drop("asks").repartition(n), "vectors")
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    place = F.row_number().over(ranked)
+    cutoff = _met(rows, asks, leaders, k, scale).withColumn("r", place).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
+    asked = store(asks.join(cutoff, "vec_id", "left"), "asked")
+    found = _met(rows, asked, resolved, k, scale)
+    out = store(found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
+    drop(asks, rows, asked)
     return out
