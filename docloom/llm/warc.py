@@ -1,12 +1,15 @@
 """Web archives: a deterministic sharded WARC writer and a reader.
 
-Pages are range-sorted by id; each task writes files that roll over at a compressed size, every record a gzip
-member of its own. Headers and digests are made anew from the payload. Of pages with equal payloads that
-with the largest id is a response and the others revisit it. Files get their name when whole, by a rename,
-and count only if the manifest (a table that Spark commits) names them, so a task that runs twice does no harm.
+Pages are range-sorted by id into shards, whose bounds come from exact counts; a shard's files roll over at a
+compressed size, every record a gzip member of its own. Headers and digests are made anew from the payload. Of
+pages with equal payloads that with the largest id is a response and the others revisit it. A file is written
+under a temporary name and, when whole, renamed by its shard, its place in it and the digest of its bytes. So the
+same pages give the same files, and a task that runs twice, or a whole run that is repeated, writes over its own.
+Files count only if the manifest (a table that Spark commits) names them.
 
 Nulls and edge cases: null html is an empty payload; a null url becomes ``urn:page:<id>``; line ends in urls
-are escaped; rows that repeat the largest id of a payload are all responses. An empty table gives no file.
+are escaped; rows that repeat the largest id of a payload are all responses; a page without an id revisits one with
+an id, and is a response where none has. An empty table gives no file; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import new_path, partitions_of, ready, store
+from docloom.llm.common import lean, new_path, partitions_of, range_bounds, range_of, ready, store
 from docloom.llm.token_files import filesystem
 
 ROLL_BYTES = 64 << 20
-#: Up to so many repeated payloads are looked up by broadcast; more by a shuffle on the digest.
-BROADCAST_PAYLOADS = 500_000
+#: Up to so many repeated payloads (about 90 bytes each) are looked up by broadcast; more by a shuffle on the digest.
+BROADCAST_PAYLOADS = 200_000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -104,46 +107,49 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = RO
     same = own.where(F.octet_length("html") >= least).groupBy("d").agg(F.count("*").alias("c"), F.max("page_id").alias("last")).where("c > 1").select("d", "last")
     same = store(same, "payloads")
     few = same.count() <= BROADCAST_PAYLOADS
-    refers = F.when(F.col("page_id") != F.col("last"), F.col("last"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     dealt = own.join(F.broadcast(same) if few else same, "d", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, part = TaskContext.get().partitionId(), 0
         files, base = filesystem(folder)
-        sink = name = None
+        sink, now, part = None, None, 0
         done: list[tuple] = []
 
+        def put(data: bytes) -> int:
+            sink.write(data)
+            whole.update(data)
+            return len(data)
+
         def close() -> None:
             sink.close()
-            files.move(f"{base}/{name}.tmp", f"{base}/{name}")
+            name = f"{title}-{whole.hexdigest()[:12]}.warc.gz"
+            files.move(f"{base}/{temporary}", f"{base}/{name}")
             done.append((name, held, records, first, last))
 
         for batch in batches:
-            for page_id, url, text, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if sink is None:
-                    if not part:
-                        files.create_dir(base, recursive=True)
-                    name = f"pages-{task:06d}-{part:04d}-{uuid.uuid4().hex[:12]}.warc.gz"
-                    sink = files.open_output_stream(f"{base}/{name}.tmp", compression=None)
-                    x = member(info_record(f"pages-{task:06d}-{part:04d}.warc.gz", date))
-                    sink.write(x)
-                    held, records, first = len(x), 0, page_id
-                x = member(record(page_id, url, text.encode(), refers_to, date))
-                sink.write(x)
-                held, records, last = held + len(x), records + 1, page_id
-                if held >= roll:
+            for page_id, url, text, refers_to, shard in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if sink is not None and (held >= roll or shard != now):
                     close()
                     sink, part = None, part + 1
+                if sink is None:
+                    if now is None:
+                        files.create_dir(base, recursive=True)
+                    now, part = shard, part if shard == now else 0
+                    title, temporary, whole = f"pages-{shard:06d}-{part:04d}", f"{uuid.uuid4().hex}.tmp", hashlib.sha1()
+                    sink = files.open_output_stream(f"{base}/{temporary}", compression=None)
+                    held, records, first = put(member(info_record(title, date))), 0, page_id
+                held += put(member(record(page_id, url, text.encode(), refers_to, date)))
+                records, last = records + 1, page_id
         if sink is not None:
             close()
         if done:
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*done), kinds)], ["name", "bytes", "records", "first_page", "last_page"])
 
-    sorted_pages = dealt.repartitionByRange(partitions_of(pages), "page_id").sortWithinPartitions("page_id", "refers_to", "html")
-    return store(sorted_pages.mapInArrow(write, "name string, bytes long, records long, first_page long, last_page long"), "warc-manifest")
+    n = partitions_of(pages)
+    dealt = dealt.withColumn("shard", range_of(F.col("page_id"), range_bounds(own, "page_id", n)))
+    sorted_pages = dealt.repartitionByRange(n, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    return store(sorted_pages.mapInArrow(lean(write), "name string, bytes long, records long, first_page long, last_page long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -179,7 +185,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)], names)
 
     spread = manifest.select("name").repartition(partitions_of(manifest), "name")
-    return spread.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread.mapInArrow(lean(read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, folder: str | None = None, **settings) -> DataFrame:
