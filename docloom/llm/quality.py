@@ -5,7 +5,8 @@ measurements. A policy is a named, versioned set of rules: applying one, compari
 rule adds is bit arithmetic on the ledger, without reading a text again.
 
 Words are runs of anything but ASCII white space. Nulls and edge cases: null text has no words and fails
-the rule on few words alone; repeated rows are judged one by one; an empty table gives an empty ledger.
+the rule on few words alone; repeated rows are judged one by one; an empty table gives an empty ledger; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import hashing
-from docloom.llm.common import binary_list, chunks, ready
+from docloom.llm.common import binary_list, chunks, lean, ready
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_letters", "dup_line_chars")
 _SYMBOL = np.zeros(256, bool)
@@ -31,6 +32,8 @@ _LETTER[0xC3:0xF5] = True  # the first byte of a character beyond ASCII and Lati
 _POINT = np.ones(256, bool)
 _POINT[0x80:0xC0] = False
 
+_SPACES = b" \t\n\x0b\x0c\r"
+
 #: (name, the failing condition over the measurements). A rule's place is its bit; rules are only appended.
 RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
@@ -87,13 +90,13 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     lines = np.zeros((3, n), np.int64)
     for i, t in enumerate(texts):
         known: set[bytes] = set()
-        own = [x for x in t.split(b"\n") if x.strip()]
+        own = [x for x in t.split(b"\n") if x.strip(_SPACES)]
         lines[0, i] = len(own)
         if len(own) > 1:
             for x in own:
                 if x in known:
                     lines[1, i] += 1
-                    lines[2, i] += len("".join(x.decode("utf-8", "replace").split()))
+                    lines[2, i] += len(x.translate(None, _SPACES).decode("utf-8", "replace"))
                 known.add(x)
     out["n_lines"], out["n_dup_lines"], out["dup_line_chars"] = lines
     return out
@@ -110,7 +113,7 @@ def ledger(docs: DataFrame) -> DataFrame:
                 m = measure(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(m[x].astype(np.int64)) for x in MEASURES]], ["doc_id", *MEASURES])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, " + ", ".join(f"{x} long" for x in MEASURES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(make), "doc_id long, " + ", ".join(f"{x} long" for x in MEASURES))
     failed = " + ".join(f"CASE WHEN {rule} THEN {1 << i}L ELSE 0L END" for i, (_, rule) in enumerate(RULES))
     return rows.select("doc_id", F.expr(failed).alias("failed"), *MEASURES)
 

@@ -81,5 +81,38 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_exact_top_k, op4_quality_rules, op5_warc, op6_mix_sources, op7_language_id, op8_best_fit_packing, op9_suffix_dedup, op10_toxicity)}
 
 
+def _quality_sql() -> str:
+    from docloom.llm.quality import BASE, MEASURES, POLICIES, RULES
+
+    failed = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))
+    word = r"[^\x20\x09-\x0D]"
+    return rf"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '{word}+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY doc_id),
+dup AS (SELECT doc_id, list_filter(ls, lambda x, i: list_position(ls, x) < i) AS ds FROM w),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+ CAST(len(ds) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(list_filter(ws, lambda x: regexp_full_match(x, '[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*'))) AS BIGINT) AS n_capital_words,
+ CAST(len(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{10FFFF}}]')) AS BIGINT) AS n_letters, CAST(coalesce(list_sum(list_transform(ds, lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')))), 0) AS BIGINT) AS dup_line_chars
+ FROM w JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, CAST({failed} AS BIGINT) AS failed FROM m)
+SELECT doc_id, failed, {", ".join(MEASURES)}, failed & {BASE} <> 0 AS base_failed, failed & {BASE | POLICIES["web-2"]} = 0 AS kept FROM f"""
+
+
+_warc_sql = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(k // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - k % 4 * 5 AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM q"""
+
+_mix_sql = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT level FROM l WHERE cap > w * level ORDER BY cap / w, encode(source) NULLS LAST LIMIT 1), 1e300))::DOUBLE AS target FROM l),
+u AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS rate FROM t),
+c AS (SELECT doc_id, size, source_size, target, u.source, rate, CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, rate, copies FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": _quality_sql(), "op5_warc": _warc_sql, "op6_mix_sources": _mix_sql}
