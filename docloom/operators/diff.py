@@ -80,7 +80,7 @@ def side(segments: DataFrame, which: str) -> DataFrame:
 def table_changes(before: DataFrame, after: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """Cells(row, col, v) of two tables by given axis pairs (b, a), either null: b_row, b_col, a_row, a_col, kind."""
     place = rows.select(F.col("b").alias("b_row"), F.col("a").alias("a_row"))
-    x = before.join(F.broadcast(place), F.col("row") == F.col("b_row"), "left").join(F.broadcast(cols.select(F.col("b").alias("b_col"), F.col("a").alias("a_col"))), F.col("col") == F.col("b_col"), "left")
+    x = before.join(place, F.col("row") == F.col("b_row"), "left").join(cols.select(F.col("b").alias("b_col"), F.col("a").alias("a_col")), F.col("col") == F.col("b_col"), "left")
     x = x.select(F.col("row").alias("b_row"), F.col("col").alias("b_col"), "a_row", "a_col", F.col("v").alias("x"))
     y = after.select(F.col("row").alias("y_row"), F.col("col").alias("y_col"), F.col("v").alias("y"))
     both = x.join(y, (F.col("a_row") == F.col("y_row")) & (F.col("a_col") == F.col("y_col")), "full")

@@ -72,12 +72,22 @@ def diff_align_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.summary(D.paragraph_changes(pairs, ["doc_id"]), "doc_id")
 
 
+#: Sentences with and without findings, which the documents' own texts lack.
+SAID = ("몇일 동안 작업후 확인", "할수 있습니다. 볼때 먹을만큼", "역활과 비률", "결재 금액", "문제 없음")
+
+
 @query("text_lint")
 def text_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = ["몇일 동안 작업후 확인", "할수 있습니다. 볼때 먹을만큼", "역활과 비률", "결재 금액", "문제 없음"]
-    return lint.findings(spark.createDataFrame(list(enumerate(said)), "id int, text string"), "id", "text")
+    """Findings in every document with a Korean sentence after its text. No SQL: rules look around."""
+    said = F.element_at(F.array(*[F.lit(x) for x in SAID]), (F.col("doc_id") % len(SAID) + 1).cast("int"))
+    return lint.findings(table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", said).alias("text")), "doc_id", "text")
+
+
+_list_sql = lambda x: "[" + ", ".join(f"'{i}'" for i in x) + "]"
 
 
-@query("cross_rules", "SELECT CAST(240 AS BIGINT) AS generated, CAST(253 AS BIGINT) AS total")
+@query("cross_rules", f"SELECT stem, noun, stem || noun AS wrong, stem || ' ' || noun AS fixed FROM (SELECT unnest({_list_sql(lint.STEMS)}) AS stem) s, (SELECT unnest({_list_sql(lint.NOUNS)}) AS noun) n")
 def cross_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(len(lint.RULES) - len(lint.CORE), len(lint.RULES))], "generated long, total long")
+    """Every stem with every noun: two fixed lists, 240 rules."""
+    rules = spark.createDataFrame([(p.split("(")[0], r) for p, r in lint.RULES[len(lint.CORE) :]], "wrong string, fixed string")
+    return rules.select(F.split_part("fixed", F.lit(" "), F.lit(1)).alias("stem"), F.split_part("fixed", F.lit(" "), F.lit(2)).alias("noun"), "wrong", "fixed")

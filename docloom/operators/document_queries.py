@@ -28,8 +28,8 @@ def document_changes(before: DataFrame, after: DataFrame, key: str, method: str
     kind = dict(before.dtypes)[key]
 
     def blocks(side: pa.Table) -> list:
-        rows = side.sort_by("pos")
-        return [t if c is None else [[x or "" for x in r or []] for r in c] for t, c in zip(rows.column("text").to_pylist(), rows.column("cells").to_pylist())]
+        rows = sorted(side.column("block").to_pylist(), key=lambda b: b["pos"])
+        return [b["text"] or "" if b["cells"] is None else [[x or "" for x in r or []] for r in b["cells"]] for b in rows]
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         names = [x.strip().split(" ")[0] for x in CHANGES.split(",")]
@@ -39,7 +39,7 @@ def document_changes(before: DataFrame, after: DataFrame, key: str, method: str
         made = pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
         return made.add_column(0, key, pa.array(own.to_pylist()[:1] * len(rows), own.type))
 
-    columns = [key, "pos", "text", "cells"]
+    columns = [key, F.struct("pos", "text", "cells").alias("block")]
     return before.select(*columns).groupBy(key).cogroup(after.select(*columns).groupBy(key)).applyInArrow(compare, f"`{key}` {kind}, {CHANGES}")
 
 

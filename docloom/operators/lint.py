@@ -30,14 +30,23 @@ STEMS = ("할", "될", "볼", "갈", "올", "쓸", "읽을", "먹을", "찾을",
 NOUNS = ("수", "때", "뿐", "만큼", "대로", "듯", "리", "바", "것", "데", "중", "후")
 #: All rules: the core ones, then every stem with every noun.
 RULES = CORE + tuple((rf"{s}{n}(?=$|[\s,.!?])", f"{s} {n}") for s in STEMS for n in NOUNS)
-_COMPILED = [(re.compile(p), r) for p, r in RULES]
+
+
+def _certain(pattern: str) -> str:
+    """The longest run of Korean letters that every match of a pattern has."""
+    while (inner := re.sub(r"\([^()]*\)", " ", pattern)) != pattern:
+        pattern = inner
+    return max(re.findall("[\uac00-\ud7a3]+", pattern), key=len)
+
+
+_COMPILED = [(_certain(p), re.compile(p), r) for p, r in RULES]
 
 
 def find(text: str) -> list[tuple[str, str, int]]:
     """(before, after, count) of each finding; a later rule with the same outcome counts, in the earlier one's place."""
     found: dict[tuple[str, str], int] = {}
-    for pattern, replacement in _COMPILED:
-        hits = [m.group() for m in pattern.finditer(text)]
+    for certain, pattern, replacement in _COMPILED:
+        hits = [m.group() for m in pattern.finditer(text)] if certain in text else []
         if hits:
             found[hits[0], pattern.sub(replacement, hits[0])] = len(hits)
     return [(a, b, n) for (a, b), n in found.items()]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.ranges import SHEET_COLUMNS, SHEET_ROWS, bounded, ordinals
 from docloom.operators import workbook as W
 from docloom.operators.catalogue import query
 from docloom.operators.text_queries import table
@@ -34,13 +35,13 @@ def json_objects_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>")["k"].alias("k"))
 
 
-@query("json_key_union", "SELECT * FROM (VALUES ('k', 0), ('b', 1), ('a', 2)) t(key, ord)")
+@query("json_key_union", """SELECT key, CAST(row_number() OVER (ORDER BY min(event_id * 10 + i)) - 1 AS INT) AS ord FROM (SELECT event_id, unnest(['k', 'x' || event_id % 7, event_type]) AS key, unnest([0, 1, 2]) AS i FROM events) GROUP BY key""")
 def json_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of all objects in the order they are first seen."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("r"), "props")
-    e = e.union(spark.createDataFrame([(10**12, '{"k": 1, "b": 2, "a": 3}')], e.schema))
+    """Keys of all objects in the order they are first seen; there are as many as a sheet has columns, at most."""
+    t = F.concat(F.lit('{"k": 1, "x'), (F.col("event_id") % 7).cast("string"), F.lit('": 2, "'), F.col("event_type"), F.lit('": 3}'))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("r"), t.alias("props"))
     keys = e.select("r", F.posexplode(F.json_object_keys("props")).alias("i", "key")).groupBy("key").agg(F.min(F.struct("r", "i")).alias("at"))
-    return keys.select("key", (F.row_number().over(Window.orderBy("at")) - 1).alias("ord"))  # one row a key
+    return bounded(keys, SHEET_COLUMNS, "keys").select("key", (F.row_number().over(Window.orderBy("at")) - 1).alias("ord"))
 
 
 @query("json_array_rows", "SELECT event_id, CAST(n AS BIGINT) AS width, CASE WHEN n > 1 THEN CAST(event_id AS VARCHAR) ELSE '' END AS second FROM (SELECT event_id, event_id % 3 + 1 AS n FROM events)")
@@ -56,7 +57,8 @@ def json_serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def to_html(df: DataFrame, order: str) -> DataFrame:
-    """One row (html): the table as markup. The table must fit a document."""
+    """One row (html): the table as markup. A table has as many rows as a sheet, at most."""
+    bounded(df, SHEET_ROWS, "rows")
     cell = lambda tag, c: F.concat(F.lit(f"<{tag}>"), T.escape_html(F.coalesce(c, F.lit(""))), F.lit(f"</{tag}>"))
     row = F.concat(F.lit("<tr>"), *[cell("td", F.col(c).cast("string")) for c in df.columns], F.lit("</tr>"))
     head = "<tr>" + "".join(f"<th>{c}</th>" for c in df.columns) + "</tr>"
@@ -159,36 +161,41 @@ def sheet_reference_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.referenced_sheets(f.select("sheet", quoted.alias("formula")), n.select("sheet"))
 
 
-@query("case_insensitive_lookup", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("case_insensitive_lookup", """WITH asked AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT s_suppkey, coalesce(e.n_nationkey, l.k) AS n_nationkey FROM asked LEFT JOIN nation e ON e.n_name = name LEFT JOIN (SELECT lower(n_name) AS ln, min(n_nationkey) AS k FROM nation GROUP BY 1) l ON l.ln = lower(name)""")
 def case_insensitive_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By exact name, else by the first name that is equal without case."""
     n = table(spark, sf_dir, "nation")
-    asked = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("name"))
+    asked = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("name"))
     exact = n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("a"))
     loose = n.groupBy(F.lower("n_name").alias("lname")).agg(F.min("n_nationkey").alias("b"))
-    found = asked.join(F.broadcast(exact), "name", "left").join(F.broadcast(loose), F.lower("name") == F.col("lname"), "left")
+    found = asked.join(exact, "name", "left").join(loose, F.lower("name") == F.col("lname"), "left")
     return found.select("s_suppkey", F.coalesce("a", "b").alias("n_nationkey"))
 
 
 @query("ordered_pairing", "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) SELECT a.lang, CAST(a.n AS BIGINT) AS n, a.doc_id AS before_id, b.doc_id AS after_id FROM (SELECT lang, doc_id, (n + 1) // 2 AS n FROM r WHERE n % 2 = 1) a FULL JOIN (SELECT lang, doc_id, n // 2 AS n FROM r WHERE n % 2 = 0) b ON a.lang = b.lang AND a.n = b.n WHERE a.n IS NOT NULL")
 def ordered_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First with second, third with fourth of each language: an equi-join on the ordinal."""
-    r = table(spark, sf_dir, "documents").select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("n"))
+    r = ordinals(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id")
     a = r.where("n % 2 = 1").select("lang", F.floor((F.col("n") + 1) / 2).alias("n"), F.col("doc_id").alias("before_id"))
     b = r.where("n % 2 = 0").select("lang", F.floor(F.col("n") / 2).alias("n"), F.col("doc_id").alias("after_id"))
     return a.join(b, ["lang", "n"], "left")
 
 
-@query("lookup_last_wins", "SELECT c_custkey, k AS o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
+@query("lookup_last_wins", "SELECT c_custkey, k AS o_orderkey, round(p, 2) AS price FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey AS k, o_totalprice AS p FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1) ON c_custkey = o_custkey")
 def lookup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+    """Of several entries under a key the last written counts: the latest order of each customer."""
+    written = F.struct("o_orderdate", "o_orderkey")
+    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), written).alias("o"))
+    return table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o.o_orderkey", F.round("o.o_totalprice", 2).alias("price"))
 
 
-@query("group_export", "SELECT p_brand, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS pages FROM part GROUP BY p_brand")
+@query("group_export", "SELECT p_brand, part, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS pages FROM (SELECT p_brand, p_partkey, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 500 AS BIGINT) AS part FROM part) GROUP BY p_brand, part")
 def group_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of each group in order, in parts of 500, so that a large group is no task's alone."""
     pages = F.array_join(F.transform(F.sort_array(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",")
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), pages.alias("pages"))
+    d = ordinals(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey", "place")
+    return d.groupBy("p_brand", F.floor((F.col("place") - 1) / 500).alias("part")).agg(F.count("*").alias("n"), pages.alias("pages"))
 
 
 @query("page_membership", "SELECT p_size AS page, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS groups FROM part GROUP BY p_size")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions.align import dice_of
+from docloom.functions.ranges import quantiles, reached
 from docloom.operators.catalogue import query
 from docloom.session import ship
 
@@ -120,8 +121,7 @@ def _with_previous(d: DataFrame) -> DataFrame:
     Windows are per range of ids, and each range also gets the last rows of the range before: no window over all rows.
     """
     n = min(256, max(64, d.count() // 10_000))
-    bounds = d.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)
-    k = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds))]).cast("array<double>"), lambda x: x < F.col("doc_id")))
+    k = reached(F.col("doc_id"), quantiles(d, "doc_id", n))
     d = d.withColumn("k", F.when(F.col("doc_id").isNull(), n).otherwise(k))
     last = d.groupBy("k").agg(F.max("doc_id").alias("top")).orderBy("k").collect()
     carry = [(r["top"], after["k"]) for r, after in zip(last, last[1:])]

@@ -1,7 +1,7 @@
 """Workbooks as cell tables: merging, bounds, trimming, selection grammars, references.
 
 A cell table has (sheet, row, col, v): one row for each cell with a value, positions from one. Sheets have
-an order in a plan table (sheet, ix), which is small and broadcast. Nothing depends on a frame's row order.
+an order in a plan table (sheet, ix). Nothing depends on a frame's row order.
 """
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.ranges import SHEET_ROWS, bounded
 
 
 def cells(df: DataFrame, sheet: str, order: list[str], header: bool = True) -> DataFrame:
     """A table as the cells of a sheet, its rows in the given order, after a header row.
 
-    Rows are numbered in one ordered pass: a sheet has at most 1,048,576 rows.
+    Rows are numbered in one ordered pass: a sheet has at most 1,048,576 rows, and more are an error.
     """
+    bounded(df, SHEET_ROWS - int(header), "rows of a sheet")
     names = df.columns
     n = F.row_number().over(Window.orderBy(*order)) + int(header)
     values = F.array(*[F.col(c).cast("string") for c in names])
@@ -50,7 +52,7 @@ def merge(table: DataFrame, plan: DataFrame, how: str, skip_rows: int = 0) -> Da
     before = Window.orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)  # one row a sheet
     size = F.col("rows") - F.col("skip") if how == "vertical" else F.col("cols")
     b = b.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0))).select("sheet", "skip", "offset")
-    joined = table.join(F.broadcast(b), "sheet").where(F.col("row") > F.col("skip"))
+    joined = table.join(b, "sheet").where(F.col("row") > F.col("skip"))
     if how == "vertical":
         return joined.select("sheet", (F.col("row") - F.col("skip") + F.col("offset")).alias("row"), F.col("col").cast("long").alias("col"), "v")
     if how == "horizontal":

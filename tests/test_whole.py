@@ -1,9 +1,11 @@
 """Queries over all rows against brute force, on small tables of odd shape."""
 
+import re
 import time
 from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import calendar
@@ -76,3 +78,30 @@ def test_sheet_names_are_unique(spark):
     assert got == want and max(map(len, got)) <= 31
     names = catalogue.queries()["sheet_names"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").selectExpr("page_id", "floor(page_id / 500) AS book"), "page_id")
     assert names.groupBy("book", F.lower("sheet")).count().where("count > 1").count() == 0
+
+
+def test_ordinals(spark):
+    """Places by key over ranges of a skewed order, with a null key and few values."""
+    from docloom.functions.ranges import bounded, ordinals
+
+    rows = [(("a", "b", None)[i % 3], i * i * i) for i in range(700)] + [("hot", i) for i in range(900)]
+    got = {(r["key"], r["v"]): r["n"] for r in ordinals(spark.createDataFrame(rows, "key string, v long").repartition(5), "key", "v", parts=16).collect()}
+    want = {}
+    for k in ("a", "b", None, "hot"):
+        want |= {(k, v): n for n, v in enumerate(sorted(v for x, v in rows if x == k), 1)}
+    assert got == want
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        bounded(spark.range(4), 3, "rows")
+
+
+def test_lint_finds_the_same_with_and_without_a_quick_look():
+    from docloom.operators import lint
+    from docloom.operators.diff_queries import SAID
+
+    for text in (*SAID, "\n".join(SAID), "일동안 년동안 하지 못하는 못하면 결재 카드 할수도 할수, 사용할때", "plain"):
+        slow: dict = {}
+        for pattern, replacement in lint.RULES:
+            if hits := [m.group() for m in re.finditer(pattern, text)]:
+                slow[hits[0], re.sub(pattern, replacement, hits[0])] = len(hits)
+        assert lint.find(text) == [(a, b, n) for (a, b), n in slow.items()]
+    assert lint.find(SAID[4]) == [] and [x[0] for x in lint.find(SAID[1])] == ["할수", "볼때", "먹을만큼"]
