@@ -6,10 +6,12 @@ and all executors see, so a lost executor costs a re-read and never the job.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import functools
 import os
+import shutil
 import sys
 import tempfile
 import uuid
@@ -84,12 +86,22 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'docloom-shared')}"
+        top = os.path.join(tempfile.gettempdir(), "docloom-shared")
+        own = f"{top}/docloom/{spark.sparkContext.applicationId}"
+        if own not in _shipped:
+            _shipped.add(own)
+            atexit.register(shutil.rmtree, own, True)
+        base = f"file://{top}"
     return base.rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/docloom/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has stored, results that have not been read yet included."""
+    remove(spark, f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}")
 
 
 @contextlib.contextmanager

@@ -547,14 +547,53 @@ def test_query_matches_sql(spark, name):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(found.fetchall(), key=str)
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, docs, odd, none):
+    """Every stage keeps the columns, also with odd rows and names; empty tables stay empty."""
     import corpus_pipeline
+    from docloom.llm.common import clean, store
 
-    out = corpus_pipeline.run(spark, SF)
-    rows = out.collect()
-    assert rows and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        break
+    d = docs.union(odd).select("*", *[F.lit(i).alias(c) for i, c in enumerate(("t", "copy", "kept", "row", "size", "id"))])
+    for name, stage in corpus_pipeline.STAGES:
+        columns = d.columns
+        d = store(stage(spark, d, SF), name)
+        assert d.count() and (name == "best_fit_packing" or d.columns == columns)
+        assert stage(spark, none, SF).count() == 0
+    assert {"doc_id", "sequence_id", "offset"} <= set(d.columns)
+    clean(spark)
+
+
+def test_pipeline_by_brute_force(spark, docs):
+    """What each filtering stage keeps of its own input, and what the last stages do with it."""
+    import corpus_pipeline
+    from docloom.llm.common import store
+    from docloom.llm.mixing import plan_mix
+
+    stages, texts = dict(corpus_pipeline.STAGES), lambda d: {r["doc_id"]: r["text"] for r in d.collect()}
+    d = store(stages["toxicity"](spark, docs, SF), "t")
+    before = texts(d)
+    groups = brute_components(list(before.items()), 5, 8, 10)
+    d = store(stages["ngram_jaccard_join"](spark, d, SF), "t")
+    kept = texts(d)
+    assert kept == {i: t for i, t in before.items() if groups[i][1] == i}
+    d = store(stages["suffix_array_dedup"](spark, d, SF), "t")
+    width, times = corpus_pipeline.PASSAGE_BYTES, collections.Counter()
+    for t in kept.values():
+        b = (t or "").encode()
+        times.update(b[i : i + width] for i in range(len(b) - width + 1))
+    want = {}
+    for i, t in kept.items():
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - width + 1):
+            if times[b[j : j + width]] > 1:
+                gone[j : j + width] = True
+        left = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else t
+        if not gone.any() or WORD.search(left.encode()):
+            want[i] = left
+    assert texts(d) == want
+    plan = {r["doc_id"]: r["copies"] for r in plan_mix(d).collect()}
+    mixed = store(stages["mixing"](spark, d, SF), "t")
+    got = collections.Counter(r["doc_id"] for r in mixed.collect())
+    assert got == collections.Counter({i: n for i, n in plan.items() if n})
+    packed = stages["best_fit_packing"](spark, mixed, SF).collect()
+    assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == got
