@@ -38,9 +38,13 @@ def lines(c: Column) -> Column:
 
 
 def trim_lines(c: Column) -> Column:
-    """Every line trimmed, runs of blank lines reduced to one; in one pass over the text."""
-    c = F.regexp_replace(c, f"(?<![{_BLANK}])[{_BLANK}]++(?=\\n|\\z)|(?:(?<=\\n)|\\A)[{_BLANK}]++", "")
-    return F.regexp_replace(c, "\n{3,}", "\n\n")
+    """Every line trimmed, runs of blank lines reduced to one.
+
+    Blanks after a line feed go, then, with the text reversed, those before one: so each search starts at a line
+    feed and long runs of blanks cost no more than their length.
+    """
+    ahead = lambda x: F.regexp_replace(x, f"(\\A|\\n)[{_BLANK}]++", "$1")
+    return F.regexp_replace(F.reverse(ahead(F.reverse(ahead(c)))), "\n{3,}", "\n\n")
 
 
 def collapse_spaces(c: Column) -> Column:
