@@ -236,7 +236,7 @@ def test_quality(spark, docs, odd, none):
     from docloom.llm.quality import BIT, ablation, judge, ledger
 
     both = docs.select("doc_id", "text").union(odd.select("doc_id", "text").where("doc_id <> 5").withColumn("doc_id", F.col("doc_id") + 10_000))
-    got = {r["doc_id"]: r for r in judge(both).collect()}
+    got = {r["doc_id"]: r for r in judge(both.select("*", *[F.lit(1).alias(c) for c in ("failed", "n_words", "kept")])).collect()}
     for r in both.collect():
         t = r["text"] or ""
         w = [x.decode() for x in WORD.findall(t.encode())]
@@ -367,7 +367,7 @@ def test_packing(spark, docs, odd, none):
 
     path = tokenizer_path("word_bpe_49k.json")
     both = docs.union(odd)
-    rows = packing.pack(both, path, capacity=64).collect()
+    rows = packing.pack(both.select("*", *[F.lit(1).alias(c) for c in ("length", "piece", "_slice", "_rank")]), path, capacity=64).collect()
     texts = [(r["doc_id"], r["text"]) for r in both.collect()]
     want = collections.Counter()
     for (i, _), ids in zip(texts, encode_all("word_bpe_49k.json", [t for _, t in texts])):
@@ -481,7 +481,7 @@ def test_toxicity(spark, odd, none):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     assert any(r["spans"] for r in got if r["predicted"])
     few = spark.createDataFrame([(4, 1, None), (5, 0, 0), (6, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    assert toxicity(odd, few).count() == odd.count()
+    assert toxicity(odd.select("*", *[F.lit(1).alias(c) for c in ("score", "predicted", "toxic", "n")]), few).count() == odd.count()
     assert toxicity(none, few).count() == 0
 
 
