@@ -131,6 +131,28 @@ def test_ngram_join_members_outside_the_largest_component(spark, monkeypatch):
     assert got == brute_components(rows, 3, 9, 10)
 
 
+def test_components(spark):
+    """Chains, stars, cycles and random graphs against union-find."""
+    from docloom.llm.components import components
+
+    rng = np.random.default_rng(12)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)] + [(5, 5)]
+    edges += [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 300, (260, 2))]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        m, n = sorted((root(a), root(b)))
+        up[n] = m
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_keep_first(spark, odd, none):
     kept = ngram_join.keep_first(odd.withColumn("extra", F.lit(1)))
     assert kept.columns == [*odd.columns, "extra"]
