@@ -85,7 +85,7 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _dice_sql = """
 WITH d AS (SELECT doc_id, lower(text) AS a, lower(lag(text) OVER (ORDER BY doc_id)) AS b FROM documents),
 n AS (SELECT doc_id, CASE WHEN length(a) < 8 THEN 1 ELSE 2 END AS na, CASE WHEN length(b) < 8 THEN 1 ELSE 2 END AS nb, a, b FROM d WHERE b IS NOT NULL),
-g AS (SELECT doc_id, CASE WHEN length(a) <= na THEN [a] ELSE list_transform(range(1, length(a) - na + 2), lambda i: substr(a, i, na)) END AS ga, CASE WHEN length(b) <= nb THEN [b] ELSE list_transform(range(1, length(b) - nb + 2), lambda i: substr(b, i, nb)) END AS gb FROM n),
+g AS (SELECT doc_id, CASE WHEN length(a) <= na THEN [a] WHEN na = 1 THEN ca ELSE list_transform(range(1, CAST(length(a) AS BIGINT)), lambda i: ca[i] || ca[i + 1]) END AS ga, CASE WHEN length(b) <= nb THEN [b] WHEN nb = 1 THEN cb ELSE list_transform(range(1, CAST(length(b) AS BIGINT)), lambda i: cb[i] || cb[i + 1]) END AS gb FROM (SELECT *, string_split(a, '') AS ca, string_split(b, '') AS cb FROM n)),
 ca AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(ga) AS x FROM g) GROUP BY ALL),
 cb AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(gb) AS x FROM g) GROUP BY ALL),
 s AS (SELECT ca.doc_id, sum(least(ca.c, cb.c)) AS m FROM ca JOIN cb ON ca.doc_id = cb.doc_id AND ca.x = cb.x GROUP BY ca.doc_id)
