@@ -77,8 +77,29 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), 400).drop("t", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.fill_middle import fill_in_middle, restored
+
+    made = fill_in_middle(documents(spark, sf_dir))
+    texts = {"output_sha256": F.col("output"), "restored_sha256": restored(F.col("output"), F.col("form"))}
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(t, 256).alias(name) for name, t in texts.items()])
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.near_vectors import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_files, op3_exact_top_k, op4_quality_rules, op5_warc, op6_mix_sources, op7_language_id, op8_best_fit_packing, op9_suffix_dedup, op10_toxicity)}
+    first = (op1_ngram_jaccard, op2_token_files, op3_exact_top_k, op4_quality_rules, op5_warc, op6_mix_sources, op7_language_id, op8_best_fit_packing, op9_suffix_dedup, op10_toxicity)
+    return {f.__name__: f for f in (*first, op11_whitening, op12_fill_in_middle, op13_near_vectors)}
 
 
 def _quality_sql() -> str:
@@ -114,5 +135,19 @@ c AS (SELECT doc_id, size, source_size, target, u.source, rate, CAST(floor(rate)
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, rate, copies FROM c"""
 
 
+_fill_sql = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT *, CAST(len(t) AS BIGINT) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(h, CAST(8 * k + 1 AS INT), 8) AS BIGINT)) AS r FROM d),
+c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM e),
+p AS (SELECT *, array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:b], '') AS middle, array_to_string(t[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+_near_sql = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT vec_id, CAST((SELECT count(*) FROM l WHERE l.x = vec_id) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON x = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _quality_sql(), "op5_warc": _warc_sql, "op6_mix_sources": _mix_sql}
+    return {"op4_quality_rules": _quality_sql(), "op5_warc": _warc_sql, "op6_mix_sources": _mix_sql, "op12_fill_in_middle": _fill_sql, "op13_near_vectors": _near_sql}

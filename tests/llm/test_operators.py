@@ -552,7 +552,7 @@ def test_field_marginals_by_enumeration():
     assert got[0] == pytest.approx(weight / mass) and pairs.sum() == pytest.approx(4)
 
 
-@pytest.mark.parametrize("name", ["op4_quality_rules", "op5_warc", "op6_mix_sources"])
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op5_warc", "op6_mix_sources", "op12_fill_in_middle", "op13_near_vectors"])
 def test_query_matches_sql(spark, name):
     from pathlib import Path
 
