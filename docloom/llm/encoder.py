@@ -7,7 +7,9 @@ text's ids:
   attaches exactly that space to what follows, whatever the context.
 * ``words``: at ASCII spaces and line feeds, which this kind of vocabulary drops.
 
-In both, the ASCII punctuation that ends a run of Latin letters is a piece of its own. Pieces are hashed with
+In both, the ASCII punctuation that ends a run of Latin letters is a piece of its own. A vocabulary's special
+tokens are found in texts, as the library does by default; they hold no white space, so a piece has them whole (with a
+vocabulary whose special tokens are matched in other ways, texts are not cut). Pieces are hashed with
 NumPy and looked up all at once in a table of `SLOTS` places, where a new piece replaces the one in its place;
 the tokenizer sees only the others. The table never grows, so neither does a worker's memory.
 """
@@ -45,7 +47,8 @@ class Encoder:
         if mode not in ("byte_level", "words"):
             raise ValueError(f"unknown mode {mode}")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        self.cuts = not any(t.lstrip or t.rstrip or t.single_word or t.normalized or re.search(r"\s|[A-Za-z][.,;:!?%&$#*]+$", t.content) for t in special)
         self.mode = mode
         self.keys = np.zeros(SLOTS, np.uint64)
         self.n = np.zeros(SLOTS, np.uint8)
@@ -53,6 +56,8 @@ class Encoder:
 
     def cut(self, text: str) -> bytes:
         """The text with a mark between pieces, in place of the space there."""
+        if not self.cuts:
+            return text.encode()
         if self.mode == "words":
             return text.encode().replace(b"\n", _CUT_BYTE).replace(b" ", _CUT_BYTE)
         if text and (text[0] == " " or text[-1] == " " or _NEAR_SPACE.search(text)):

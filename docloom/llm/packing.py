@@ -141,7 +141,8 @@ def place(cut: DataFrame, capacity: int) -> DataFrame:
     """
     spark = cut.sparkSession
     n_slices = 4 * partitions_of(cut)
-    sliced = cut.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_slices)).cast("int"))
+    # the row's place in its file, so that equal rows are not one slice's alone
+    sliced = cut.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_metadata.row_index"), F.lit(n_slices)).cast("int"))
     per = sliced.groupBy("_slice", "length").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = per.select("_slice", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -167,10 +168,12 @@ def place(cut: DataFrame, capacity: int) -> DataFrame:
         .drop("_r", "_base", "_slice")
     )
     by_length = ranges.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_sequence", "offset", "_many"))).alias("_ranges"))
-    at = F.element_at(F.filter("_ranges", lambda x: (x["_from"] <= F.col("_rank")) & (F.col("_rank") < x["_to"])), 1)
+    # ranges of a length follow each other: by bisection, the last that begins at the rank or before
+    steps = F.array(*[F.lit(1 << i) for i in range(18, -1, -1)])
+    reached = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size("_ranges")) & (F.get("_ranges", at + step - 1)["_from"] <= F.col("_rank")), at + step).otherwise(at))
     return (
         ranked.join(F.broadcast(by_length), "length")  # at most `capacity` rows
-        .withColumn("_at", at)
+        .withColumn("_at", F.get("_ranges", reached - 1))
         .withColumn("_k", F.col("_rank") - F.col("_at._from"))
         .withColumn("sequence_id", F.col("_at._sequence") + F.floor(F.col("_k") / F.col("_at._many")))
         .withColumn("offset", F.col("_at.offset") + F.col("_k") % F.col("_at._many") * F.col("length"))

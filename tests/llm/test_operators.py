@@ -177,7 +177,6 @@ def encode_all(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -192,6 +191,21 @@ def test_encoder_equals_whole_texts(docs, odd, name, mode):
     assert got == encode_all(name, texts)
 
 
+@pytest.mark.parametrize("name,mode", [("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "words")])
+def test_encoder_with_special_tokens_and_random_texts(name, mode):
+    """Special tokens at the start, in the middle, at the end, doubled, cut short and next to spaces; 20,000 random texts."""
+    from docloom.llm.encoder import Encoder
+    from docloom.llm.queries import tokenizer_path
+
+    rng = np.random.default_rng(17)
+    e, s = "<|endoftext|>", "<|startoftext|>"
+    texts = [t.replace("E", x) for x in (e, s, e.upper(), e[:-1]) for t in ("E", "xEy", "x Ey", "xE y", "x E y", " E", "E ", "  E  ", "EE", "E E", "x.E.", "E.", "a\nE\nb", "a,E", "é E é", "<E>", "<|endofE")]
+    parts = np.array([e, s, "<|", "|>", " ", "  ", "\n", "a", "Word", "don't", "é", "ß", "42", ".", ",", "!?", "--", "\t", "한글", "😀", "x" * 30, "\x1c", "\u3000", "×"])
+    texts += ["".join(parts[rng.integers(0, len(parts), int(rng.integers(0, 12)))]) for _ in range(20_000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(tokenizer_path(name), mode).encode(texts)]
+    assert got == encode_all(name, texts)
+
+
 def test_token_files(spark, docs, odd, none):
     from docloom.llm.queries import tokenizer_path
     from docloom.llm.token_files import token_files
@@ -356,6 +370,27 @@ def test_mixing(spark, docs, odd, none):
     assert plan_mix(none).count() == 0 and mix(none).count() == 0
 
 
+def test_mixing_rows_without_ids_and_equal_rows(spark, monkeypatch):
+    """Each row is a draw of its own: with no id, with one id for all, and with equal texts too."""
+    from docloom.llm import mixing
+
+    for same_id, same_text in ((None, False), (7, False), (None, True), (7, True)):
+        rows = [(same_id, "w " * 5 if same_text else f"w{i} w w w w", "ab"[i % 3 > 1], i % 2) for i in range(1200)]
+        d = spark.createDataFrame(rows, "doc_id long, text string, source string, more int")
+        plan = [r for r in mixing.plan_mix(d).collect()]
+        assert len(plan) == 1200
+        for s in "ab":
+            own = [r for r in plan if r["source"] == s]
+            f = own[0]["rate"] % 1
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5 * (len(own) * f * (1 - f) * 25) ** 0.5 + 1e-6
+        count = lambda x: collections.Counter(tuple(r) for r in x.collect())
+        once = count(mixing.mix(d))
+        assert once == count(mixing.mix(d.repartition(7)))
+        monkeypatch.setattr(mixing, "BROADCAST_KEYS", 0)
+        assert once == count(mixing.mix(d))
+        monkeypatch.undo()
+
+
 def test_mixing_many_sources(spark, monkeypatch):
     """Ranks over partitions, and targets as rounds of resharing give them."""
     from docloom.llm import mixing
