@@ -48,6 +48,10 @@ class Encoder:
             raise ValueError(f"unknown mode {mode}")
         self.tokenizer = Tokenizer.from_file(path)
         special = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content for t in special]
+        # for pieces in which no special token stands: it need not look for any
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
         self.cuts = not any(t.lstrip or t.rstrip or t.single_word or t.normalized or re.search(r"\s|[A-Za-z][.,;:!?%&$#*]+$", t.content) for t in special)
         self.mode = mode
         self.keys = np.zeros(SLOTS, np.uint64)
@@ -87,7 +91,10 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        at = [i for i, t in enumerate(texts) if any(x in t for x in self.special)] if self.cuts else [*range(len(texts))]
+        ids = [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        for i, e in zip(at, self.tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)):
+            ids[i] = e.ids
         n = np.array([len(x) for x in ids], np.int64)
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
 
