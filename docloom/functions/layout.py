@@ -65,3 +65,35 @@ def page_fit(w: Column, h: Column, margin: float = 28.0) -> dict[str, Column]:
     scale = F.least(F.lit(1.0), (pw - 2 * margin) / (w * 0.75), (ph - 2 * margin) / (h * 0.75))
     dw, dh = w * 0.75 * scale, h * 0.75 * scale
     return {"page_w": pw, "page_h": ph, "x": (pw - dw) / 2.0, "y": (ph - dh) / 2.0, "w": dw, "h": dh}
+
+
+def selection_after(command: Column, start: Column, end: Column, cursor: Column, pasted: Column, length: Column, in_place: tuple[str, ...], shortest: float) -> dict[str, Column]:
+    """start, until of the selection (start, end; null: none) after an edit of a clip that is now `length` seconds long."""
+    fallback = F.least(F.coalesce(start, F.lit(0.0)), F.greatest(F.lit(0.0), length - shortest))
+    wanted = F.when(command.isin(*in_place), F.when(start.isNotNull(), F.struct(start.alias("a"), end.alias("b")))).when(command == "PASTE", F.struct(cursor.alias("a"), (cursor + pasted).alias("b")))
+    wanted = wanted.when(command == "TRIM", F.struct(F.lit(0.0).alias("a"), length.alias("b"))).otherwise(F.struct(fallback.alias("a"), F.least(length, fallback + 1.0).alias("b")))
+    first = F.greatest(F.lit(0.0), F.least(wanted["a"], length - shortest))
+    there = wanted.isNotNull() & (length >= shortest)
+    return {"start": F.when(there, first), "until": F.when(there, F.greatest(first + shortest, F.least(wanted["b"], length)))}
+
+
+def inverse(m: tuple[Column, ...]) -> tuple[tuple[Column, ...], Column]:
+    """The map that undoes (a, b, c, d, e, f), and its determinant; null entries where it is zero."""
+    a, b, c, d, e, f = m
+    det = a * d - b * c
+    by = F.when(F.abs(det) >= 2.0**-52, det)
+    return (d / by, -b / by, -c / by, a / by, (c * f - d * e) / by, (b * e - a * f) / by), det
+
+
+def image_region(m: tuple[Column, ...], selection: tuple[Column, ...], crop: tuple[Column, Column], size: tuple[Column, Column], source: tuple[Column, Column]) -> dict[str, Column]:
+    """A selection (left, top, width, height) on a canvas as whole pixels of an image: error, left_, top_, width, height."""
+    back, _ = inverse(m)
+    box = affine_bounds(back, *selection)
+    near = lambda x: F.round(x, 6)  # noqa: E731  what is a whole pixel but for rounding stays one
+    at = lambda name, k: box[name] + crop[k] + size[k] / 2.0
+    left, top = (F.greatest(F.lit(0), F.floor(near(at(n, k))).cast("long")) for k, n in enumerate(("left", "top")))
+    right, bottom = (F.least(source[k].cast("long"), F.ceil(near(at(n, k))).cast("long")) for k, n in enumerate(("right", "bottom")))
+    singular = box["left"].isNull()
+    empty = (right <= left) | (bottom <= top)
+    fine = ~singular & ~empty
+    return {"error": F.when(singular, "INVALID_TRANSFORM").when(empty, "NO_OVERLAP"), "left_": F.when(fine, left), "top_": F.when(fine, top), "width": F.when(fine, right - left), "height": F.when(fine, bottom - top)}

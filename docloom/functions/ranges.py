@@ -27,6 +27,8 @@ def reached(value: Column, bounds: list[float]) -> Column:
 
 def quantiles(df: DataFrame, order: str, parts: int) -> list[float]:
     """Bounds that cut a number into ranges of about as many rows; any bounds give the same places."""
+    if parts < 2:
+        return []
     return sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.2 / parts)))
 
 

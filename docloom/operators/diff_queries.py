@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.ranges import ordinals
 from docloom.operators import diff as D
+from docloom.operators import line_diff as LD
 from docloom.operators import lint
 from docloom.operators.catalogue import query
 from docloom.operators.text_queries import table
@@ -72,6 +74,48 @@ def diff_align_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.summary(D.paragraph_changes(pairs, ["doc_id"]), "doc_id")
 
 
+_LINES = "SELECT o_orderkey, o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority AS line FROM orders"
+_order_lines = f"""WITH b AS (SELECT o_orderkey AS k, line FROM ({_LINES}) WHERE o_orderkey % 97 <> 0), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 97 IN (1, 2) THEN line || '!' ELSE line END AS line FROM ({_LINES}) WHERE o_orderkey % 97 <> 3),
+x AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS pos FROM b), y AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS pos FROM a),"""
+
+
+def _order_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as the lines of one text, and the text after some lines are lost, some new and some changed."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.lit(0).alias("key"), "o_orderkey", F.concat_ws("|", k.cast("string"), "o_orderstatus", "o_orderpriority").alias("line"))
+    edited = o.where(k % 97 != 3).withColumn("line", F.when((k % 97).isin(1, 2), F.concat("line", F.lit("!"))).otherwise(F.col("line")))
+    return tuple(ordinals(d, "key", "o_orderkey").select("key", (F.col("n") - 1).alias("pos"), "line") for d in (o.where(k % 97 != 0), edited))
+
+
+@query("line_diff", _order_lines + """ e AS (SELECT x.pos AS before_pos, y.pos AS after_pos, x.line FROM x JOIN y ON x.line = y.line)
+SELECT 'equal' AS kind, before_pos, after_pos, line FROM e UNION ALL SELECT 'deleted', pos, NULL, line FROM x WHERE line NOT IN (SELECT line FROM e) UNION ALL SELECT 'added', NULL, pos, line FROM y WHERE line NOT IN (SELECT line FROM e)""")
+def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as one text against its edited version, line by line, without a task that sees either whole."""
+    return LD.line_diff(*_order_texts(spark, sf_dir)).drop("key")
+
+
+@query("line_changes", _order_lines + """ f AS (SELECT coalesce(x.k, y.k) AS k, x.pos AS xp, y.pos AS yp, x.line AS xl, y.line AS yl, CASE WHEN x.line = y.line THEN 1 ELSE 0 END AS eq FROM x FULL JOIN y ON x.k = y.k),
+h AS (SELECT *, sum(eq) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) - eq AS hunk FROM f),
+g AS (SELECT hunk, string_agg(xl, chr(10) ORDER BY xp) AS before, string_agg(yl, chr(10) ORDER BY yp) AS after, min(xp) AS xa, max(xp) AS xb, min(yp) AS ya, max(yp) AS yb FROM h WHERE eq = 0 GROUP BY hunk)
+SELECT CAST(hunk AS BIGINT) AS hunk, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'deleted' ELSE 'changed' END AS kind, before, after, CASE WHEN xa = xb THEN CAST(xa AS VARCHAR) ELSE xa || '~' || xb END AS before_at, CASE WHEN ya = yb THEN CAST(ya AS VARCHAR) ELSE ya || '~' || yb END AS after_at FROM g""")
+def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts' changes, neighbouring lines combined."""
+    return LD.combined(LD.line_diff(*_order_texts(spark, sf_dir))).drop("key")
+
+
+@query("line_common_ends", r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, x, list_filter(x, lambda l, i: i % 7 <> 4 OR i < len(x) // 2) AS y FROM d),
+m AS (SELECT *, least(len(x), len(y)) AS n FROM e),
+p AS (SELECT *, coalesce(list_min(list_filter(range(n), lambda i: x[i + 1] <> y[i + 1])), n) AS prefix FROM m)
+SELECT doc_id, prefix, least(coalesce(list_min(list_filter(range(n), lambda i: x[len(x) - i] <> y[len(y) - i])), n), n - prefix) AS suffix FROM p""")
+def line_common_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that documents have in common, at both ends, with themselves after lines of their second half are lost."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    lines = F.split("text", "\n", -1)
+    less = F.filter(lines, lambda x, i: ((i + 1) % 7 != 4) | (i + 1 < F.floor(F.size(lines) / 2)))
+    after = d.select(F.col("doc_id").alias("key"), F.posexplode(less).alias("pos", "line"))
+    return LD.common_ends(LD.text_lines(d, "doc_id", "text"), after).select(F.col("key").alias("doc_id"), "prefix", "suffix")
+
+
 #: Sentences with and without findings, which the documents' own texts lack.
 SAID = ("몇일 동안 작업후 확인", "할수 있습니다. 볼때 먹을만큼", "역활과 비률", "결재 금액", "문제 없음")
 

@@ -119,10 +119,10 @@ def diff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_frames(changes, "old", "new")[0]
 
 
-@query("record_keys", "SELECT doc_id, md5(text || chr(31) || coalesce(lang, '') || chr(31) || 'comments:' || coalesce(source, '')) AS key, CAST(count(*) OVER (PARTITION BY text, lang, source) AS BIGINT) AS holders FROM documents")
+@query("record_keys", "SELECT doc_id, key, CAST(count(*) OVER (PARTITION BY key) AS BIGINT) AS holders FROM (SELECT doc_id, md5(coalesce(text, '') || chr(31) || coalesce(lang, '') || chr(31) || 'comments:' || coalesce(source, '')) AS key FROM documents)")
 def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What makes two records the same: text, format (a document's language here) and comments (its source)."""
-    key = F.md5(F.concat(F.col("text"), F.lit("\x1f"), F.coalesce("lang", F.lit("")), F.lit("\x1fcomments:"), F.coalesce("source", F.lit(""))))
+    """What makes two records the same: text, format (a document's language here) and comments (its source); nulls are empty."""
+    key = F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("\x1f"), F.coalesce("lang", F.lit("")), F.lit("\x1fcomments:"), F.coalesce("source", F.lit(""))))
     d = table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
     holders = d.groupBy("key").agg(F.count("*").alias("holders"))
     return d.join(holders, "key").select("doc_id", "key", "holders")

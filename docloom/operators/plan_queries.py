@@ -76,6 +76,19 @@ def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("o_orderkey", (F.datediff("b", "a") + 1).cast("long").alias("total"), (F.col("to") - F.col("from")).alias("business"))
 
 
+@query("excluded_days", _holidays_sql + """, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderkey % 30 AS INT) AS n FROM orders),
+named AS (SELECT date, arg_max(name, ord) AS name FROM (SELECT d AS date, name, ord FROM days UNION ALL SELECT date, name, 99 FROM holidays WHERE substitute) GROUP BY date),
+x AS (SELECT o_orderkey, a + CAST(unnest(range(n + 1)) AS INT) AS day FROM o)
+SELECT o_orderkey, day, coalesce(name, 'Weekend') AS reason FROM x LEFT JOIN named ON date = day WHERE name IS NOT NULL OR isodow(day) > 5""")
+def excluded_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that are no business days from each order's date to a number of days later, each with its reason."""
+    a = F.col("o_orderdate").cast("date")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), a.alias("first"), F.date_add(a, (F.col("o_orderkey") % 30).cast("int")).alias("last"))
+    first, last = o.agg(F.year(F.min("first")), F.year(F.max("last"))).first()
+    free = C.free_days(spark, first or 2000, last or 2000)
+    return C.excluded_days(o, free).withColumnRenamed("id", "o_orderkey")
+
+
 _AS_OF = date(2026, 3, 15)
 
 

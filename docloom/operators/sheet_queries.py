@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import scans
 from docloom.operators import workbook as W
 from docloom.operators.catalogue import query
 from docloom.operators.table_queries import _grid
@@ -150,7 +151,7 @@ def format_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     spread = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.floor(i * (n - 1) / 31.0 + 0.5).cast("int"))
     places = F.when(n <= 64, every).otherwise(spread)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(places, lambda x: x.cast("string")), ",").alias("places"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(n.isNotNull(), F.array_join(F.transform(places, lambda x: x.cast("string")), ",")).alias("places"))
 
 
 @query("grid_transpose", "SELECT conv_id, n_cols, flat FROM (SELECT conv_id, CAST(max(len(w)) AS BIGINT) AS n_cols, string_agg(array_to_string(w, chr(9247)), ' | ' ORDER BY turn) AS flat FROM (SELECT conv_id, turn, string_split(role || ' ' || CAST(turn AS VARCHAR) || CASE WHEN turn % 2 = 0 THEN ' even' ELSE '' END, ' ') AS w FROM conversations) GROUP BY conv_id)")
@@ -186,67 +187,30 @@ def revision_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(base, "block").select("l_orderkey", (F.lit(used) + F.col("base") + F.col("r")).cast("long").alias("revision"))
 
 
-#: The letters of Korean list labels.
-GANADA, CHOSUNG = "가나다라마바사아자차카타파하", "ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎ"
-_ROMAN = tuple(zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "M CM D CD C XC L XL X IX V IV I".split()))
-
-
-def list_number(value: int, kind: str) -> str:
-    """A number as a list label of the named format; decimal where it is unknown or the number has no such label."""
-    if kind == "decimalZero":
-        return f"{value:02d}"
-    if kind == "decimalEnclosedCircle":
-        return "⓪" if value == 0 else chr(0x245F + value) if 1 <= value <= 20 else f"({value})"
-    if value > 0 and kind in ("upperRoman", "lowerRoman"):
-        out = ""
-        for n, sign in _ROMAN:
-            out += sign * (value // n)
-            value %= n
-        return out if kind == "upperRoman" else out.lower()
-    letters = {"upperLetter": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lowerLetter": "abcdefghijklmnopqrstuvwxyz", "ganada": GANADA, "koreanDigital": GANADA, "chosung": CHOSUNG}.get(kind)
-    if value > 0 and letters:
-        out = ""
-        while value:
-            value, d = divmod(value - 1, len(letters))
-            out = letters[d] + out
-        return out
-    return str(value)
-
-
-def labels(levels: list[int], formats: list[tuple[str, str, int]], legal: frozenset[int] = frozenset()) -> list[str]:
-    """Labels of a list's items by level. formats: each level's template (%1 is the first level's number), format, start.
-
-    An item counts its level on and clears the deeper ones; a level above that has no number yet takes its start.
-    """
-    now: list[int | None] = [None] * len(formats)
-    out = []
-    for level in levels:
-        for above in range(level):
-            now[above] = formats[above][2] if now[above] is None else now[above]
-        now[level] = formats[level][2] if now[level] is None else now[level] + 1
-        now[level + 1 :] = [None] * (len(formats) - level - 1)
-        text = formats[level][0]
-        for k in range(len(formats), 0, -1):
-            number = formats[k - 1][2] if now[k - 1] is None else now[k - 1]
-            text = text.replace(f"%{k}", list_number(number, "decimal" if level in legal else formats[k - 1][1]))
-        out.append(text)
-    return out
-
-
 FORMATS = [("%1.", "upperRoman", 1), ("%1.%2", "decimal", 1), ("%3)", "ganada", 1)]
+_LIST_ITEMS = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 3 AS level, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS pos FROM lineitem"
 
 
-@query("list_labels")
+@query("list_labels", f"""WITH i AS ({_LIST_ITEMS}), w AS (SELECT *, sum(CAST(level < 1 AS INT)) OVER o AS g1, sum(CAST(level < 2 AS INT)) OVER o AS g2, sum(CAST(level = 0 AS INT)) OVER o AS c0, first_value(level) OVER o > 0 AS d0 FROM i WINDOW o AS (PARTITION BY l_orderkey ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT *, sum(CAST(level = 1 AS INT)) OVER o AS c1, coalesce(first_value(CASE WHEN level > 0 THEN level END IGNORE NULLS) OVER o, 0) > 1 AS d1 FROM w WINDOW o AS (PARTITION BY l_orderkey, g1 ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+y AS (SELECT *, sum(CAST(level = 2 AS INT)) OVER (PARTITION BY l_orderkey, g2 ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c2 FROM x),
+z AS (SELECT *, CAST(greatest(c0 + CAST(d0 AS INT), 1) AS INT) AS n0, CAST(greatest(c1 + CAST(d1 AS INT), 1) AS INT) AS n1, CAST(greatest(c2, 1) AS INT) AS n2 FROM y)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(level AS INT) AS level, CASE level WHEN 0 THEN ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII', 'XIII', 'XIV', 'XV'][n0] || '.' WHEN 1 THEN ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII', 'XIII', 'XIV', 'XV'][n0] || '.' || n1 ELSE substr('가나다라마바사아자차카타파하', n2, 1) || ')' END AS label FROM z""")
 def list_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the lines of orders as lists of three levels. No SQL: counters depend on the whole list before."""
-    ship(spark)
-    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 3).cast("int").alias("level"))
-
-    def label(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("l_linenumber", "ascending"), ("l_partkey", "ascending"), ("l_suppkey", "ascending")])
-        return group.append_column("label", pa.array(labels(group.column("level").to_pylist(), FORMATS)))
-
-    return d.groupBy("l_orderkey").applyInArrow(label, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, level int, label string")
+    """Labels of the lines of orders as lists of three levels."""
+    own = F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("list"), own.alias("pos"), (F.col("l_partkey") % 3).cast("int").alias("level"), "l_linenumber", "l_partkey", "l_suppkey")
+    return scans.list_labels(d, FORMATS).select(F.col("list").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "level", "label")
+
+
+@query("coalesced_events", """WITH e AS (SELECT CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END AS key, event_id, event_type AS value FROM events),
+s AS (SELECT *, CASE WHEN value IS NOT DISTINCT FROM lag(value) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS start FROM e WINDOW w AS (PARTITION BY key ORDER BY event_id)),
+g AS (SELECT *, sum(start) OVER (PARTITION BY key ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS g FROM s)
+SELECT key, min(event_id) AS first, max(event_id) AS last, any_value(value) AS value, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY key, g""")
+def coalesced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one type that follow each other as one row; half of all users are one key."""
+    key = F.when(F.col("user_id") % 2 == 0, 0).otherwise(F.col("user_id"))
+    return scans.coalesced(table(spark, sf_dir, "events").withColumn("key", key), "key", "event_id", "event_type")
 
 
 def csv_table(text: str) -> tuple[list[str], list[list[str]], int]:

@@ -33,7 +33,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS rn FROM
 SELECT doc_id, CAST(count(*) FILTER (WHERE rn = 1 OR k = '') AS BIGINT) AS kept_lines,
  CAST(count(*) FILTER (WHERE rn > 1 AND k <> '') AS BIGINT) AS removed_lines,
  md5(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE rn = 1 OR k = '')) AS text_md5
-FROM r GROUP BY doc_id""")
+FROM r GROUP BY doc_id UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL""")
 def text_dedupe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     kept = T.kept_lines(F.col("text"))
@@ -118,19 +118,16 @@ def _dice(d: DataFrame) -> DataFrame:
 def _with_previous(d: DataFrame) -> DataFrame:
     """d(doc_id, a) -> doc_id, a, b: a of the row before by doc_id, whatever the gaps; rows without an id come last.
 
-    Windows are per range of ids, and each range also gets the last rows of the range before: no window over all rows.
+    Windows are per range of ids, and each range's first row gets the last text of the range before: no window over all rows.
     """
-    n = min(256, max(64, d.count() // 10_000))
+    n = max(64, d.count() // 10_000)
     k = reached(F.col("doc_id"), quantiles(d, "doc_id", n))
-    d = d.withColumn("k", F.when(F.col("doc_id").isNull(), n).otherwise(k))
-    last = d.groupBy("k").agg(F.max("doc_id").alias("top")).orderBy("k").collect()
-    carry = [(r["top"], after["k"]) for r, after in zip(last, last[1:])]
-    d = d.withColumn("carried", F.lit(False))
-    if carry:
-        tops = F.create_map(*[F.lit(x) for pair in carry for x in pair])
-        d = d.union(d.withColumn("k", F.try_element_at(tops, "doc_id")).where("k IS NOT NULL").withColumn("carried", F.lit(True)))
-    before = F.lag("a").over(Window.partitionBy("k").orderBy(F.col("doc_id").asc_nulls_last()))
-    return d.withColumn("b", before).where("NOT carried").select("doc_id", "a", "b")
+    d = d.withColumn("k", F.when(F.col("doc_id").isNull(), n).otherwise(k)).withColumn("h", F.xxhash64("a"))
+    tails = d.groupBy("k").agg(F.max_by(F.struct("a"), F.struct("doc_id", "h")).alias("tail"))
+    tails = tails.select(F.lead("k").over(Window.orderBy("k")).alias("k"), "tail")  # a row a range
+    own = F.lag(F.struct("a")).over(Window.partitionBy("k").orderBy(F.col("doc_id").asc_nulls_last(), "h"))
+    met = d.withColumn("own", own).join(tails, "k", "left")
+    return met.select("doc_id", "a", F.when(F.col("own").isNotNull(), F.col("own.a")).otherwise(F.col("tail.a")).alias("b"))
 
 
 @query("a1_columns", """

@@ -7,33 +7,24 @@ job; binary and encrypted workbooks are recognised and refused.
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docloom.session import ship
+from docloom.sources import docx, xlsx
 from docloom.sources.media import is_encrypted
 
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 CELLS = "path string, sheet_ix int, sheet string, row int, col int, kind string, v string, formula string, error string"
 PARAGRAPHS = "path string, section string, pos int, text string, list_level int, table_ix int, row_ix int, col_ix int, error string"
 MAX_ROWS = 1_048_576
 
 
-def column_number(ref: str) -> int:
-    n = 0
-    for c in re.match(r"[A-Z]+", ref)[0]:
-        n = n * 26 + ord(c) - 64
-    return n
-
-
 def column_letters(n: int) -> str:
     out = ""
     while n:
@@ -45,52 +36,18 @@ def column_letters(n: int) -> str:
 def workbook_cells(data: bytes) -> Iterator[tuple]:
     """(sheet_ix, sheet, row, col, kind, v, formula) of every cell with a value or formula."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        links = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for ix, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")):
-            target = links[sheet.get(f"{_R}id")].lstrip("/")
-            tree = ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for c in tree.iter(f"{_S}c"):
-                value, formula = c.findtext(f"{_S}v"), c.findtext(f"{_S}f")
-                kind = {"s": "string", "str": "string", "inlineStr": "string", "b": "boolean", "e": "error"}.get(c.get("t", "n"), "number")
-                if c.get("t") == "s" and value is not None:
-                    value = shared[int(value)]
-                elif c.get("t") == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(f"{_S}t"))
-                if value is not None or formula is not None:
-                    ref = c.get("r")
-                    yield ix, sheet.get("name"), int(re.search(r"\d+", ref)[0]), column_number(ref), "formula" if formula is not None else kind, value, formula
+        shared = xlsx.shared_texts(z)
+        for ix, (name, member) in enumerate(xlsx.sheets(z)):
+            for cells in xlsx.sheet_rows(z, member, shared):
+                yield from ((ix, name, *c) for c in cells)
 
 
 def document_paragraphs(data: bytes) -> Iterator[tuple]:
     """(section, pos, text, list_level, table_ix, row_ix, col_ix): body, then headers, footers, notes and comments."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        parts = [("word/document.xml", "body")]
-        parts += [(n, "headerFooter") for n in sorted(names) if re.fullmatch(r"word/(header|footer)\d*\.xml", n)]
-        parts += [(f"word/{n}.xml", s) for n, s in (("footnotes", "note"), ("endnotes", "note"), ("comments", "comment"))]
-        for name, section in parts:
-            if name not in names:
-                continue
-            pos, tables = 0, 0
-            todo = [(ET.fromstring(z.read(name)), None)]
-            while todo:
-                node, place = todo.pop()
-                if node.tag in (f"{_W}footnote", f"{_W}endnote") and int(node.get(f"{_W}id", "0")) < 0 or node.tag in (f"{_W}del", f"{_W}moveFrom"):
-                    continue
-                if node.tag == f"{_W}p":
-                    level = node.find(f"{_W}pPr/{_W}numPr/{_W}ilvl")
-                    text = "".join("\t" if t.tag == f"{_W}tab" else "\n" if t.tag == f"{_W}br" else t.text or "" for t in node.iter() if t.tag in (f"{_W}t", f"{_W}tab", f"{_W}br"))
-                    yield section, pos, text, None if level is None else int(level.get(f"{_W}val")), *(place or (None, None, None))
-                    pos += 1
-                elif node.tag == f"{_W}tbl":
-                    cells = [(c, (tables, i, j)) for i, r in enumerate(node.findall(f"{_W}tr")) for j, c in enumerate(r.findall(f"{_W}tc"))]
-                    todo += cells[::-1]
-                    tables += 1
-                else:
-                    todo += [(x, place) for x in list(node)[::-1]]
+        for section, member in docx.text_parts(z.namelist()):
+            with z.open(member) as part:
+                yield from ((section, *row[:6]) for row in docx.paragraphs(part))
 
 
 def _read(files: DataFrame, f, schema: str) -> DataFrame:
@@ -157,24 +114,3 @@ def _cell(ref: str, v) -> str:
     if v.startswith("="):
         return f'<c r="{ref}"><f>{escape(v[1:])}</f></c>'
     return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
-
-
-def shift_formula(formula: str, sheet: str, offsets: dict[str, tuple[int, int]]) -> str:
-    """Moves cell references by their sheet's (rows, columns); text literals and sheets not in the plan stay."""
-    known = {k.lower(): v for k, v in offsets.items()}
-    ref = re.compile(r"""("(?:[^"]|"")*")|((?:'(?:[^']|'')+'|[^\W\d][\w.]*)!)?(?<![\w.$])(\$?[A-Z]{1,3}\$?\d+)(:\$?[A-Z]{1,3}\$?\d+)?(?![\w(])""")
-
-    def moved(cell: str, by: tuple[int, int]) -> str:
-        a, letters, b, digits = re.fullmatch(r"(\$?)([A-Z]+)(\$?)(\d+)", cell).groups()
-        return f"{a}{column_letters(column_number(letters) + by[1])}{b}{int(digits) + by[0]}"
-
-    def one(m: re.Match) -> str:
-        if m[1]:
-            return m[1]
-        name = sheet if not m[2] else m[2][:-1].strip("'").replace("''", "'")
-        by = known.get(name.lower())
-        if by is None:
-            return m[0]
-        return (m[2] or "") + moved(m[3], by) + (":" + moved(m[4][1:], by) if m[4] else "")
-
-    return ref.sub(one, formula)

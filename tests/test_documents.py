@@ -61,12 +61,6 @@ def test_page_layout(spark):
     assert [tuple(r) for r in P.recognised_lines(words, ["page", "line"]).collect()] == [(1, 0, "a b c", ["a b", "c"])]
 
 
-def test_list_labels():
-    assert S.labels([0, 1, 1, 2, 0, 1, 2, 2], S.FORMATS) == ["I.", "I.1", "I.2", "가)", "II.", "II.1", "가)", "나)"]
-    assert S.labels([1, 0, 1], S.FORMATS) == ["I.1", "II.", "II.1"] and S.labels([1], S.FORMATS, frozenset({1})) == ["1.1"]
-    assert [S.list_number(n, k) for n, k in ((0, "decimalEnclosedCircle"), (21, "decimalEnclosedCircle"), (20, "decimalEnclosedCircle"), (28, "lowerLetter"), (15, "ganada"), (7, "decimalZero"), (1994, "lowerRoman"), (0, "upperRoman"))] == ["⓪", "(21)", "⑳", "ab", "가가", "07", "mcmxciv", "0"]
-
-
 def test_csv_texts(spark):
     assert S.csv_table("name,value\nvalid,1") == (["name", "value"], [["valid", "1"]], 0)
     assert S.csv_table(" a ,,b\n\n ,\t\n1,2\n1,2,3,4\n") == (["a", "Column 2", "b"], [["1", "2", ""], ["1", "2", "3"]], 2) and S.csv_table("") == ([], [], 0)

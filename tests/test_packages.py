@@ -21,7 +21,7 @@ def test_bundles(spark):
 
 def test_docx_reads_back():
     data = packages.docx([("Page 1", ["one <&>", "two\x07"]), ("Page 2", [])], "nothing")
-    assert [t for _, _, t, *_ in document_paragraphs(data)] == ["Page 1", "one <&>", "two", "\n", "Page 2", "nothing"]
+    assert [t for _, _, t, *_ in document_paragraphs(data)] == ["Page 1", "one <&>", "two", "Page 2", "nothing"]
 
 
 def jpeg(order):

@@ -53,20 +53,14 @@ def test_documents(spark, tmp_path):
     assert [(r["section"], r["pos"], r["text"], r["table_ix"]) for r in rows] == [("body", 0, "one", None), ("body", 1, "cell", 0), ("headerFooter", 0, "top", None)]
 
 
-def test_formula_shift():
-    plan = {"First": (0, 0), "Second": (3, 0)}
-    assert office.shift_formula("SUM(A1:A2)", "Second", plan) == "SUM(A4:A5)"
-    assert office.shift_formula("\"A1\"&First!$B$2&'Other'!C3+A1", "Second", plan) == "\"A1\"&First!$B$2&'Other'!C3+A4"
-
-
 def test_formats():
     assert formats.sql_minify("SELECT a -- explanation\nFROM records") == "SELECT a /* explanation */ FROM records"
     assert formats.sql_minify("SELECT  'a  ''b' ,  f ( x )\n FROM t . u") == "SELECT 'a  ''b', f(x ) FROM t .u"
     assert formats.sql_pretty("select a from t where b = 'from x'") == "SELECT a\nFROM t\nWHERE b = 'from x'"
     assert formats.json_text('{"b": 9007199254740993, "a": [1]}', None) == '{"b":9007199254740993,"a":[1]}'
-    xml = '<root code="001"><n>007</n><hex>0x1A</hex><raw><![CDATA[  a < b  ]]></raw><mixed>Hello <b>wide</b> world</mixed></root>'
+    xml = '<shelf id="07"><size>012</size><mark>0b1</mark><note><![CDATA[ 1 < 2 ]]></note><said>one <i>two</i> three</said></shelf>'
     assert formats.xml_text(xml, None) == xml
-    assert '<n>007</n>\n  <hex>0x1A</hex>' in formats.xml_text(xml, 2) and "<mixed>Hello <b>wide</b> world</mixed>" in formats.xml_text(xml, 2)
+    assert '<size>012</size>\n  <mark>0b1</mark>' in formats.xml_text(xml, 2) and "<said>one <i>two</i> three</said>" in formats.xml_text(xml, 2)
     with pytest.raises(formats.XmlError, match="line 1"):
         formats.xml_text("<a><b></a>", 2)
 
@@ -80,8 +74,8 @@ def test_alignment():
         pairs = align.align([], ["x", "y"], method)
         assert pairs == [(None, 0), (None, 1)]
     assert align.align(["abcdefgh"], ["zzzzzzzzz"], "ratio") == [(0, None), (None, 0)]
-    whole = "이 문단은 두 개로 나뉘는 긴 문단입니다. 여기부터 둘째 문단이 시작됩니다."
-    one, two = "이 문단은 두 개로 나뉘는 긴 문단입니다. 추가된 문장.", "여기부터 둘째 문단이 시작됩니다."
+    whole = "The river rose for three days. On the fourth the bridge was gone."
+    one, two = "The river rose for three days. Nobody slept.", "On the fourth the bridge was gone."
     assert [k for k, *_ in align.compare([whole], [one, two])] == ["changed"]
     assert [k for k, *_ in align.compare(["a", "b", "c"], ["a", "x long other", "c"])] == ["unchanged", "deleted", "added", "unchanged"]
 

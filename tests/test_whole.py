@@ -103,5 +103,6 @@ def test_lint_finds_the_same_with_and_without_a_quick_look():
         for pattern, replacement in lint.RULES:
             if hits := [m.group() for m in re.finditer(pattern, text)]:
                 slow[hits[0], re.sub(pattern, replacement, hits[0])] = len(hits)
-        assert lint.find(text) == [(a, b, n) for (a, b), n in slow.items()]
-    assert lint.find(SAID[4]) == [] and [x[0] for x in lint.find(SAID[1])] == ["할수", "볼때", "먹을만큼"]
+        assert dict(lint.find_all([text])).get(0, []) == [(a, b, n) for (a, b), n in slow.items()]
+    found = dict(lint.find_all(SAID))
+    assert 4 not in found and [x[0] for x in found[1]] == ["할수", "볼때", "먹을만큼"]
