@@ -40,11 +40,9 @@ def cover(w: Column, h: Column, width: float, height: float) -> dict[str, Column
 
 
 def nearest(value: Column, candidates: list[int]) -> Column:
-    """The closest candidate; the earlier of two as close."""
-    best = F.lit(candidates[0])
-    for x in candidates[1:]:
-        best = F.when(F.abs(F.lit(x) - value) < F.abs(best - value), F.lit(x)).otherwise(best)
-    return best
+    """The closest candidate; the earlier of two as close, the first for null."""
+    apart = [F.struct(F.abs(F.lit(x) - value).alias("by"), F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(candidates)]
+    return F.array_min(F.array(*apart))["x"]
 
 
 def rotation(degrees: Column) -> Column:
@@ -56,7 +54,8 @@ def affine_bounds(m: tuple[Column, ...], x: Column, y: Column, w: Column, h: Col
     a, b, c, d, e, f = m
     corners = [(x, y), (x + w, y), (x, y + h), (x + w, y + h)]
     xs, ys = [a * i + c * j + e for i, j in corners], [b * i + d * j + f for i, j in corners]
-    return {"left": F.least(*xs), "top": F.least(*ys), "right": F.greatest(*xs), "bottom": F.greatest(*ys)}
+    known = (x + y + w + h + a + b + c + d + e + f).isNotNull()
+    return {n: F.when(known, v) for n, v in (("left", F.least(*xs)), ("top", F.least(*ys)), ("right", F.greatest(*xs)), ("bottom", F.greatest(*ys)))}
 
 
 def page_fit(w: Column, h: Column, margin: float = 28.0) -> dict[str, Column]:

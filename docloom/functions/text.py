@@ -216,7 +216,7 @@ def byte_size(n: Column) -> Column:
     return (
         F.when(n < 1024 * 1024, F.concat(F.floor(F.greatest(F.lit(1), round_half_up(n / 1024))).cast("string"), F.lit(" KB")))
         .when(n < 1024**3, F.concat(F.format_string("%.1f", n / (1024.0 * 1024.0)), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.2f", n / (1024.0**3)), F.lit(" GB")))
+        .when(n.isNotNull(), F.concat(F.format_string("%.2f", n / (1024.0**3)), F.lit(" GB")))
     )
 
 
@@ -230,7 +230,7 @@ def clock(seconds: Column) -> Column:
 
 def coordinate(c: Column) -> Column:
     """Six decimals, without zeros at the end."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", c), "0+$", ""), r"\.$", "")
+    return F.when(c.isNotNull(), F.regexp_replace(F.regexp_replace(F.format_string("%.6f", c), "0+$", ""), r"\.$", ""))
 
 
 def classify_error(message: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,30 @@ def wall_time(instant_utc: Column, zone: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), zone, instant_utc)
 
 
+#: With so many changes of a zone's offset in the data's time, or fewer, they are compared one by one.
+FEW_CHANGES = 64
+
+
+def offsets(spark: SparkSession, zone: str, first: datetime, last: datetime) -> list[tuple[datetime | None, int]]:
+    """A zone's offsets from UTC in seconds in a span of UTC time, each with the instant from which it holds; the first from any."""
+    rules = spark._jvm.java.time.ZoneId.of(zone).getRules()
+    instant = lambda t: spark._jvm.java.time.Instant.ofEpochSecond(int(t.replace(tzinfo=UTC).timestamp()))
+    out: list[tuple[datetime | None, int]] = [(None, rules.getOffset(instant(first)).getTotalSeconds())]
+    change = rules.nextTransition(instant(first))
+    while change is not None and (at := datetime.fromtimestamp(change.getInstant().getEpochSecond(), UTC).replace(tzinfo=None)) <= last:
+        out.append((at, change.getOffsetAfter().getTotalSeconds()))
+        change = rules.nextTransition(change.getInstant())
+    return out
+
+
+def offset_seconds(instant_utc: Column, known: list[tuple[datetime | None, int]]) -> Column:
+    """The offset that holds at a UTC wall time."""
+    out = F.lit(known[0][1])
+    for at, seconds in known[1:]:
+        out = F.when(instant_utc >= F.lit(at).cast("timestamp_ntz"), seconds).otherwise(out)
+    return F.when(instant_utc.isNotNull(), out)
+
+
 def works(local: Column, start: float = 9.0, end: float = 18.0) -> Column:
     hour = F.hour(local) + F.minute(local) / 60.0
     return (hour >= start) & (hour < end)

@@ -23,7 +23,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("k") % 97
     a = o.where(m != 0).select(F.col("k").alias("ak"), F.col("v").alias("av"), F.col("f").alias("af"))
     b = o.where(m != 3).select(F.col("k").alias("bk"), F.when(m == 1, F.lower("v")).otherwise(F.col("v")).alias("bv"), F.when(m == 2, "x").otherwise(F.col("f")).alias("bf"))
-    kind = D.classify(F.when(F.col("ak").isNotNull(), F.col("av")), F.when(F.col("bk").isNotNull(), F.col("bv")), F.col("af"), F.col("bf"))
+    kind = D.classify(F.when(F.col("ak").isNotNull(), F.coalesce("av", F.lit(""))), F.when(F.col("bk").isNotNull(), F.coalesce("bv", F.lit(""))), F.col("af"), F.col("bf"))
     return a.join(b, F.col("ak") == F.col("bk"), "full").select(F.coalesce("ak", "bk").alias("o_orderkey"), kind.alias("kind"))
 
 
@@ -32,12 +32,12 @@ query("diff_summary", _snapshots + " SELECT " + ", ".join(f"CAST(count(*) FILTER
 query("changed_only", _snapshots + " SELECT * FROM c WHERE kind <> 'unchanged'")(lambda spark, sf_dir: _changes(spark, sf_dir).where("kind <> 'unchanged'"))
 
 
-@query("diff_table_cells", """WITH x AS (SELECT n_nationkey AS r, 0 AS c, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 1, CAST(n_regionkey AS VARCHAR) FROM nation),
-y AS (SELECT n_nationkey + 1 AS r, 1 AS c, n_name AS v FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT n_nationkey + 1, 0, CASE WHEN n_nationkey % 5 = 0 THEN 'new' ELSE CAST(n_regionkey AS VARCHAR) END FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 0, c, 'top' FROM (VALUES (0), (1)) t(c))
+@query("diff_table_cells", """WITH x AS (SELECT n_nationkey AS r, 0 AS c, coalesce(n_name, '') AS v FROM nation UNION ALL SELECT n_nationkey, 1, CAST(n_regionkey AS VARCHAR) FROM nation),
+y AS (SELECT n_nationkey + 1 AS r, 1 AS c, coalesce(n_name, '') AS v FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT n_nationkey + 1, 0, CASE WHEN n_nationkey % 5 = 0 THEN 'new' ELSE CAST(n_regionkey AS VARCHAR) END FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 0, c, 'top' FROM (VALUES (0), (1)) t(c))
 SELECT CASE WHEN x.v IS NULL THEN 'added' WHEN y.v IS NULL THEN 'deleted' WHEN x.v <> y.v THEN 'changed' ELSE 'unchanged' END AS kind, CAST(count(*) AS BIGINT) AS n FROM x FULL JOIN y ON x.r + 1 = y.r AND 1 - x.c = y.c AND x.r <> 7 GROUP BY 1""")
 def diff_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table against itself with a row on top, one row less, its columns swapped and some cells changed."""
-    n = table(spark, sf_dir, "nation")
+    n = table(spark, sf_dir, "nation").fillna("", ["n_name"])
     k = F.col("n_nationkey")
     cells = lambda d, row, a, b: d.select(row.alias("row"), F.posexplode(F.array(a, b)).alias("col", "v"))
     region = F.col("n_regionkey").cast("string")
@@ -74,7 +74,7 @@ def diff_align_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.summary(D.paragraph_changes(pairs, ["doc_id"]), "doc_id")
 
 
-_LINES = "SELECT o_orderkey, o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority AS line FROM orders"
+_LINES = "SELECT o_orderkey, concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority) AS line FROM orders"
 _order_lines = f"""WITH b AS (SELECT o_orderkey AS k, line FROM ({_LINES}) WHERE o_orderkey % 97 <> 0), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 97 IN (1, 2) THEN line || '!' ELSE line END AS line FROM ({_LINES}) WHERE o_orderkey % 97 <> 3),
 x AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS pos FROM b), y AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS pos FROM a),"""
 

@@ -22,7 +22,7 @@ def xlsx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("xlsx_cells", """WITH n AS (SELECT n_regionkey, n_nationkey, n_name, n_nationkey % 2 = 0 AS even FROM nation)
-SELECT col, kind, v, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([1, 2, 3, 4]) AS col, unnest(['number', 'string', 'boolean', 'formula']) AS kind, unnest([CAST(n_nationkey AS VARCHAR), n_name, CASE WHEN even THEN '1' ELSE '0' END, NULL]) AS v FROM n) GROUP BY ALL""")
+SELECT col, kind, v, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([1, 2, 3, 4]) AS col, unnest(['number', 'string', 'boolean', 'formula']) AS kind, unnest([CAST(n_nationkey AS VARCHAR), n_name, CASE WHEN even THEN '1' ELSE '0' END, NULL]) AS v FROM n) WHERE v IS NOT NULL OR col = 4 GROUP BY ALL""")
 def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of workbooks without header rows: numbers, texts, truth values, formulas."""
     path = scratch(spark, "xlsx")
@@ -32,7 +32,7 @@ def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("docloom-xlsx").load(path).groupBy("col", "kind", "v").agg(F.count("*").alias("n"))
 
 
-@query("docx_pages", """WITH p AS (SELECT conv_id, turn, [role] || string_split(text, chr(10)) AS l FROM conversations),
+@query("docx_pages", """WITH p AS (SELECT conv_id, turn, [coalesce(role, '')] || coalesce(string_split(text, chr(10)), []) AS l FROM conversations),
 d AS (SELECT conv_id, flatten(list(l ORDER BY turn)) AS l FROM p GROUP BY conv_id)
 SELECT conv_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS text FROM d""")
 def docx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def wav_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("csv_lineitem", """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_partkey AS VARCHAR) AS l_partkey,
- CASE l_partkey % 4 WHEN 0 THEN 'line one' || chr(10) || '"two", ' || l_returnflag WHEN 1 THEN chr(13) || chr(10) || l_linestatus || chr(10) || chr(10) WHEN 2 THEN l_returnflag || '""' ELSE 'plain' END AS note FROM lineitem""")
+ coalesce(CASE l_partkey % 4 WHEN 0 THEN 'line one' || chr(10) || '"two", ' || l_returnflag WHEN 1 THEN chr(13) || chr(10) || l_linestatus || chr(10) || chr(10) WHEN 2 THEN l_returnflag || '""' ELSE 'plain' END, '') AS note FROM lineitem""")
 def csv_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as quoted CSV with line ends, quotes and commas inside fields, read in splits of 128 KB."""
     path = scratch(spark, "csv")
@@ -82,4 +82,5 @@ def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = e.select("event_type").distinct().select("event_type", F.lit(-1).cast("long").alias("event_id"), F.lit(" id ,,id").alias("value"))
     e.union(heads).repartition(4, "event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(path)
     report = read_csv(spark, path, split_bytes=1 << 15, faults="keep")[1]
-    return report.groupBy(F.regexp_extract("file", "event_type=([^/]+)/", 1).alias("event_type")).agg(*[F.sum(c).alias(c) for c in ("records", "odd", "faults")])
+    kind = F.nullif(F.regexp_extract("file", "event_type=([^/]+)/", 1), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return report.groupBy(kind.alias("event_type")).agg(*[F.sum(c).alias(c) for c in ("records", "odd", "faults")])

@@ -47,10 +47,10 @@ def sql_minify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_text(table(spark, sf_dir, "nation"), "n_nationkey", t, formats.sql_minify).select("n_nationkey", "out")
 
 
-@query("xml_format", "SELECT n_nationkey, '<n><k>' || n_nationkey || '</k><v>' || n_name || '</v></n>' AS out, CAST(NULL AS VARCHAR) AS error FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, NULL, 'line 4, column 3: mismatched tag' FROM nation WHERE n_nationkey % 5 = 0")
+@query("xml_format", "SELECT n_nationkey, '<n><k>' || n_nationkey || '</k><v>' || coalesce(n_name, '') || '</v></n>' AS out, CAST(NULL AS VARCHAR) AS error FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, NULL, 'line 4, column 3: mismatched tag' FROM nation WHERE n_nationkey % 5 = 0")
 def xml_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when(F.col("n_nationkey") % 5 == 0, "<k>").otherwise("")
-    t = F.concat(F.lit("<n>\n  <k>"), F.col("n_nationkey").cast("string"), F.lit("</k>\n  "), bad, F.lit("<v>"), F.col("n_name"), F.lit("</v>\n</n>"))
+    t = F.concat(F.lit("<n>\n  <k>"), F.col("n_nationkey").cast("string"), F.lit("</k>\n  "), bad, F.lit("<v>"), F.coalesce("n_name", F.lit("")), F.lit("</v>\n</n>"))
     return apply_text(table(spark, sf_dir, "nation"), "n_nationkey", t, lambda x: formats.xml_text(x, None))
 
 

@@ -27,7 +27,7 @@ def pitch(semitones: Column, rate: Column) -> dict[str, Column]:
     return {"changed": F.abs(s) >= 0.01, "shifted_rate": F.greatest(F.lit(1), F.floor(rate * ratio + 0.5)).cast("long"), "tempo": 1.0 / ratio}
 
 
-@query("pitch_plan", "SELECT p_partkey, abs(s) >= 0.01 AS changed, CAST(greatest(1, floor(44100 * pow(2.0::DOUBLE, s / 12) + 0.5)) AS BIGINT) AS shifted_rate, round(1 / pow(2.0::DOUBLE, s / 12), 8) AS tempo FROM (SELECT p_partkey, greatest(-12.0::DOUBLE, least(12.0::DOUBLE, p_size - 25)) AS s FROM part)")
+@query("pitch_plan", "SELECT p_partkey, abs(s) >= 0.01 AS changed, CAST(greatest(1, floor(44100 * pow(2.0::DOUBLE, s / 12) + 0.5)) AS BIGINT) AS shifted_rate, round(1 / pow(2.0::DOUBLE, s / 12), 8) AS tempo FROM (SELECT p_partkey, greatest(-12.0::DOUBLE, least(12.0::DOUBLE, coalesce(p_size - 25, 0))) AS s FROM part)")
 def pitch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = pitch(F.col("p_size") - 25, F.lit(44100))
     return table(spark, sf_dir, "part").select("p_partkey", *[(F.round(c, 8) if n == "tempo" else c).alias(n) for n, c in parts.items()])

@@ -88,17 +88,29 @@ def page_grid(lines: list[tuple[str, list[tuple[str, float]]]]) -> list[list[str
 
 
 def laid_out(items: DataFrame, page: str) -> DataFrame:
-    """items(page, text, x, y, width, height) -> page, line, text, cells, row (the cells by the page's columns)."""
+    """items(page, text, x, y, width, height) -> page, line, text, cells, row (the cells by the page's columns).
+
+    Items are brought together by page in the JVM, and many pages are laid out in one Arrow batch.
+    """
     ship(items.sparkSession)
     kind = dict(items.dtypes)[page]
+    fields = ("text", "x", "y", "width", "height")
+    pages = items.groupBy(page).agg(F.collect_list(F.struct(*fields)).alias("items"))
 
-    def lay(group: pa.Table) -> pa.Table:
-        own = list(zip(*(group.column(c).to_pylist() for c in ("text", "x", "y", "width", "height"))))
-        lines = [line_cells(line) for line in page_lines(own)]
-        made = pa.table({"line": pa.array(range(len(lines)), pa.int32()), "text": pa.array([t for t, _ in lines], pa.string()), "cells": pa.array([[t for t, _ in c] for _, c in lines], pa.list_(pa.string())), "row": pa.array(page_grid(lines), pa.list_(pa.string()))})
-        return made.add_column(0, page, pa.array(group.column(page).to_pylist()[:1] * len(lines), group.schema.field(page).type))
-
-    return items.select(page, "text", "x", "y", "width", "height").groupBy(page).applyInArrow(lay, f"`{page}` {kind}, line int, text string, cells array<string>, row array<string>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, number, texts, cells, rows = [], [], [], [], []
+            for i, own in enumerate(batch.column(1).to_pylist()):
+                lines = [line_cells(line) for line in page_lines([tuple(x[f] for f in fields) for x in own])]
+                at += [i] * len(lines)
+                number += range(len(lines))
+                texts += [t for t, _ in lines]
+                cells += [[t for t, _ in c] for _, c in lines]
+                rows += page_grid(lines)
+            lists = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(texts, pa.string()), pa.array(cells, lists), pa.array(rows, lists)], [page, "line", "text", "cells", "row"])
+
+    return pages.mapInArrow(run, f"`{page}` {kind}, line int, text string, cells array<string>, row array<string>")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:

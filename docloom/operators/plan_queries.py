@@ -50,7 +50,7 @@ def holidays_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("business_days_weekends", """
-SELECT o_orderkey, CAST(b + 1 AS BIGINT) AS total, CAST((SELECT count(*) FROM generate_series(0, 20) g(i) WHERE i <= b AND isodow(CAST(o_orderdate AS DATE) + CAST(i AS INT)) <= 5) AS BIGINT) AS business
+SELECT o_orderkey, CASE WHEN o_orderdate IS NOT NULL THEN CAST(b + 1 AS BIGINT) END AS total, CASE WHEN o_orderdate IS NOT NULL THEN CAST((SELECT count(*) FROM generate_series(0, 20) g(i) WHERE i <= b AND isodow(CAST(o_orderdate AS DATE) + CAST(i AS INT)) <= 5) AS BIGINT) END AS business
 FROM (SELECT o_orderkey, o_orderdate, o_orderkey % 20 AS b FROM orders)""")
 def business_days_weekends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekdays in a range, in closed form: no rows per day."""
@@ -61,7 +61,7 @@ def business_days_weekends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("business_days", _holidays_sql + """, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderkey % 30 AS INT) AS n FROM orders)
-SELECT o_orderkey, CAST(any_value(n) + 1 AS BIGINT) AS total, CAST(count(*) FILTER (WHERE isodow(d) < 6 AND d NOT IN (SELECT date FROM holidays)) AS BIGINT) AS business FROM (SELECT o_orderkey, n, a + CAST(unnest(range(n + 1)) AS INT) AS d FROM o) GROUP BY o_orderkey""")
+SELECT o_orderkey, CASE WHEN count(d) > 0 THEN CAST(any_value(n) + 1 AS BIGINT) END AS total, CASE WHEN count(d) > 0 THEN CAST(count(*) FILTER (WHERE isodow(d) < 6 AND d NOT IN (SELECT date FROM holidays)) AS BIGINT) END AS business FROM (SELECT o_orderkey, n, a + CAST(unnest(range(n + 1)) AS INT) AS d FROM o) GROUP BY o_orderkey""")
 def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order date to a bounded number of days later, Korean holidays left out, by two joins with the day index.
 
@@ -164,10 +164,20 @@ query("zone_convert_all", _zones_sql)(zone_convert)
 
 
 def _in_zones(events: DataFrame) -> DataFrame:
-    """The city dimension is a fixed short list."""
-    local = F.array(*[F.struct(F.lit(i).alias("id"), Z.wall_time(F.col("ts"), F.lit(z)).alias("l")) for i, z in Z.CITIES])
-    d = events.select("event_id", "ts", F.explode(local).alias("c")).select("event_id", "ts", "c.id", "c.l")
-    return d.select("event_id", "id", F.col("l").alias("local_time"), Z.day_shift(F.col("l"), F.col("ts")).cast("long").alias("shift"), Z.offset_hours(F.col("l"), F.col("ts")).alias("offset_hours"), Z.works(F.col("l")).alias("works"))
+    """The city dimension is a fixed short list. In the events' time a zone changes its offset a few times: an event's offset
+    is looked up among these, and all else follows from it by arithmetic."""
+    spark = events.sparkSession
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    known = {z: Z.offsets(spark, z, first, last) for z in {z for _, z in Z.CITIES}} if first else {}
+    ts = F.col("ts").cast("timestamp_ntz")
+    if any(len(k) > Z.FEW_CHANGES for k in known.values()) or not known:
+        seconds = lambda z: F.timestamp_diff("SECOND", ts, Z.wall_time(ts, F.lit(z)))
+    else:
+        seconds = lambda z: Z.offset_seconds(ts, known[z])
+    each = F.array(*[F.struct(F.lit(i).alias("id"), seconds(z).cast("int").alias("s")) for i, z in Z.CITIES])
+    d = events.select("event_id", ts.alias("ts"), F.explode(each).alias("c")).select("event_id", "ts", "c.id", "c.s")
+    local = d.withColumn("l", F.col("ts") + F.make_dt_interval(secs=F.col("s").cast("decimal(18,6)")))
+    return local.select("event_id", "id", F.col("l").alias("local_time"), Z.day_shift(F.col("l"), F.col("ts")).cast("long").alias("shift"), F.round(F.floor(F.col("s") / 60) / 60.0, 1).alias("offset_hours"), Z.works(F.col("l")).alias("works"))
 
 
 @query("meeting_slots", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events UNION SELECT DATE '2024-03-10' UNION SELECT DATE '2024-11-03'),
@@ -269,7 +279,7 @@ def output_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _images(spark, sf_dir).select("p_partkey", *[x.cast("long").alias(f"{n}_{s}") for n, pair in out.items() for s, x in zip("wh", pair)])
 
 
-@query("affine_bounds", f"""SELECT p_partkey, round(least(0.8::DOUBLE * w, -0.6::DOUBLE * h, 0.8::DOUBLE * w - 0.6::DOUBLE * h, 0::DOUBLE) + 5, 6) AS left_, round(least(0::DOUBLE, 0.6::DOUBLE * w + 0.8::DOUBLE * h) + 7, 6) AS top_, round(greatest(0.8::DOUBLE * w, -0.6::DOUBLE * h, 0.8::DOUBLE * w - 0.6::DOUBLE * h, 0::DOUBLE) + 5, 6) AS right_, round(0.6::DOUBLE * w + 0.8::DOUBLE * h + 7, 6) AS bottom_ FROM {_images_sql}""")
+@query("affine_bounds", f"""SELECT p_partkey, round(least(0.8::DOUBLE * w, -0.6::DOUBLE * h, 0.8::DOUBLE * w - 0.6::DOUBLE * h, 0::DOUBLE) + 5 + 0 * (w + h), 6) AS left_, round(least(0::DOUBLE, 0.6::DOUBLE * w + 0.8::DOUBLE * h) + 7 + 0 * (w + h), 6) AS top_, round(greatest(0.8::DOUBLE * w, -0.6::DOUBLE * h, 0.8::DOUBLE * w - 0.6::DOUBLE * h, 0::DOUBLE) + 5 + 0 * (w + h), 6) AS right_, round(0.6::DOUBLE * w + 0.8::DOUBLE * h + 7, 6) AS bottom_ FROM {_images_sql}""")
 def affine_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tuple(F.lit(x) for x in (0.8, 0.6, -0.6, 0.8, 5.0, 7.0))
     parts = L.affine_bounds(m, F.lit(0.0), F.lit(0.0), F.col("w"), F.col("h"))

@@ -91,6 +91,9 @@ def archive_names(d: DataFrame, bundle: str, order: str, file: str) -> DataFrame
         used: set[str] = set()
         names, reached = [], {}
         for f in group.column(file).to_pylist():
+            if f is None:
+                names.append(None)
+                continue
             stem, dot, ext = f.rpartition(".")
             stem, ext = (stem, dot + ext) if stem else (f, "")
             n = reached.get(f, 1)
@@ -120,7 +123,7 @@ def common_frame_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.coalesce(F.max(F.when((rate > 0) & (rate <= 240), rate)), F.lit(30.0)).alias("rate"))
 
 
-@query("catalogue_search", "SELECT p_brand AS category, CAST(count(*) AS BIGINT) AS n, min(p_name) AS first_name FROM part WHERE contains(lower(p_brand || ' ' || p_name || ' ' || p_type), 'e') AND p_size > 10 GROUP BY p_brand")
+@query("catalogue_search", "SELECT p_brand AS category, CAST(count(*) AS BIGINT) AS n, min(p_name) AS first_name FROM part WHERE contains(lower(concat_ws(' ', p_brand, p_name, p_type)), 'e') AND p_size > 10 GROUP BY p_brand")
 def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that contain a text in any field, by category; categories without one are left out."""
     d = table(spark, sf_dir, "part").where("p_size > 10")
@@ -154,10 +157,10 @@ def format_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(n.isNotNull(), F.array_join(F.transform(places, lambda x: x.cast("string")), ",")).alias("places"))
 
 
-@query("grid_transpose", "SELECT conv_id, n_cols, flat FROM (SELECT conv_id, CAST(max(len(w)) AS BIGINT) AS n_cols, string_agg(array_to_string(w, chr(9247)), ' | ' ORDER BY turn) AS flat FROM (SELECT conv_id, turn, string_split(role || ' ' || CAST(turn AS VARCHAR) || CASE WHEN turn % 2 = 0 THEN ' even' ELSE '' END, ' ') AS w FROM conversations) GROUP BY conv_id)")
+@query("grid_transpose", "SELECT conv_id, n_cols, flat FROM (SELECT conv_id, CAST(max(len(w)) AS BIGINT) AS n_cols, string_agg(array_to_string(list_filter(w, lambda x: x <> ''), chr(9247)), ' | ' ORDER BY turn) AS flat FROM (SELECT conv_id, turn, string_split(coalesce(role, '') || ' ' || CAST(turn AS VARCHAR) || CASE WHEN turn % 2 = 0 THEN ' even' ELSE '' END, ' ') AS w FROM conversations) GROUP BY conv_id)")
 def grid_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ragged rows of a small table flattened to text, by way of its padded transpose and back."""
-    row = F.split(F.concat(F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, " even").otherwise("")), " ")
+    row = F.split(F.concat(F.coalesce("role", F.lit("")), F.lit(" "), F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, " even").otherwise("")), " ")
     grids = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", row.alias("w")))).alias("l")).select("conv_id", F.transform("l", lambda x: x["w"]).alias("g"))
     there = grids.select("conv_id", transposed(F.col("g")).alias("g"))
     back = there.select("conv_id", F.size("g").cast("long").alias("n_cols"), F.transform(transposed(F.col("g")), lambda r: F.filter(r, lambda x: x != "")).alias("g"))
@@ -248,12 +251,12 @@ def read_csv_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 @query("csv_convert", """WITH n AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r FROM nation WHERE n_regionkey <> 3)
-SELECT n_regionkey, CAST(r AS INT) AS row, h AS header, CASE h WHEN 'name' THEN n_name || ', "' || n_nationkey || '"' WHEN 'Column 2' THEN CASE WHEN r = 1 THEN '' ELSE CAST(n_nationkey AS VARCHAR) END ELSE CASE WHEN r = 1 THEN '' ELSE 'x' END END AS v, CAST(1 AS INT) AS odd_rows, CAST(NULL AS VARCHAR) AS error FROM n, (VALUES ('name'), ('Column 2'), ('last')) h(h)
+SELECT n_regionkey, CAST(r AS INT) AS row, h AS header, CASE h WHEN 'name' THEN coalesce(n_name, '') || ', "' || n_nationkey || '"' WHEN 'Column 2' THEN CASE WHEN r = 1 THEN '' ELSE CAST(n_nationkey AS VARCHAR) END ELSE CASE WHEN r = 1 THEN '' ELSE 'x' END END AS v, CAST(1 AS INT) AS odd_rows, CAST(NULL AS VARCHAR) AS error FROM n, (VALUES ('name'), ('Column 2'), ('last')) h(h)
 UNION ALL SELECT 3, NULL, NULL, NULL, NULL, 'unexpected end of data'""")
 def csv_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV text for each region: quoted names, a header without a name, a blank line, a short row; one text never ends its quote."""
     r = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
-    line = F.concat(F.lit('"'), F.col("n_name"), F.lit(', ""'), F.col("n_nationkey").cast("string"), F.lit('"""'), F.when(F.col("r") == 1, "").otherwise(F.concat(F.lit(","), F.col("n_nationkey").cast("string"), F.lit(",x"))))
+    line = F.concat(F.lit('"'), F.coalesce("n_name", F.lit("")), F.lit(', ""'), F.col("n_nationkey").cast("string"), F.lit('"""'), F.when(F.col("r") == 1, "").otherwise(F.concat(F.lit(","), F.col("n_nationkey").cast("string"), F.lit(",x"))))
     d = table(spark, sf_dir, "nation").withColumn("r", r).select("n_regionkey", F.struct("r", line.alias("t")).alias("s"))
     text = F.concat(F.lit("name, ,last\n  \n"), F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["t"]), "\n"))
     texts = d.groupBy("n_regionkey").agg(text.alias("t")).withColumn("t", F.when(F.col("n_regionkey") == 3, F.concat("t", F.lit('\n"open'))).otherwise(F.col("t")))

@@ -35,10 +35,10 @@ def json_objects_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>")["k"].alias("k"))
 
 
-@query("json_key_union", """SELECT key, CAST(row_number() OVER (ORDER BY min(event_id * 10 + i)) - 1 AS INT) AS ord FROM (SELECT event_id, unnest(['k', 'x' || event_id % 7, event_type]) AS key, unnest([0, 1, 2]) AS i FROM events) GROUP BY key""")
+@query("json_key_union", """SELECT key, CAST(row_number() OVER (ORDER BY min(event_id * 10 + i)) - 1 AS INT) AS ord FROM (SELECT event_id, unnest(['k', 'x' || event_id % 7, coalesce(event_type, '-')]) AS key, unnest([0, 1, 2]) AS i FROM events) GROUP BY key""")
 def json_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of all objects in the order they are first seen; there are as many as a sheet has columns, at most."""
-    t = F.concat(F.lit('{"k": 1, "x'), (F.col("event_id") % 7).cast("string"), F.lit('": 2, "'), F.col("event_type"), F.lit('": 3}'))
+    t = F.concat(F.lit('{"k": 1, "x'), (F.col("event_id") % 7).cast("string"), F.lit('": 2, "'), F.coalesce("event_type", F.lit("-")), F.lit('": 3}'))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("r"), t.alias("props"))
     keys = e.select("r", F.posexplode(F.json_object_keys("props")).alias("i", "key")).groupBy("key").agg(F.min(F.struct("r", "i")).alias("at"))
     return bounded(keys, SHEET_COLUMNS, "keys").select("key", (F.row_number().over(Window.orderBy("at")) - 1).alias("ord"))
@@ -73,7 +73,7 @@ def html_rows(html: DataFrame) -> DataFrame:
     return rows.select("row", F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)), plain).alias("cells"))
 
 
-@query("html_table_roundtrip", _AS_TEXT)
+@query("html_table_roundtrip", _AS_TEXT.replace("n_name,", "coalesce(n_name, '') AS n_name,"))
 def html_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     rows = html_rows(to_html(n, "n_nationkey")).where("row > 0")
@@ -110,7 +110,7 @@ def sheet_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet for each user, events by minute of the day and day of the month: a sparse grid with gaps."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
     return e.select(F.col("user_id").cast("string").alias("sheet"), (F.hour("ts") * 60 + F.minute("ts") + 1).alias("row"), (F.dayofmonth("ts") * 3).alias("col"), F.col("value").cast("string").alias("v"))
 
 
@@ -151,14 +151,15 @@ def range_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.format_ranges(table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") % 12 + 1).alias("p")), "l_suppkey", "p")
 
 
-@query("sheet_reference_semijoin", "SELECT n_name AS sheet FROM nation WHERE n_nationkey IN (SELECT (n_nationkey + 3) % 25 FROM nation WHERE n_nationkey % 4 < 2)")
+@query("sheet_reference_semijoin", "SELECT n_name AS sheet FROM nation WHERE n_name IS NOT NULL AND n_nationkey IN (SELECT (n_nationkey + 3) % 25 FROM nation WHERE n_nationkey % 4 < 2)")
 def sheet_reference_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as sheets; half of them hold formulas that name the third next, quoted or plain, and themselves."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("sheet"))
     target = n.select((F.pmod(F.col("n_nationkey") - 3, F.lit(25))).alias("n_nationkey"), F.col("sheet").alias("t"))
     f = n.where("n_nationkey % 4 < 2").join(target, "n_nationkey")
-    quoted = F.concat(F.lit("SUM('"), F.lower("t"), F.lit("'!A1:A5)+'"), F.col("sheet"), F.lit("'!B2"))
-    return W.referenced_sheets(f.select("sheet", quoted.alias("formula")), n.select("sheet"))
+    own = F.coalesce("sheet", F.lit("-"))
+    quoted = F.concat(F.lit("SUM('"), F.lower("t"), F.lit("'!A1:A5)+'"), own, F.lit("'!B2"))
+    return W.referenced_sheets(f.select(own.alias("sheet"), quoted.alias("formula")), n.select("sheet"))
 
 
 @query("case_insensitive_lookup", """WITH asked AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
@@ -225,14 +226,14 @@ def passthrough_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("l_orderkey").agg(F.sum("b").cast("long").alias("bytes"), (F.sum("b") > 1.5 * 1024**3).alias("blocked"))
 
 
-@query("range_predicates", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity BETWEEN 1 AND 40 AND l_discount < l_tax AS ok FROM lineitem")
+@query("range_predicates", "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(l_quantity BETWEEN 1 AND 40 AND l_discount < l_tax, false) AS ok FROM lineitem")
 def range_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded number and 0 <= start < end checks, null-safe."""
     ok = F.coalesce(F.col("l_quantity").between(1, 40) & (F.col("l_discount") < F.col("l_tax")), F.lit(False))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ok.alias("ok"))
 
 
-@query("key_union_rows", "SELECT r_regionkey AS id, r_name AS name, '' AS extra FROM region UNION ALL SELECT n_nationkey, '', n_name FROM nation")
+@query("key_union_rows", "SELECT r_regionkey AS id, coalesce(r_name, '') AS name, '' AS extra FROM region UNION ALL SELECT n_nationkey, '', coalesce(n_name, '') FROM nation")
 def key_union_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with different keys under the union of the keys, missing values as empty text."""
     r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))

@@ -173,6 +173,9 @@ def unique_names(d: DataFrame, book: str, order: str, base: str, most: int = 31)
         used: set[str] = set()
         names, reached = [], {}
         for b in group.column(base).to_pylist():
+            if b is None:
+                names.append(None)
+                continue
             n = reached.get(b, 1)
             made = b if n == 1 else f"{b[: most - len(f' ({n})')]} ({n})"
             while made.lower() in used:
@@ -191,7 +194,7 @@ SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS
 def json_unsafe_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Integers that a double would round, in event properties with an added number and a string that only looks like one."""
     big = F.when(F.col("event_id") % 3 == 0, F.lit("9007199254740993")).otherwise(F.lit("9007199254740991"))
-    t = F.concat(F.lit('{"s": "9007199254740999", "f": 12345678901234567890.5, "p": '), F.col("props"), F.lit(', "n": -'), big, F.lit("}"))
+    t = F.concat(F.lit('{"s": "9007199254740999", "f": 12345678901234567890.5, "p": '), F.coalesce("props", F.lit("null")), F.lit(', "n": -'), big, F.lit("}"))
     return table(spark, sf_dir, "events").select("event_id", F.size(T.unsafe_integers(t)).cast("long").alias("n_unsafe"))
 
 
@@ -199,7 +202,7 @@ def json_unsafe_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, CASE WHEN n < 1048576 THEN CAST(CAST(greatest(1, floor(n / 1024.0 + 0.5)) AS BIGINT) AS VARCHAR) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0::DOUBLE) || ' MB' ELSE printf('%.2f', n / 1073741824.0::DOUBLE) || ' GB' END AS size_text,
  lpad(CAST(ms // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') AS clock,
  regexp_replace(regexp_replace(printf('%.6f', p_retailprice / 7.0::DOUBLE), '0+$', ''), '\\.$', '') AS coordinate
-FROM (SELECT p_partkey, p_retailprice, p_partkey * p_partkey * p_size * 97 AS n, CAST(floor(p_retailprice * 1000 + 0.5) AS BIGINT) AS ms FROM part)""")
+FROM (SELECT p_partkey, p_retailprice, p_partkey * p_partkey * p_size * 97 AS n, CAST(floor(coalesce(p_retailprice, 0) * 1000 + 0.5) AS BIGINT) AS ms FROM part)""")
 def scalar_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey") * F.col("p_partkey") * F.col("p_size") * 97
     return table(spark, sf_dir, "part").select("p_partkey", T.byte_size(n).alias("size_text"), T.clock(F.col("p_retailprice")).alias("clock"), T.coordinate(F.col("p_retailprice") / 7.0).alias("coordinate"))
@@ -209,7 +212,7 @@ def scalar_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'OUT_OF_MEMORY' WHEN 1 THEN 'CODEC_UNAVAILABLE' ELSE 'VIDEO_PROCESSING_ERROR' END AS code FROM events""")
 def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array(*[F.lit(x) for x in ("Aborted(OOM) in worker", "Encoder h265 not found", "room for a zoom", "exit code 1")])
-    message = F.concat(F.col("event_type"), F.lit(": "), F.element_at(said, (F.col("event_id") % 4 + 1).cast("int")))
+    message = F.concat(F.coalesce("event_type", F.lit("")), F.lit(": "), F.element_at(said, (F.col("event_id") % 4 + 1).cast("int")))
     return table(spark, sf_dir, "events").select("event_id", T.classify_error(message).alias("code"))
 
 

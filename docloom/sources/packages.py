@@ -34,7 +34,8 @@ def bundles(df: DataFrame, bundle: str, order: str, name: str, content: str, def
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by(order)
-        data = zipped(list(zip(group.column(name).to_pylist(), (x or b"" for x in group.column(content).to_pylist()))), deflate)
+        names = [n or f"file-{i}" for i, n in enumerate(group.column(name).to_pylist(), 1)]
+        data = zipped(list(zip(names, (x or b"" for x in group.column(content).to_pylist()))), deflate)
         return pa.table({bundle: group.column(bundle).slice(0, 1), "files": pa.array([group.num_rows], pa.int64()), "archive": pa.array([data], pa.binary())})
 
     kind = dict(df.dtypes)[bundle]
