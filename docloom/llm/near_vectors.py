@@ -9,8 +9,8 @@ every class knows its places in all passes. What a block puts out is one row a c
 among the block's pairs, never pairs; the roots of all passes are united by connected components.
 
 Cost is linear in the rows, whatever the size of a group of near copies: places are numbers, so no group
-is a task's alone. Pairs are missed that no pass brings within a window; for groups of up to `BLOCK` vectors the tests
-measure a recall above 0.99 of the links of 0.98 and more. Of a group of very many near copies that are not equal, components
+is a task's alone. Pairs are missed that no pass brings within a window; a test with blocks of 32 among 6,000 vectors
+of one label holds the passes to 97 % of the links. Of a group of very many near copies that are not equal, components
 stay whole, as neighbouring windows overlap, but a member's n_links counts the links found, not all.
 
 Nulls and edge cases: vectors that are null, zero, empty, or hold null or non-finite components, and those without a
