@@ -135,11 +135,15 @@ def _compared(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def line_diff(before: DataFrame, after: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(key long, pos long, line) of both texts -> key, kind, before_pos, after_pos, line. A null line is empty."""
+    """(key long, pos long, line) of both texts -> key, kind, before_pos, after_pos, line. A null line is empty.
+
+    Texts that come with a gap (a string) are compared within gaps of one name only, which stand in the same order in both.
+    """
     spark = before.sparkSession
     ship(spark)
     folder = scratch(spark, "lines")
-    text = lambda d: d.select(F.col("key").cast("long").alias("key"), F.lit("").alias("gap"), F.col("pos").cast("long").alias("pos"), F.coalesce("line", F.lit("")).alias("line"))
+    gap = lambda d: F.col("gap") if "gap" in d.columns else F.lit("")
+    text = lambda d: d.select(F.col("key").cast("long").alias("key"), gap(d).alias("gap"), F.col("pos").cast("long").alias("pos"), F.coalesce("line", F.lit("")).alias("line"))
     b, a = whole = (text(before), text(after))
     matched = None
     for r in range(rounds):

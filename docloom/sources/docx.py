@@ -2,10 +2,14 @@
 
     spark.read.format("docloom-docx").load(path)    # a row for each paragraph; see `PARAGRAPHS`
     write_documents(df, path)                       # df: document, page, title, lines
+    write_revisions(df, path)                       # df: document, step, side, place, kind, text
 
 Reading takes one partition for each part of a document that holds text (body, headers, footers, notes,
-comments). Revisions are read as accepted. Writing makes a document for each name: a titled section for each page,
-which begins on a new page, and a paragraph for each line. Characters that XML cannot hold are left out.
+comments). Revisions are read as accepted, or as rejected with option `revisions` = `rejected`; a paragraph whose mark
+is gone goes on in the next one of its cell, note or part. Writing makes a document for each name: a titled section for
+each page, which begins on a new page, and a paragraph for each line; or pieces of text that are kept, deleted or added, as
+tracked changes (options `revisions` = `tracked`, `author`, `date`), a line feed being a paragraph's mark. Characters
+that XML cannot hold are left out.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from xml.etree import ElementTree as ET
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +42,8 @@ PARAGRAPHS = "path string, section string, part string, pos int, text string, li
 MARKS = {f"{{{W}}}tab": "\t", f"{{{W}}}br": "\n", f"{{{W}}}cr": "\n"}
 _NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 BATCH = 5_000
+#: The elements of revisions.
+REVISIONS = {"deleted": "del", "added": "ins"}
 
 
 @dataclass
@@ -53,14 +59,21 @@ def text_parts(names: Sequence[str]) -> list[tuple[str, str]]:
     return [(section, n) for section, pattern in PARTS for n in sorted(names) if re.fullmatch(pattern, n)]
 
 
-def paragraphs(stream) -> Iterator[tuple]:
+#: Elements of what is gone once revisions are accepted or rejected, and those that a paragraph cannot leave.
+GONE = {"accepted": ("del", "moveFrom"), "rejected": ("ins", "moveTo")}
+ROOMS = ("tc", "footnote", "endnote", "comment", "body", "hdr", "ftr")
+
+
+def paragraphs(stream, view: str = "accepted") -> Iterator[tuple]:
     """(pos, text, list_level, table_ix, row_ix, col_ix, author) of a part's paragraphs, while it is being parsed.
 
-    What a revision has deleted or moved away is not text; separators between notes are not notes.
+    What a revision has deleted or moved away (rejected: added or moved here) is not text; separators between notes are not notes.
     """
     tag = lambda n: f"{{{W}}}{n}"
-    gone = {tag("del"), tag("moveFrom")}
+    gone, rooms = {tag(n) for n in GONE[view]}, {tag(n) for n in ROOMS}
+    texts = {tag("t"), tag("delText")}
     tables, inside, hidden, author, pos = -1, [], 0, None, 0
+    begun: tuple | None = None  # the paragraph whose mark is gone, so far
     for event, e in ET.iterparse(stream, ("start", "end")):
         if event == "start":
             if e.tag in gone or e.tag in (tag("footnote"), tag("endnote")) and int(e.get(tag("id"), "0")) < 0:
@@ -75,6 +88,11 @@ def paragraphs(stream) -> Iterator[tuple]:
             elif e.tag == tag("tc") and inside:
                 inside[-1][2] += 1
             continue
+        if e.tag in rooms and begun:  # no paragraph follows
+            if begun[0]:
+                yield pos, *begun
+                pos += 1
+            begun = None
         if e.tag in gone or e.tag in (tag("footnote"), tag("endnote")) and int(e.get(tag("id"), "0")) < 0:
             hidden -= 1
             e.clear()
@@ -85,15 +103,23 @@ def paragraphs(stream) -> Iterator[tuple]:
             e.clear()
         elif e.tag == tag("p") and not hidden:
             level = e.find(f"{tag('pPr')}/{tag('numPr')}/{tag('ilvl')}")
-            text = "".join(MARKS.get(x.tag) or (x.text or "" if x.tag == tag("t") else "") for x in e.iter())
-            yield pos, text, None if level is None else int(level.get(tag("val"))), *(inside[-1] if inside else (None, None, None)), author
-            pos += 1
+            text = "".join(MARKS.get(x.tag) or (x.text or "" if x.tag in texts else "") for x in e.iter())
+            here = (None if level is None else int(level.get(tag("val"))), *(inside[-1] if inside else (None, None, None)), author)
+            whole = (begun[0] + text, *(begun[1:] if begun[0] else here)) if begun else (text, *here)
+            begun = None
+            if any(e.find(f"{tag('pPr')}/{tag('rPr')}/{n}") is not None for n in gone):
+                begun = whole
+            else:
+                yield pos, *whole
+                pos += 1
             e.clear()
 
 
 class DocumentReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
-        self.path, self.kinds = options["path"], to_arrow_schema(schema)
+        self.path, self.kinds, self.view = options["path"], to_arrow_schema(schema), options.get("revisions", "accepted")
+        if self.view not in GONE:
+            raise ValueError(f"revisions are read as {' or '.join(GONE)}, not {self.view}")
 
     def partitions(self) -> Sequence[InputPartition]:
         out = []
@@ -116,7 +142,7 @@ class DocumentReader(DataSourceReader):
         if not error:
             try:
                 with located(self.path)[0].open_input_file(p.path) as f, zipfile.ZipFile(f) as z, z.open(p.member) as part:
-                    for row in paragraphs(part):
+                    for row in paragraphs(part, self.view):
                         held.append((p.path, p.section, p.member, *row, None))
                         if len(held) >= BATCH:
                             yield self._batch(held)
@@ -133,9 +159,11 @@ class DocumentReader(DataSourceReader):
 
 
 class DocumentFile:
-    """A word document that is written page by page to a stream."""
+    """A word document that is written page by page, or piece by piece, to a stream."""
 
-    def __init__(self, stream):
+    def __init__(self, stream, author: str = "", date: str = ""):
+        self.by = f" w:author={quoteattr(author)}" + (f" w:date={quoteattr(date)}" if date else "")
+        self.runs, self.revision = [], 0
         self.z = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
         self._part("_rels/.rels", f'<Relationships xmlns="{PACKAGE}/relationships">', f'<Relationship Id="body" Type="{OFFICE}/officeDocument" Target="word/document.xml"/></Relationships>')
         self._part("[Content_Types].xml", f'<Types xmlns="{PACKAGE}/content-types">', '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>', f'<Override PartName="/word/document.xml" ContentType="{KIND}"/></Types>')
@@ -159,7 +187,37 @@ class DocumentFile:
         own = f"<w:pPr>{own}</w:pPr>" if own else ""
         self.body.write(f'<w:p>{own}<w:r>{run}<w:t xml:space="preserve">{escape(_NOT_XML.sub("", text or ""), {chr(13): "&#13;"})}</w:t></w:r></w:p>'.encode())
 
+    def piece(self, kind: str, text: str) -> None:
+        """What is kept, deleted or added next; a line feed ends a paragraph, and its mark is of that kind."""
+        first, *more = (text or "").split("\n")
+        self._run(kind, first)
+        for line in more:
+            self._end(kind)
+            self._run(kind, line)
+
+    def _run(self, kind: str, text: str) -> None:
+        if text and self.runs and self.runs[-1][0] == kind:
+            self.runs[-1][1].append(text)
+        elif text:
+            self.runs.append((kind, [text]))
+
+    def _revised(self, kind: str) -> str:
+        self.revision += 1
+        return f'w:{REVISIONS[kind]} w:id="{self.revision}"{self.by}'
+
+    def _end(self, kind: str) -> None:
+        mark = f"<w:pPr><w:rPr><{self._revised(kind)}/></w:rPr></w:pPr>" if kind in REVISIONS else ""
+        out = [f"<w:p>{mark}"]
+        for own, texts in self.runs:
+            name = "delText" if own == "deleted" else "t"
+            run = f'<w:r><w:{name} xml:space="preserve">{escape(_NOT_XML.sub("", "".join(texts)), {chr(13): "&#13;"})}</w:{name}></w:r>'
+            out.append(f"<{self._revised(own)}>{run}</w:{REVISIONS[own]}>" if own in REVISIONS else run)
+        self.body.write("".join([*out, "</w:p>"]).encode())
+        self.runs = []
+
     def close(self) -> None:
+        if self.runs:
+            self._end("equal")
         self.body.write(b"</w:body></w:document>")
         self.body.close()
         self.z.close()
@@ -167,23 +225,28 @@ class DocumentFile:
 
 class DocumentWriter(DataSourceArrowWriter):
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
-        self.job, self.names = Job(options["path"], overwrite), schema.fieldNames()
-        if missing := {"document", "title", "lines"} - set(self.names):
+        self.job, self.tracked = Job(options["path"], overwrite), options.get("revisions") == "tracked"
+        self.author, self.date = options.get("author", ""), options.get("date", "")
+        self.columns = ("document", "kind", "text") if self.tracked else ("document", "title", "lines")
+        if missing := set(self.columns) - set(schema.fieldNames()):
             raise ValueError(f"no columns {sorted(missing)}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         out, now, book, stream = Written(), None, None, None
         for batch in iterator:
-            for document, title, lines in zip(*[batch.column(n).to_pylist() for n in ("document", "title", "lines")]):
+            for document, first, second in zip(*[batch.column(n).to_pylist() for n in self.columns]):
                 if book is None or document != now:
                     if book:
                         book.close()
                         stream.close()
                     now, made = document, self.job.task_name(".docx")
                     stream = self.job.stream(made)
-                    book = DocumentFile(stream)
+                    book = DocumentFile(stream, self.author, self.date)
                     out.names.append((made, f"{re.sub(r'[^\w.-]', '_', str(document))}.docx"))
-                book.page(title or "", lines or [])
+                if self.tracked:
+                    book.piece(first, second)
+                else:
+                    book.page(first or "", second or [])
         if book:
             book.close()
             stream.close()
@@ -220,3 +283,10 @@ def write_documents(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """df(document, page, title, lines): a document for each name, its pages in order, made by one task."""
     register(df.sparkSession)
     df.repartition("document").sortWithinPartitions("document", "page").write.format("docloom-docx").mode(mode).save(path)
+
+
+def write_revisions(df: DataFrame, path: str, author: str = "", date: str = "", mode: str = "overwrite") -> None:
+    """df(document, step, side, place, kind, text), as `operators.revisions.tracked` makes it: a document of tracked changes for each name."""
+    register(df.sparkSession)
+    rows = df.repartition("document").sortWithinPartitions("document", "step", "side", "place").select("document", "kind", "text")
+    rows.write.format("docloom-docx").options(revisions="tracked", author=author, date=date).mode(mode).save(path)
