@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("text_queries", "table_queries", "plan_queries", "diff_queries", "more_queries", "sheet_queries", "page_queries", "document_queries", "package_queries", "file_queries", "carry_queries", "media_queries", "revision_queries")
+MODULES = ("text_queries", "table_queries", "plan_queries", "diff_queries", "more_queries", "sheet_queries", "page_queries", "document_queries", "package_queries", "file_queries", "carry_queries", "media_queries", "revision_queries", "merging_queries")
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
