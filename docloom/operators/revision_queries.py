@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import revisions as R
 from docloom.operators.catalogue import query
+from docloom.operators.compare_files import CompareOptions, compare_folders
 from docloom.operators.text_queries import table
 from docloom.sources import docx
 from docloom.sources.storage import scratch
@@ -46,3 +47,23 @@ def tracked_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.counts(R.tracked(*_versions_of(spark, sf_dir)))
     total = lambda c, but, name: F.coalesce(F.sum(F.when(F.col("kind") != but, F.col(c))), F.lit(0)).alias(name)
     return found.groupBy(F.col("key").alias("conv_id")).agg(total("characters", "added", "before_characters"), total("characters", "deleted", "after_characters"), total("marks", "added", "before_marks"), total("marks", "deleted", "after_marks"))
+
+
+@query("compared_files", """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS d, o_orderkey // 2000 AS p, concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority) AS line FROM orders),
+b AS (SELECT * FROM o WHERE k % 97 <> 0), a AS (SELECT k, d, p, CASE WHEN k % 97 IN (1, 2) THEN line || '!' ELSE line END AS line FROM o WHERE k % 97 <> 3),
+x AS (SELECT d, p, k, line FROM b UNION ALL SELECT DISTINCT d, p, -1, 'page ' || p FROM b), y AS (SELECT d, p, k, line FROM a UNION ALL SELECT DISTINCT d, p, -1, 'page ' || p FROM a),
+f AS (SELECT coalesce(x.d, y.d) AS d, coalesce(x.p, y.p) AS p, coalesce(x.k, y.k) AS k, x.line AS xl, y.line AS yl, CASE WHEN x.line = y.line THEN 1 ELSE 0 END AS eq FROM x FULL JOIN y ON x.d = y.d AND x.p = y.p AND x.k = y.k),
+h AS (SELECT *, sum(eq) OVER (PARTITION BY d ORDER BY p, k ROWS UNBOUNDED PRECEDING) - eq AS hunk FROM f),
+g AS (SELECT d, hunk, string_agg(xl, chr(10) ORDER BY p, k) AS before, string_agg(yl, chr(10) ORDER BY p, k) AS after FROM h WHERE eq = 0 GROUP BY d, hunk)
+SELECT 'book_' || d || '.docx' AS document, 'body' AS section, CAST(hunk AS BIGINT) AS hunk, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'deleted' ELSE 'changed' END AS kind, before, after FROM g""")
+def compared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in five word documents, a page for two thousand numbers, against edited ones: what changed, from the files."""
+    k, path = F.col("o_orderkey"), scratch(spark, "compared")
+    page = F.floor(k / 2_000)
+    o = table(spark, sf_dir, "orders").select(k, F.concat(F.lit("book_"), (k % 5).cast("string")).alias("document"), page.alias("page"), F.concat_ws("|", k.cast("string"), "o_orderstatus", "o_orderpriority").alias("line"))
+    edited = o.where(k % 97 != 3).withColumn("line", F.when((k % 97).isin(1, 2), F.concat("line", F.lit("!"))).otherwise(F.col("line")))
+    for d, name in ((o.where(k % 97 != 0), "before"), (edited, "after")):
+        pages = d.groupBy("document", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda s: s["line"]).alias("lines"))
+        docx.write_documents(pages.withColumn("title", F.concat(F.lit("page "), F.col("page").cast("string"))), f"{path}/{name}")
+    changes, _ = compare_folders(spark, f"{path}/before", f"{path}/after", CompareOptions(metadata=False))
+    return changes.select("document", "section", "hunk", "kind", "before", "after")

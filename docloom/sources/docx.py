@@ -4,8 +4,8 @@
     write_documents(df, path)                       # df: document, page, title, lines
     write_revisions(df, path)                       # df: document, step, side, place, kind, text
 
-Reading takes one partition for each part of a document that holds text (body, headers, footers, notes,
-comments). Revisions are read as accepted, or as rejected with option `revisions` = `rejected`; a paragraph whose mark
+Reading takes a partition for each part of a document that holds text (body, headers, footers, notes,
+comments), or for several small ones. Revisions are read as accepted, or as rejected with option `revisions` = `rejected`; a paragraph whose mark
 is gone goes on in the next one of its cell, note or part. Writing makes a document for each name: a titled section for
 each page, which begins on a new page, and a paragraph for each line; or pieces of text that are kept, deleted or added, as
 tracked changes (options `revisions` = `tracked`, `author`, `date`), a line feed being a paragraph's mark. Characters
@@ -42,16 +42,37 @@ PARAGRAPHS = "path string, section string, part string, pos int, text string, li
 MARKS = {f"{{{W}}}tab": "\t", f"{{{W}}}br": "\n", f"{{{W}}}cr": "\n"}
 _NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 BATCH = 5_000
+#: Bytes of XML that one task reads, if it reads several parts, and what a part counts at least.
+TASK, OPEN = 4 << 20, 128 << 10
 #: The elements of revisions.
 REVISIONS = {"deleted": "del", "added": "ins"}
 
 
 @dataclass
-class TextPart(InputPartition):
+class TextPart:
     path: str
     section: str | None = None
     member: str | None = None
     error: str | None = None
+    size: int = 0
+
+
+@dataclass
+class TextParts(InputPartition):
+    parts: list[TextPart]
+
+
+def bundled(parts: Sequence[TextPart], most: int) -> list[TextParts]:
+    """Parts in order, as many to a task as have `most` bytes together (each counts as `OPEN` at least)."""
+    out, full = [], 0
+    for p in parts:
+        own = max(OPEN, p.size)
+        if not out or full + own > most:
+            out.append(TextParts([]))
+            full = 0
+        out[-1].parts.append(p)
+        full += own
+    return out
 
 
 def text_parts(names: Sequence[str]) -> list[tuple[str, str]]:
@@ -132,13 +153,17 @@ class DocumentReader(DataSourceReader):
                         continue
                     f.seek(0)
                     with zipfile.ZipFile(f) as z:
-                        out += [TextPart(p, s, m) for s, m in text_parts(z.namelist())]
+                        out += [TextPart(p, s, m, size=z.getinfo(m).file_size) for s, m in text_parts(z.namelist())]
             except Exception as e:  # a file's fault is its own row
                 out.append(TextPart(p, error=f"READ_FAILED: {e}"))
-        return out
+        return bundled(out, TASK)
+
+    def read(self, partition: TextParts) -> Iterator[pa.RecordBatch]:
+        for p in partition.parts:
+            yield from self._read(p)
 
-    def read(self, partition: TextPart) -> Iterator[pa.RecordBatch]:
-        p, held, error = partition, [], partition.error
+    def _read(self, p: TextPart) -> Iterator[pa.RecordBatch]:
+        held, error = [], p.error
         if not error:
             try:
                 with located(self.path)[0].open_input_file(p.path) as f, zipfile.ZipFile(f) as z, z.open(p.member) as part:

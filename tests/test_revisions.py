@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.lcs import common_lines
 from docloom.operators import revisions as R
+from docloom.operators.compare_files import CompareOptions, compare_folders
 from docloom.sources import docx
 
 #: key -> both versions, as lists of paragraphs.
@@ -91,3 +92,22 @@ def test_deleted_marks_join_within_their_cell(spark, tmp_path):
 def test_no_texts(spark):
     none = spark.createDataFrame([], "key long, pos long, line string")
     assert R.tracked(none, none).count() == 0
+
+
+def test_folders_of_documents(spark, tmp_path):
+    made = lambda name, *docs: docx.write_documents(spark.createDataFrame([(n, 1, "T", lines) for n, lines in docs], "document string, page int, title string, lines array<string>"), str(tmp_path / name))
+    made("before", ("a", ["x", "y z"]), ("gone", ["p"]), ("bad", ["q"]))
+    made("after", ("a", ["x", "y w", "v"]), ("new", ["r"]), ("bad", ["q"]))
+    (tmp_path / "after" / "bad.docx").write_bytes(b"no zip")
+    changes, errors = compare_folders(spark, str(tmp_path / "before"), str(tmp_path / "after"), CompareOptions(tracked=str(tmp_path / "out"), author="me"))
+    assert sorted((r["document"], r["kind"], r["before"], r["after"], r["before_at"]) for r in changes.collect()) == [("a.docx", "changed", "y z", "y w\nv", "2"), ("gone.docx", "deleted", "T\np", None, "0~1"), ("new.docx", "added", None, "T\nr", None)]
+    assert [(r["document"], r["side"]) for r in errors.collect()] == [("bad.docx", "after")]
+    read = spark.read.format("docloom-docx").load(str(tmp_path / "out"))
+    assert read.rdd.getNumPartitions() == 1
+    assert sorted((r["path"].rsplit("/", 1)[1], r["pos"], r["text"]) for r in read.collect()) == [("a.docx", 0, "T"), ("a.docx", 1, "x"), ("a.docx", 2, "y w"), ("a.docx", 3, "v"), ("new.docx", 0, "T"), ("new.docx", 1, "r")]
+
+
+def test_small_parts_share_a_task():
+    parts = [docx.TextPart(str(i), size=n) for i, n in enumerate((10, 10, 5 << 20, 10))]
+    assert [[p.path for p in t.parts] for t in docx.bundled(parts, docx.TASK)] == [["0", "1"], ["2"], ["3"]]
+    assert docx.bundled([], docx.TASK) == []
