@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -206,6 +207,55 @@ def test_encoder_with_special_tokens_and_random_texts(name, mode):
     assert got == encode_all(name, texts)
 
 
+@pytest.mark.parametrize("name,mode", [("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "words")])
+def test_encoder_at_white_space_signs_and_long_pieces(name, mode):
+    """Every white space of Unicode and its neighbours next to spaces and line feeds, long runs of punctuation, pieces too long to be joined."""
+    from docloom.llm.encoder import Encoder
+    from docloom.llm.queries import tokenizer_path
+
+    rng = np.random.default_rng(23)
+    spaces = [chr(x) for x in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x180E, 0xFEFF)]
+    parts = np.array([*spaces, *[" "] * 20, *["\n"] * 20, "Word", "naïve", "×", "a÷b", "İ", "–", "。", "…", "!" * 40, "it's", "'s", "x" * 64, "y" * 65, "é" * 40, "9" * 70, "<|endoftext|>", "end.", "a,b;", "😀"])
+    texts = ["".join(parts[rng.integers(0, len(parts), int(rng.integers(0, 14)))]) for _ in range(20_000)]
+    encoder = Encoder(tokenizer_path(name), mode)
+    want = encode_all(name, texts)
+    for _ in range(2):  # pieces are new, then in the table
+        got = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), 256) for x in encoder.encode(texts[i : i + 256])]
+        assert got == want
+
+
+def test_encoder_calls_the_tokenizer_for_many_new_words_at_once():
+    from docloom.llm.encoder import GROUP, Encoder
+    from docloom.llm.queries import tokenizer_path
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encoder = Encoder(tokenizer_path("byte_bpe_50k.json"), "byte_level")
+    encoder.plain = counted = Counted(encoder.plain)
+    words = ["".join("aeioulnr"[int(x)] for x in f"{i:o}") for i in range(6400)]
+    first, lines = " ".join(words), "\n".join(words)
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([first, first])]
+    assert got == encode_all("byte_bpe_50k.json", [first] * 2) and counted.texts <= 6400 // GROUP + 2
+    counted.texts = 0
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([lines, lines])] == encode_all("byte_bpe_50k.json", [lines] * 2)
+    assert counted.texts <= 6400 // GROUP + 3  # words after a line feed, not pairs of words around one
+    # a vocabulary that has no ids for some bytes: pieces go one by one
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    small = Tokenizer(models.BPE({"Ġ": 0, "a": 1, "b": 2, "Ġa": 3}, [("Ġ", "a")]))
+    small.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+        small.save(f.name)
+        got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(f.name, "byte_level").encode(["ab a\nb aé", "é", None])]
+    assert got == [small.encode(x).ids for x in ("ab a\nb aé", "é", "")]
+
+
 def test_token_files(spark, docs, odd, none):
     from docloom.llm.queries import tokenizer_path
     from docloom.llm.token_files import token_files
