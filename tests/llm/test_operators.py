@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out labels, with odd inputs."""
 
 import collections
+import contextlib
 import hashlib
 import re
 import tempfile
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import ngram_join, packing, simple8b, suffix_dedup
+from docloom.llm.common import configured
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -513,6 +515,24 @@ def brute_repeats(rows, width):
     return sorted(out, key=str)
 
 
+def test_copies_of_one_text_are_dealt_to_many_tasks(spark):
+    """Half of the rows are one text: the join that finds its copies is split at it, as nothing is aggregated between shuffle and join."""
+    text = "one very common text " * 30
+    rows = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, F.lit(text)).otherwise(F.concat(F.lit(text), F.col("id").cast("string"))).alias("text"))
+    profile = suffix_dedup.store(suffix_dedup._profile(rows.select(*suffix_dedup.keyed(F.col("id"), F.col("text")), "text"), 400), "profile")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    held |= {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "16k"}
+    with contextlib.ExitStack() as stack:
+        for key, value in held.items():
+            stack.enter_context(configured(spark, key, value))
+        marked = suffix_dedup._marked(profile, suffix_dedup._copies(profile, 400))
+        got = marked.select("doc_id", "copy", "takes_part", F.spark_partition_id().alias("task"))
+        found = got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["copy"], r["takes_part"]) for r in found} == {(i, i % 2 == 0, i % 2 == 1 or i == 0) for i in range(8000)}
+    assert max(collections.Counter(r["task"] for r in found).values()) < 3000
+
+
 def test_suffix_dedup(spark, docs, odd, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + [(r["doc_id"], r["text"]) for r in odd.collect()]
     base = rows[0][1]
