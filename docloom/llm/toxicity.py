@@ -11,7 +11,9 @@ Near copies among the toxic documents count as one there, so that the other word
 copies do not get in.
 
 Learning takes up to `FIT_TOXIC` toxic and `FIT_CLEAN` other labelled documents, those with the least hash of
-their id, on the driver, of `FIT_BYTES` of text at most; the bounds hold at any size. A class has the share of
+their id, on the driver, of `FIT_BYTES` of text at most; the bounds hold at any size. The driver goes over the
+texts a slice at a time and the chains a block at a time, and holds a few numbers for each token of the chains it
+learns from. A class has the share of
 the bytes that it has of the documents, and what the other class leaves; a document that does not fit is passed
 over and the next is tried, so one over its class's bytes is not learned from. Everything else runs over all
 documents.
@@ -33,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import hashing
-from docloom.llm.common import chunks, lean, ready
+from docloom.llm.common import chunks, lean, ready, trim
 from docloom.llm.langid import held_out
 
 FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 800, 2_400, 7 << 20
 CHAIN, SPAN = 64, 0.5
+#: Bytes of text that are cut into tokens at once; chains whose marginals the learning finds at once.
+SLICE_BYTES, BLOCK_CHAINS = 1 << 18, 512
 CHANCE = 1e-5
 #: Lengths in bytes of the word beginnings that serve as features, besides the whole word.
 STEMS = (4, 5, 6, 7, 8)
@@ -157,12 +161,26 @@ def alike(docs: list[np.ndarray], sketch: int = 32) -> np.ndarray:
     return group
 
 
-def explain(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Feature keys that mark toxic documents. docs: the distinct keys of each document.
+def slices(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of the texts with their tokens: the text of each token (0: the range's first), and its features."""
+    for a, b in chunks([len(t) for t in texts], SLICE_BYTES):
+        yield a, b, *tokens(texts[a:b])[2:]
+
+
+def distinct(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The distinct keys of each text, ascending."""
+    for a, b, of, keys in slices(texts):
+        edge = np.searchsorted(of, np.arange(b - a + 1))
+        for low, high in zip(edge[:-1], edge[1:]):
+            yield np.setdiff1d(np.unique(keys[low:high]), [U(0)])
+
+
+def explain(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
+    """Feature keys that mark toxic documents.
 
     Near copies among the toxic documents count as one, so the other words of a text with copies don't get in.
     """
-    own = [docs[i] for i in np.flatnonzero(toxic)]
+    own = list(distinct([texts[i] for i in np.flatnonzero(toxic)]))
     group = alike(own)
     each = [np.unique(np.concatenate([own[j] for j in np.flatnonzero(group == g)])) for g in np.unique(group)]
     keys, n1 = np.unique(np.concatenate(each), return_counts=True)
@@ -170,61 +188,85 @@ def explain(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     least = max(4, 0.002 * len(each), np.log(CHANCE) / np.log(max(1e-9, toxic.mean())))
     keys, n1 = keys[n1 >= least], n1[n1 >= least]
     n0 = np.zeros(len(keys))
-    for i in np.flatnonzero(~toxic):
-        n0 += np.isin(keys, docs[i], assume_unique=True)
+    for clean in distinct([texts[i] for i in np.flatnonzero(~toxic)]):
+        n0 += np.isin(keys, clean, assume_unique=True)
     # as many in clean documents as labels may be wrong, at the sample's odds
     odds = max(1.0, (~toxic).sum() / max(1, toxic.sum()))
     return keys[n0 <= 0.05 * n1 * odds]
 
 
+def chosen_chains(texts: list[bytes], toxic: np.ndarray, stems: np.ndarray) -> np.ndarray:
+    """Whether each chain is learned from: all with a toxic token, and as many others as keep the sum bounded."""
+    has = np.concatenate([np.bincount(chains(of) // CHAIN, weights=np.isin(keys, stems).any(1) & toxic[a + of]) > 0 for a, _, of, keys in slices(texts)])
+    other = np.flatnonzero(~has)
+    has[other[np.argsort(hashing.mix(other.astype(np.uint64)))][: max(2000, 2 * int(has.sum()))]] = True
+    return has
+
+
+def chosen_tokens(texts: list[bytes], use: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The tokens of the chosen chains, a slice at a time: places among these chains, texts, features."""
+    number, first = np.cumsum(use) - 1, 0
+    for a, _, of, keys in slices(texts):
+        place = chains(of)
+        chain = first + place // CHAIN
+        first = int(chain[-1]) + 1 if len(chain) else first
+        keep = use[chain]
+        yield number[chain[keep]] * CHAIN + place[keep] % CHAIN, a + of[keep], keys[keep]
+
+
+def repeated_keys(texts: list[bytes], use: np.ndarray) -> tuple[np.ndarray, int]:
+    """The keys that the tokens of the chosen chains have twice or more, ascending, and how many tokens there are."""
+    known, again, n = np.zeros(0, np.uint64), np.zeros(0, bool), 0
+    for place, _, keys in chosen_tokens(texts, use):
+        n += len(place)
+        more, times = np.unique(keys[keys != 0], return_counts=True)
+        known, again = np.concatenate((known, more)), np.concatenate((again, times > 1))
+        order = np.argsort(known, kind="stable")
+        known, again = known[order], again[order]
+        head = hashing.runs(known)
+        if len(head):
+            again = np.logical_or.reduceat(again, head) | (np.diff(np.append(head, len(known))) > 1)
+        known = known[head]
+    return known[again], n
+
+
 def learn(texts: list[bytes], toxic: np.ndarray, rounds: int = 30) -> Model:
     """Fits the field and the link on labelled documents."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not toxic.any() or toxic.all():
         odds = np.log(max(share, 1e-13) / max(1 - share, 1e-13))
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros((2, 2)), np.array([odds, 0.0, 0.0]), np.zeros(8, bool))
-    parts = [(a, b, *tokens(texts[a:b])) for a, b in chunks([len(t) for t in texts])]
-    of = np.concatenate([p[4] + p[0] for p in parts])
-    keys = np.concatenate([p[5] for p in parts])
-    parts = [p[:2] for p in parts]
-    edge = np.searchsorted(of, np.arange(len(texts) + 1))
-    docs = [np.setdiff1d(np.unique(keys[a:b]), [U(0)]) for a, b in zip(edge[:-1], edge[1:])]
-    stems = explain(docs, toxic)
-    del docs
-    label = np.isin(keys, stems).any(1) & toxic[of]
-    place = chains(of)
+    stems = explain(texts, toxic)
+    use = chosen_chains(texts, toxic, stems)
+    known, n = repeated_keys(texts, use)
+    # of each token: the places of its keys among the known (their number: none), its own place, its label
+    at, place, label, done = np.empty((n, 1 + len(STEMS)), np.int32), np.empty(n, np.int32), np.empty(n, bool), 0
+    for own, of, keys in chosen_tokens(texts, use):
+        part = slice(done, done := done + len(own))
+        place[part], label[part] = own, np.isin(keys, stems).any(1) & toxic[of]
+        i = np.searchsorted(known, keys)
+        if len(known):
+            i[known[np.minimum(i, len(known) - 1)] != keys] = len(known)
+        at[part] = i
     chain = place // CHAIN
-    has = np.bincount(chain, weights=label) > 0
-    # all chains with a toxic token, and as many others as keep the sum bounded
-    other = np.flatnonzero(~has)
-    other = other[np.argsort(hashing.mix(other.astype(np.uint64)))][: max(2000, 2 * int(has.sum()))]
-    use = np.zeros(len(has), bool)
-    use[np.flatnonzero(has)], use[other] = True, True
-    keep = use[chain]
-    number = np.cumsum(use) - 1
-    place, keys_, label = number[chain[keep]] * CHAIN + place[keep] % CHAIN, keys[keep], label[keep].astype(float)
-    del keys, of, chain
-    known, times = np.unique(keys_[keys_ != 0], return_counts=True)
-    known = known[times >= 2]
-    at = np.searchsorted(known, keys_).astype(np.int32)
-    valid = (at < len(known)) & (known[np.minimum(at, max(0, len(known) - 1))] == keys_)
-    del keys_
-    n = int(use.sum())
-    length = np.bincount(place // CHAIN, minlength=n)
-    gold = np.zeros(n * CHAIN)
-    gold[place] = label
-    g = gold.reshape(n, CHAIN).astype(int)
-    live = np.arange(1, CHAIN)[None, :] < length[:, None]
-    wanted = np.array([[((g[:, :-1] == i) & (g[:, 1:] == j) & live).sum() for j in (0, 1)] for i in (0, 1)], float)
-    w, trans, bias = np.zeros(len(known) + 1), np.zeros((2, 2)), -4.0
-    at = np.where(valid, at, np.int32(len(known)))
+    length = np.bincount(chain, minlength=int(use.sum()))
+    follows = 2 * label[:-1].astype(np.int8) + label[1:]
+    wanted = np.bincount(follows[chain[1:] == chain[:-1]], minlength=4).reshape(2, 2).astype(float)
+    heads = [*range(0, len(length), BLOCK_CHAINS), len(length)]
+    blocks = [(a, b, *np.searchsorted(chain, (a, b)).tolist()) for a, b in zip(heads[:-1], heads[1:])]
+    del chain, follows
+    w, trans, bias, miss = np.zeros(len(known) + 1), np.zeros((2, 2)), -4.0, np.empty(n)
     sums = [np.full_like(w, 1e-3), np.full((2, 2), 1e-3), 1e-3]
     for _ in range(rounds):  # full-batch AdaGrad on the log likelihood with an L2 penalty
         w[-1] = 0
-        unary = np.zeros(n * CHAIN)
-        unary[place] = w[at].sum(1) + bias
-        marginal, pairs = forward_backward(unary.reshape(n, CHAIN), trans, length)
-        miss = label - marginal.ravel()[place]
+        pairs = np.zeros((2, 2))
+        for a, b, low, high in blocks:
+            unary = np.zeros((b - a) * CHAIN)
+            own = place[low:high] - a * CHAIN
+            unary[own] = w[at[low:high]].sum(1) + bias
+            marginal, some = forward_backward(unary.reshape(b - a, CHAIN), trans, length[a:b])
+            miss[low:high] = label[low:high] - marginal.ravel()[own]
+            pairs += some
         grad = [sum(np.bincount(column, weights=miss, minlength=len(w)) for column in at.T) - 0.02 * w, wanted - pairs - 0.02 * trans, miss.sum()]
         sums = [s + x * x for s, x in zip(sums, grad)]
         step = [0.7 * x / np.sqrt(s) for x, s in zip(grad, sums)]
@@ -233,13 +275,9 @@ def learn(texts: list[bytes], toxic: np.ndarray, rounds: int = 30) -> Model:
     seen = np.zeros(1 << 20, bool)
     seen[known[heavy] & U(len(seen) - 1)] = True
     model = Model(known[heavy], w[heavy], bias, trans, np.zeros(3), seen)
-    del at, valid, place, gold, g, live
-    made = []
-    for a, b in parts:
-        _, _, of, keys = tokens(texts[a:b])
-        made.append(aggregate(of, model.marginals(of, keys), b - a))
-    x = np.concatenate(made)
-    model.link = _logistic(x, toxic.astype(float))
+    del at, place, label, miss
+    made = [aggregate(of, model.marginals(of, keys), b - a) for a, b, of, keys in slices(texts)]
+    model.link = _logistic(np.concatenate(made), toxic.astype(float))
     return model
 
 
@@ -284,7 +322,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = pick.groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").collect()
     took = [(k,) for k in sample([(r["doc_id"], r["n"], ids[r["doc_id"]]) for r in sizes])]
     rows = pick.join(F.broadcast(spark.createDataFrame(took, "doc_id long")), "doc_id").select("doc_id", "text").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "text").collect() if took else []
-    return learn([r["text"].lower().encode() for r in rows], np.array([ids[r["doc_id"]] == 1 for r in rows], bool))
+    texts, toxic = [r["text"].lower().encode() for r in rows], np.array([ids[r["doc_id"]] == 1 for r in rows], bool)
+    del rows
+    model = learn(texts, toxic)
+    del texts
+    trim()
+    return model
 
 
 def tag(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:

@@ -641,6 +641,34 @@ def test_toxicity_sample_keeps_both_classes(spark, monkeypatch):
     assert {r["doc_id"] for r in got} == set(ids) - toxic
 
 
+def test_toxicity_learns_in_little_memory(monkeypatch):
+    """The driver holds a few numbers for each token it learns from; slices and blocks leave the model as it is."""
+    import tracemalloc
+
+    from docloom.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, n)) for n in rng.integers(3, 10, 3_000)]
+    texts = [" ".join(words[x] for x in rng.integers(0, len(words), 500)) for _ in range(800)]
+    toxic = np.arange(len(texts)) % 4 == 0
+    texts = [(t + " vilest words" if bad else t).encode() for t, bad in zip(texts, toxic)]
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        model = toxicity.learn(texts, toxic, 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 11 * size, peak / size  # 20 where all tokens' features and all chains' marginals were held at once
+    whole = toxicity.learn(texts, toxic)
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 70_000)
+    monkeypatch.setattr(toxicity, "BLOCK_CHAINS", 61)
+    cut = toxicity.learn(texts, toxic)
+    assert (cut.keys == whole.keys).all() and np.allclose(cut.weights, whole.weights, atol=1e-8) and np.allclose(cut.link, whole.link, atol=1e-8)
+    _, _, of, keys = toxicity.tokens(texts)
+    assert ((cut.scores(of, cut.marginals(of, keys), len(texts)) > 0.5) == toxic).all()
+
+
 def test_field_marginals_by_enumeration():
     from itertools import product
 
