@@ -667,6 +667,7 @@ def test_toxicity_learns_in_little_memory(monkeypatch):
     assert (cut.keys == whole.keys).all() and np.allclose(cut.weights, whole.weights, atol=1e-8) and np.allclose(cut.link, whole.link, atol=1e-8)
     _, _, of, keys = toxicity.tokens(texts)
     assert ((cut.scores(of, cut.marginals(of, keys), len(texts)) > 0.5) == toxic).all()
+    assert not len(toxicity.learn([b"no word twice", b""], np.array([True, False])).keys)  # failed where no key was repeated
 
 
 def test_field_marginals_by_enumeration():
