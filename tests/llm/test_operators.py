@@ -544,6 +544,30 @@ def test_suffix_dedup(spark, docs, odd, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, 400)
 
 
+def test_planted_passages_go_from_400_bytes_on(spark, tmp_path):
+    """Passages of over 50 words go whole from all their documents if they have 400 bytes, and stay below; what is around them, and documents without one, stay."""
+    from docloom.llm.queries import op9_suffix_dedup
+
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(n))
+    rows, expected = [], {}
+    for size in (306, 399, 400, 401, 700):
+        passage = words(130)[: size - 1] + "."
+        assert len(passage) == size and len(passage.split()) > 50
+        for i, (before, after) in enumerate(((0, 90), (90, 0), (90, 90))):  # a digit on either side ends the match
+            text = f"{words(before)}{i}", f"{i}{words(after)}"
+            rows.append((len(rows), text[0] + passage + text[1]))
+            gone = size if size >= 400 else 0
+            kept = "".join(text) if gone else rows[-1][1]
+            expected[rows[-1][0]] = (len(rows[-1][1]), gone, int(gone > 0), hashlib.sha256(kept.encode()).hexdigest())
+    for n in (1, 60, 300):
+        rows.append((len(rows), words(n)))
+        expected[rows[-1][0]] = (len(rows[-1][1]), 0, 0, hashlib.sha256(rows[-1][1].encode()).hexdigest())
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op9_suffix_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert len(got) == len(rows) and {r[0]: tuple(r)[1:] for r in got} == expected
+
+
 def test_strip_repeats(spark, odd, none):
     clash = ["_id", "_t", "kept", "t", "own_0", "row"]
     kept = suffix_dedup.strip_repeats(odd.select("*", *[F.lit(1).alias(c) for c in clash]), 200)
