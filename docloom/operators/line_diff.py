@@ -7,36 +7,30 @@ which are texts of their own for the next round, where more lines are unique. Af
 on both sides is compared exactly, each gap by any task. Where all lines are unique the equal lines are a longest common
 subsequence, and in a gap always.
 
-Texts come as (key, pos, line), places from zero. Running values over a text's places are taken within ranges of
-`RANGE` places and carried from range to range, so no text is one task's.
+Texts come as (key, pos, line), places from zero. Both are stored as one table, `side` 0 and 1. Running values over a
+text's places are taken within ranges of `RANGE` places and carried from range to range, so no text is one task's.
+Each step is written and read again: plans stay small, and with them what the driver holds of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.lcs import common_lines
 from docloom.session import ship
-from docloom.sources.storage import scratch
+from docloom.sources.storage import scratch, stored
 
 #: Places of a range, and rounds of anchors before the rest is compared.
 RANGE, ROUNDS = 8_192, 3
 _GAP = ["key", "gap"]
-
-
-def carried(df: DataFrame, keys: list[str], pos: str, value: Column, name: str) -> DataFrame:
-    """df with `name`: the last value that is not null, up to the row, in the order of an integer place."""
-    df = df.withColumns({"_value": value, "_range": F.floor(F.col(pos) / RANGE)})
-    upto = Window.partitionBy(*keys, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    last = df.where("_value IS NOT NULL").groupBy(*keys, "_range").agg(F.max_by("_value", pos).alias("_last"))
-    ranges = df.select(*keys, "_range").distinct().join(last, [*keys, "_range"], "left")
-    base = ranges.select(*keys, "_range", F.last("_last", ignorenulls=True).over(before).alias("_base"))
-    own = df.withColumn("_own", F.last("_value", ignorenulls=True).over(upto)).join(base, [*keys, "_range"])
-    return own.withColumn(name, F.coalesce("_own", "_base")).drop("_value", "_range", "_own", "_base")
+_SIDE = ["side", *_GAP]
 
 
 def counted(df: DataFrame, keys: list[str], pos: str, flag: Column, name: str) -> DataFrame:
@@ -50,20 +44,22 @@ def counted(df: DataFrame, keys: list[str], pos: str, flag: Column, name: str) -
     return own.withColumn(name, F.col("_own") + F.col("_base")).drop("_flag", "_range", "_own", "_base")
 
 
-def anchors(before: DataFrame, after: DataFrame) -> DataFrame:
-    """key, gap, b, a: the places of lines that occur once in each text of a gap."""
-    once = lambda d, name: d.groupBy(*_GAP, "line").agg(F.count("*").alias("_n"), F.min("pos").alias(name)).where("_n = 1").drop("_n")
-    return once(before, "b").join(once(after, "a"), [*_GAP, "line"]).drop("line")
+def common(lines: DataFrame) -> DataFrame:
+    """key, gap, b, a, once: the first places of each line that both texts of a gap have, and whether either has it once."""
+    own = lambda side: F.col("side") == side
+    met = lines.groupBy(*_GAP, "line").agg(F.count_if(own(0)).alias("_b"), F.count_if(own(1)).alias("_a"), F.min(F.when(own(0), F.col("pos"))).alias("b"), F.min(F.when(own(1), F.col("pos"))).alias("a"))
+    return met.where("_b > 0 AND _a > 0").select(*_GAP, "b", "a", F.expr("_b = 1 AND _a = 1").alias("once"))
 
 
 def runs(pairs: DataFrame) -> DataFrame:
-    """key, gap, b, a, n: pairs of places that follow each other in both texts, as one row."""
-    near = lambda by: pairs.select(*_GAP, (F.col("b") + by).alias("b"), (F.col("a") + by).alias("a"))
-    on = [*_GAP, "b", "a"]
-    ends = pairs.join(near(1), on, "left_anti").withColumn("_end", F.lit(0)).union(pairs.join(near(-1), on, "left_anti").withColumn("_end", F.lit(1)))
-    diagonal = Window.partitionBy(*_GAP, F.col("a") - F.col("b")).orderBy("b", "_end")  # two rows a run
-    marked = ends.withColumn("_next", F.lead("b").over(diagonal))
-    return marked.where("_end = 0").select(*_GAP, "b", "a", (F.col("_next") - F.col("b") + 1).alias("n"))
+    """key, gap, b, a, n: pairs of places that follow each other in both texts, as one row. Found within ranges, which then meet."""
+    near = pairs.select(*_GAP, "b", (F.col("a") - F.col("b")).alias("_d"), F.floor(F.col("b") / RANGE).alias("_range"))
+    within = Window.partitionBy(*_GAP, "_d", "_range").orderBy("b")
+    parts = near.withColumn("_i", F.col("b") - F.row_number().over(within)).groupBy(*_GAP, "_d", "_range", "_i").agg(F.min("b").alias("b"), F.count("*").alias("n"))
+    diagonal = Window.partitionBy(*_GAP, "_d").orderBy("b")  # a row a range and run
+    marked = parts.withColumn("_new", F.coalesce(F.lag(F.col("b") + F.col("n")).over(diagonal) != F.col("b"), F.lit(True)).cast("long"))
+    met = marked.withColumn("_run", F.sum("_new").over(diagonal.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*_GAP, "_d", "_run").agg(F.min("b").alias("b"), F.sum("n").alias("n"))
+    return met.select(*_GAP, "b", (F.col("b") + F.col("_d")).alias("a"), "n")
 
 
 def heaviest_chain(b: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -90,87 +86,127 @@ def heaviest_chain(b: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], np.int64)
 
 
-def kept(found: DataFrame) -> DataFrame:
-    """The runs of each gap's heaviest chain, numbered from one. A task gets a gap's runs: places, no lines."""
-    def chain(t: pa.Table) -> pa.Table:
-        b, a, n = (t.column(c).to_numpy() for c in ("b", "a", "n"))
-        at = pa.array(heaviest_chain(b, a, n))
-        return t.take(at).append_column("k", pa.array(np.arange(1, len(at) + 1)))
-
-    return found.groupBy(*_GAP).applyInArrow(chain, "key long, gap string, b long, a long, n long, k long")
-
-
-def _round(before: DataFrame, after: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of equal lines (key, b, a), and what is left of both texts under their new gaps. Stored."""
-    spark = before.sparkSession
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    chain = stored(kept(runs(anchors(before, after))), "chain")
-    left = []
-    for side, own in (("b", before), ("a", after)):
-        marks = chain.select(*_GAP, F.col(side).alias("pos"), F.struct("k", "b", "a", "n").alias("_run"))
-        at = carried(own.join(marks, [*_GAP, "pos"], "left"), _GAP, "pos", F.col("_run"), "_at").drop("_run")
-        inside = F.coalesce(F.col("pos") < F.col(f"_at.{side}") + F.col("_at.n"), F.lit(False))
-        left.append(stored(at.withColumn("_inside", inside).where("NOT _inside").select("key", F.concat_ws(".", "gap", F.coalesce("_at.k", F.lit(0))).alias("gap"), "pos", "line"), side))
-    matched = chain.select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), "b", "a").select("key", (F.col("b") + F.col("i")).alias("b"), (F.col("a") + F.col("i")).alias("a"))
-    return matched, *left
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole gaps and where each of these begins; rows come by gap. Many small gaps are one table, a long one is its own."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch.column(batch.schema.get_field_index(c)) for c in _GAP]
+        new = np.zeros(batch.num_rows, bool)
+        for c in own:
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        new[0] = not held or any(held[-1].column(c)[-1] != x[0] for c, x in zip(_GAP, own))
+        starts = np.flatnonzero(new)
+        if not len(starts):
+            held.append(batch)
+            continue
+        first, last = int(starts[0]), int(starts[-1])
+        if held:
+            yield pa.Table.from_batches([*held, batch.slice(0, first)]), np.zeros(1, np.int64)
+        if last > first:
+            yield pa.Table.from_batches([batch.slice(first, last - first)]), starts[:-1] - first
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held), np.zeros(1, np.int64)
 
 
-def _compared(before: DataFrame, after: DataFrame) -> DataFrame:
-    """key, b, a: equal lines of gaps that have lines on both sides, exactly."""
-    ship(before.sparkSession)
-    both = before.select(*_GAP).distinct().intersect(after.select(*_GAP).distinct())
-
-    def match(x: pa.Table, y: pa.Table) -> pa.Table:
-        x, y = x.sort_by("pos"), y.sort_by("pos")
-        found = common_lines(x.column("line").to_pylist(), y.column("line").to_pylist())
-        places = [t.column("pos").take(pa.array([f[k] for f in found], pa.int64())) for k, t in enumerate((x, y))]
-        return pa.table({"key": x.column("key").take(pa.array([0] * len(found), pa.int64())), "b": places[0], "a": places[1]})
-
-    sides = [d.join(both, _GAP, "left_semi").groupBy(*_GAP) for d in (before, after)]
-    return sides[0].cogroup(sides[1]).applyInArrow(match, "key long, b long, a long")
+def kept(found: DataFrame) -> DataFrame:
+    """The runs of each gap's heaviest chain, numbered from one. A task holds a gap's runs: places, no lines."""
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _groups(batches):
+            b, a, n = (t.column(c).to_numpy() for c in ("b", "a", "n"))
+            ends = np.append(starts[1:], len(b))
+            falls = np.append(0, np.cumsum(np.diff(a, prepend=a[0]) < 0))  # where nothing falls, all runs are the chain
+            at, k = [], []
+            for i, j in zip(starts.tolist(), ends.tolist()):
+                own = np.arange(i, j) if falls[j] == falls[i + 1] else i + heaviest_chain(b[i:j], a[i:j], n[i:j])
+                at.append(own)
+                k.append(np.arange(1, len(own) + 1))
+            yield from t.take(pa.array(np.concatenate(at))).append_column("k", pa.array(np.concatenate(k))).combine_chunks().to_batches()
+
+    placed = found.repartition(*_GAP).sortWithinPartitions(*_GAP, "b")
+    return placed.mapInArrow(chains, "key long, gap string, b long, a long, n long, k long")
+
+
+def _placed(lines: DataFrame, chain: DataFrame) -> DataFrame:
+    """Both texts' lines with their new gap and, where a kept run has them, the other text's place: the last run that begins up to a line tells."""
+    run, at = F.struct("k", "b", "a", "n"), F.floor(F.col("pos") / RANGE).alias("_range")
+    marks = chain.select(F.inline(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("pos")) for i, c in enumerate("ba")])), *_GAP, run.alias("_run")).select(*_SIDE, at, "pos", "_run")
+    kind = marks.schema["_run"].dataType
+    none = F.lit(None).cast(kind).alias("_run")
+    firsts = lines.groupBy(*_SIDE, at).agg(F.min("pos").alias("pos"))  # a row a range
+    before = Window.partitionBy(*_SIDE).orderBy("pos", F.col("_run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = firsts.select(*_SIDE, "_range", "pos", none, F.lit(True).alias("_first")).union(marks.withColumn("_first", F.lit(False)))
+    begun = met.withColumn("_run", F.last("_run", ignorenulls=True).over(before)).where("_first AND _run IS NOT NULL").drop("_first")
+    rows = lines.select(*_SIDE, at, "pos", none, "line").union(marks.union(begun).withColumn("line", F.lit(None).cast("string")))
+    upto = Window.partitionBy(*_SIDE, "_range").orderBy("pos", F.col("line").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("_at", F.last("_run", ignorenulls=True).over(upto)).where("line IS NOT NULL")
+    here, there = (F.when(F.col("side") == i, F.col("_at.b")).otherwise(F.col("_at.a")) for i in (0, 1))
+    far = F.col("pos") - here
+    gap = F.concat_ws(".", "gap", F.coalesce("_at.k", F.lit(0))).alias("gap")
+    return own.select("side", "key", gap, "pos", "line", F.when(far < F.col("_at.n"), there + far).alias("other")).where("side = 0 OR other IS NULL")
+
+
+def _compared(lines: DataFrame) -> DataFrame:
+    """key, kind, before_pos, after_pos, line: gaps that have lines in common, exactly. A task holds a gap."""
+    schema = "key long, kind string, before_pos long, after_pos long, line string"
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _groups(batches):
+            side, pos, line, key = t.column("side").to_numpy(), t.column("pos").to_pylist(), t.column("line").to_pylist(), t.column("key").to_pylist()
+            out = []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(pos)]):
+                m = i + int((side[i:j] == 0).sum())
+                found = common_lines(line[i:m], line[m:j])
+                out += [(key[i], "equal", pos[i + x], pos[m + y], line[i + x]) for x, y in found]
+                for kind, first, end, met in (("deleted", i, m, {x for x, _ in found}), ("added", m, j, {y for _, y in found})):
+                    places = (lambda p: (p, None)) if kind == "deleted" else (lambda p: (None, p))
+                    out += [(key[i], kind, *places(pos[r]), line[r]) for r in range(first, end) if r - first not in met]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=[x.strip().split(" ")[0] for x in schema.split(",")])
+
+    return lines.repartition(*_GAP).sortWithinPartitions(*_GAP, "side", "pos").mapInArrow(match, schema)
 
 
 def line_diff(before: DataFrame, after: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(key long, pos long, line) of both texts -> key, kind, before_pos, after_pos, line. A null line is empty.
 
     Texts that come with a gap (a string) are compared within gaps of one name only, which stand in the same order in both.
+    What comes out is read from files, so it costs little to use it several times.
     """
     spark = before.sparkSession
     ship(spark)
     folder = scratch(spark, "lines")
     gap = lambda d: F.col("gap") if "gap" in d.columns else F.lit("")
-    text = lambda d: d.select(F.col("key").cast("long").alias("key"), gap(d).alias("gap"), F.col("pos").cast("long").alias("pos"), F.coalesce("line", F.lit("")).alias("line"))
-    b, a = whole = (text(before), text(after))
-    matched = None
-    for r in range(rounds):
-        found, b, a = _round(b, a, f"{folder}/{r}")
-        matched = found if matched is None else matched.union(found)
-        if found.limit(1).count() == 0:
+    text = lambda d, side: d.select(F.lit(side).alias("side"), F.col("key").cast("long").alias("key"), gap(d).alias("gap"), F.col("pos").cast("long").alias("pos"), F.coalesce("line", F.lit("")).alias("line"))
+    left = stored(text(before, 0).union(text(after, 1)), f"{folder}/texts")
+    out = []
+    for r in range(rounds + 1):
+        shared = stored(common(left), f"{folder}/common-{r}")
+        many, once = shared.agg(F.count("*"), F.count_if("once")).first()
+        if r == rounds or not once:
             break
-    rest = _compared(b, a)
-    rest.write.parquet(f"{folder}/rest")
-    rest = spark.read.schema(rest.schema).parquet(f"{folder}/rest")
-    matched = rest if matched is None else matched.union(rest)
-    gone = b.join(rest.select("key", F.col("b").alias("pos")), ["key", "pos"], "left_anti")
-    new = a.join(rest.select("key", F.col("a").alias("pos")), ["key", "pos"], "left_anti")
-    none = F.lit(None).cast("long")
-    equal = whole[0].join(matched.withColumnRenamed("b", "pos"), ["key", "pos"])
-    return (
-        equal.select("key", F.lit("equal").alias("kind"), F.col("pos").alias("before_pos"), F.col("a").alias("after_pos"), "line")
-        .union(gone.select("key", F.lit("deleted"), "pos", none, "line"))
-        .union(new.select("key", F.lit("added"), none, "pos", "line"))
-    )
+        chain = stored(kept(runs(shared.where("once"))), f"{folder}/chain-{r}")
+        placed = stored(_placed(left, chain), f"{folder}/placed-{r}")
+        out.append(placed.where("other IS NOT NULL").select("key", F.lit("equal").alias("kind"), F.col("pos").alias("before_pos"), F.col("other").alias("after_pos"), "line"))
+        left = placed.where("other IS NULL").drop("other")
+    alone = left
+    if many:
+        gaps = shared.select(*_GAP).distinct()
+        alone = left.join(gaps, _GAP, "left_anti")
+        out.append(stored(_compared(left.join(gaps, _GAP, "left_semi")), f"{folder}/compared"))
+        alone = stored(alone, f"{folder}/alone")
+    mine = lambda side: F.when(F.col("side") == side, F.col("pos"))
+    out.append(alone.select("key", F.when(F.col("side") == 0, "deleted").otherwise("added").alias("kind"), mine(0).alias("before_pos"), mine(1).alias("after_pos"), "line"))
+    return reduce(DataFrame.union, out)
 
 
 def combined(diff: DataFrame) -> DataFrame:
     """A diff's lines between two equal ones as one change: key, hunk, kind, before, after (joined by line feeds), and where (`first~last`)."""
     sides = []
     for own, gone in (("before_pos", "deleted"), ("after_pos", "added")):
-        side = counted(diff.where(F.col("kind").isin("equal", gone)), ["key"], own, F.col("kind") == "equal", "hunk").where(F.col("kind") == gone)
+        mine = diff.where(F.col("kind").isin("equal", gone)).select("key", "kind", own, F.when(F.col("kind") == gone, F.col("line")).alias("line"))
+        side = counted(mine, ["key"], own, F.col("kind") == "equal", "hunk").where(F.col("kind") == gone)
         listed = side.groupBy("key", "hunk").agg(F.array_sort(F.collect_list(F.struct(F.col(own).alias("pos"), "line"))).alias("l"))
         name = own.split("_")[0]
         at = lambda i: F.element_at("l", i)["pos"].cast("string")

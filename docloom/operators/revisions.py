@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.line_diff import counted, line_diff
-from docloom.sources.storage import scratch
+from docloom.sources.storage import scratch, stored
 
 #: A word, white space, or another character; together they cover every line.
 PIECE = r"\w+|\s+|[^\w\s]"
@@ -35,17 +35,13 @@ def _pieces(lines: DataFrame, changed: DataFrame) -> DataFrame:
 
 def tracked(before: DataFrame, after: DataFrame) -> DataFrame:
     """key, step, side, place, kind (equal, deleted, added), text; in the order of step, side and place it is the document."""
-    spark, folder = before.sparkSession, scratch(before.sparkSession, "revisions")
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    diff = stored(line_diff(before, after), "lines")
+    folder = scratch(before.sparkSession, "revisions")
+    diff = line_diff(before, after)
     sides = []
     for own, gone in (("before_pos", "deleted"), ("after_pos", "added")):
-        at = counted(diff.where(F.col("kind").isin("equal", gone)), ["key"], own, F.col("kind") == "equal", "hunk").where(F.col("kind") == gone)
-        sides.append(stored(at.select("key", "hunk", F.col(own).alias("pos"), "line"), gone))
+        mine = diff.where(F.col("kind").isin("equal", gone)).select("key", "kind", own, F.when(F.col("kind") == gone, F.col("line")).alias("line"))
+        at = counted(mine, ["key"], own, F.col("kind") == "equal", "hunk").where(F.col("kind") == gone)
+        sides.append(stored(at.select("key", "hunk", F.col(own).alias("pos"), "line"), f"{folder}/{gone}"))
     old, new = sides
     changed = old.select("key", "hunk").distinct().intersect(new.select("key", "hunk").distinct())
     inner = line_diff(_pieces(old, changed), _pieces(new, changed)).select("key", "kind", "before_pos", "after_pos", F.col("line").alias("text"))
@@ -59,7 +55,7 @@ def tracked(before: DataFrame, after: DataFrame) -> DataFrame:
         .union(alone(new).select("key", F.lit("added"), none, F.col("pos") * WIDTH, whole))
         .union(inner).union(marks)
     )
-    return _ordered(stored(rows, "pieces"))
+    return _ordered(stored(rows, f"{folder}/pieces"))
 
 
 def _ordered(rows: DataFrame) -> DataFrame:

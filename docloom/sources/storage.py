@@ -19,7 +19,7 @@ from fnmatch import fnmatch
 
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import WriterCommitMessage
 
 MANIFEST = "_manifest.json"
@@ -129,3 +129,15 @@ def scratch(spark: SparkSession, tag: str) -> str:
             atexit.register(shutil.rmtree, top, True)
         base = f"file://{top}"
     return f"{base.rstrip('/')}/docloom-files/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df written to a new folder and read again; the shuffle files of the writing go when it ends."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)

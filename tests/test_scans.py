@@ -90,6 +90,27 @@ def test_line_diff_of_one_long_text(spark):
     assert got[7] >= len(y) - 10_000 - 1_500
 
 
+def test_line_diff_reads_what_its_steps_have_written(spark):
+    """Joins in the result, and texts made anew for every round, made plans that the driver could not hold."""
+    before, after = {1: ["a", "b", "c"], 2: ["x"]}, {1: ["a", "B", "c", "c"], 2: ["x", "y"]}
+    got = LD.line_diff(lines(spark, before), lines(spark, after))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    checked(got.collect(), before, after)
+
+
+def test_combined_changes_take_few_stages(spark):
+    text = {1: [f"line {i}" for i in range(3_000)]}
+    edited = {1: [x + "!" if i % 97 == 1 else x for i, x in enumerate(text[1]) if i % 97 != 3]}
+    spark.sparkContext.setJobGroup("few-stages", "combined")
+    try:
+        assert LD.combined(LD.line_diff(lines(spark, text), lines(spark, edited))).count() == 62
+        tracker = spark.sparkContext.statusTracker()
+        assert sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("few-stages")) < 120
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_combined_changes(spark):
     before, after = {1: ["a", "b", "c", "d", "e"], 2: ["x"], 3: []}, {1: ["a", "B", "C", "d", "new", "e", "end"], 2: [], 3: ["y", "z"]}
     got = LD.combined(LD.line_diff(lines(spark, before), lines(spark, after))).collect()
