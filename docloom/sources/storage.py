@@ -54,6 +54,14 @@ def listed(path: str, endings: tuple[str, ...]) -> list[str]:
     return sorted(x.path for x in files.get_file_info(fs.FileSelector(root)) if x.base_name.lower().endswith(endings) and x.base_name[0] not in "_.")
 
 
+def sizes(path: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:
+    """The files of a table and their bytes, by one listing of their folder."""
+    files, _ = located(path)
+    names = listed(path, endings)
+    known = {x.path: x.size for x in files.get_file_info(fs.FileSelector(names[0].rpartition("/")[0]))} if len(names) > 1 else {}
+    return [(n, known.get(n) or files.get_file_info(n).size or 0) for n in names]
+
+
 def manifest(files: fs.FileSystem, root: str) -> list[str] | None:
     if files.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.File:
         return None
@@ -92,14 +100,15 @@ class Job:
         files, root = located(self.path)
         files.create_dir(root)
         before = manifest(files, root) or []
-        names = []
+        names, taken = [], set(before)
         for m in messages:
             for made, name in m.names if m else []:
-                if name in before or name in names:  # appended tables keep both
+                if name in taken:  # appended tables keep both
                     stem, dot, ending = name.rpartition(".")
                     name = f"{stem}-{self.id}{dot}{ending}"
                 files.move(f"{self.temporary}/{made}", f"{root}/{name}")
                 names.append(name)
+                taken.add(name)
         with files.open_output_stream(f"{root}/_{self.id}.json") as f:
             f.write(json.dumps(names if self.overwrite else before + names).encode())
         files.move(f"{root}/_{self.id}.json", f"{root}/{MANIFEST}")

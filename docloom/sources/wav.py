@@ -4,12 +4,13 @@
     write_wav(df, path)                                     # df: name, rate, channels, start, samples
 
 A row is a block of frames from `start`, its samples interleaved, each a number from -1 to 1. A long file is
-read in ranges of frames by several tasks. When writing, the blocks of one name make one file, in order of start. A file that
+read in ranges of frames by several tasks, many short files by one, which reads their headers too. When writing, the blocks of one name make one file, in order of start. A file that
 is no such WAV is a row with its error.
 """
 
 from __future__ import annotations
 
+import contextlib
 import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -21,25 +22,31 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from docloom.session import ship
-from docloom.sources.storage import Job, Written, listed, located
+from docloom.sources.storage import Job, Written, located, sizes
 
 SCHEMA = "path string, rate int, channels int, start long, samples array<float>, error string"
-#: Frames of a row and of a partition.
+#: Frames of a row and of a range, at whose ends rows end.
 BLOCK, RANGE = 65_536, 1 << 22
+#: Bytes that one task reads, if it reads several ranges or files, what a file counts at least, and samples of an Arrow batch.
+TASK, OPEN, BATCH = 4 << 20, 32 << 10, 1 << 18
 _ARROW = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("start", pa.int64()), ("samples", pa.list_(pa.float32())), ("error", pa.string())])
 
 
 @dataclass
-class Frames(InputPartition):
+class Frames:
+    """Frames of a file, of all of it without `last`."""
+
     path: str
-    rate: int = 0
-    channels: int = 0
-    data: int = 0
     first: int = 0
-    last: int = 0
+    last: int | None = None
     error: str | None = None
 
 
+@dataclass
+class Several(InputPartition):
+    frames: list[Frames]
+
+
 def header(f) -> tuple[int, int, int, int]:
     """Rate, channels, where the samples begin and how many bytes they take; chunks of other kinds are passed over."""
     size = f.size()
@@ -65,29 +72,66 @@ class WavReader(DataSourceReader):
         self.path, self.range = options["path"], int(options.get("frames", RANGE))
 
     def partitions(self) -> Sequence[InputPartition]:
-        out: list[Frames] = []
+        out: list[Several] = []
+        full = TASK
         files = located(self.path)[0]
-        for p in listed(self.path, (".wav",)):
-            try:
-                with files.open_input_file(p) as f:
-                    rate, channels, at, n = header(f)
-                frames = n // (2 * channels)
-                out += [Frames(p, rate, channels, at, a, min(frames, a + self.range)) for a in range(0, max(1, frames), self.range)]
-            except Exception as e:  # a file's fault is its own row
-                out.append(Frames(p, error=str(e)))
+        for p, size in sizes(self.path, (".wav",)):
+            if size > TASK:
+                out += [Several([x]) for x in self._ranges(files, p)]
+                full = TASK
+                continue
+            own = max(OPEN, size)
+            if full + own > TASK:
+                out.append(Several([]))
+                full = 0
+            out[-1].frames.append(Frames(p))
+            full += own
         return out
 
-    def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
-        p = partition
+    def _ranges(self, files, path: str) -> list[Frames]:
+        try:
+            with files.open_input_file(path) as f:
+                _, channels, _, n = header(f)
+            frames = n // (2 * channels)
+            step = self.range * max(1, TASK // (self.range * 2 * channels))
+            return [Frames(path, a, min(frames, a + step)) for a in range(0, max(1, frames), step)]
+        except Exception as e:  # a file's fault is its own row
+            return [Frames(path, error=str(e))]
+
+    def read(self, partition: Several) -> Iterator[pa.RecordBatch]:
+        files, held, many = located(self.path)[0], [], 0
+        for p in partition.frames:
+            for row in self._rows(files, p):
+                held.append(row)
+                many += 0 if row[4] is None else len(row[4])
+                if many >= BATCH or len(held) >= BATCH:
+                    yield self._batch(held)
+                    held, many = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _rows(self, files, p: Frames) -> Iterator[tuple]:
         if p.error:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((p.path, None, None, None, None, p.error), _ARROW.types)], schema=_ARROW)
+            yield p.path, None, None, None, None, p.error
             return
-        with located(self.path)[0].open_input_file(p.path) as f:
-            f.seek(p.data + p.first * 2 * p.channels)
-            for a in range(p.first, p.last, BLOCK):
-                raw = f.read(min(BLOCK, p.last - a) * 2 * p.channels)
-                samples = np.frombuffer(raw, "<i2").astype(np.float32) / np.float32(32768)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((p.path, p.rate, p.channels, a, samples, None), _ARROW.types)], schema=_ARROW)
+        with contextlib.ExitStack() as opened:
+            try:
+                f = opened.enter_context(files.open_input_file(p.path))
+                rate, channels, data, n = header(f)
+            except Exception as e:  # a file's fault is its own row
+                yield p.path, None, None, None, None, str(e)
+                return
+            last = n // (2 * channels) if p.last is None else p.last
+            f.seek(data + p.first * 2 * channels)
+            a = p.first
+            while a < last:
+                end = min(last, a + BLOCK, a - a % self.range + self.range)
+                raw = f.read((end - a) * 2 * channels)
+                yield p.path, rate, channels, a, np.frombuffer(raw, "<i2").astype(np.float32) / np.float32(32768), None
+                a = end
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
 
 def pcm(samples: np.ndarray) -> bytes:

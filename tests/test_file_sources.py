@@ -137,3 +137,34 @@ def test_audio(spark, tmp_path):
     assert pcm == {("b", 8000, 2, 0): [32767, -32768, 32767, -32768], ("b", 8000, 2, 2): [16383, -16384], ("a", 44100, 1, 0): [0, 0]}
     faulty = spark.read.format("docloom-wav").load(str(tmp_path / "t" / "lost.wav")).collect()
     assert faulty[0]["error"] and faulty[0]["samples"] is None
+
+
+def test_short_audio_files_share_a_task_and_long_ones_are_split(spark, tmp_path, monkeypatch):
+    d = spark.range(300).select(F.col("id").cast("string").alias("name"), F.lit(8_000).alias("rate"), F.lit(1).alias("channels"), F.lit(0).alias("start"), F.array_repeat((F.col("id") / 300).cast("double"), 5).alias("samples"))
+    wav.write_wav(d, str(tmp_path / "t"))
+    read = spark.read.format("docloom-wav").option("frames", 2).load(str(tmp_path / "t"))
+    assert read.rdd.getNumPartitions() <= 3
+    found = {(int(Path(r["path"]).stem), r["start"]): [round(x * 32768) for x in r["samples"]] for r in read.collect()}
+    assert found == {(i, a): [int(i / 300 * 32767)] * n for i in range(300) for a, n in ((0, 2), (2, 2), (4, 1))}
+    monkeypatch.setattr(wav, "TASK", 16)
+    tasks = wav.WavReader({"path": str(tmp_path / "t"), "frames": "2"}).partitions()
+    assert [(x.first, x.last) for t in tasks for x in t.frames[:300]][:1] == [(0, 5)] and len(tasks) == 300  # eight frames to a task
+
+
+def test_a_commit_of_many_files_is_linear(tmp_path):
+    job = storage.Job(str(tmp_path / "t"), True)
+    looked = []
+
+    class Name(str):
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            looked.append(1)
+            return str.__eq__(self, other)
+
+    (tmp_path / "t" / f"_temporary-{job.id}").mkdir(parents=True)
+    names = [(f"m{i}", Name(f"n{i}")) for i in range(300)]
+    for made, _ in names:
+        (tmp_path / "t" / f"_temporary-{job.id}" / made).touch()
+    job.commit([storage.Written(names)])
+    assert len(looked) < 3_000 and storage.listed(str(tmp_path / "t"), ("",))[:2] == [f"{tmp_path}/t/n0", f"{tmp_path}/t/n1"]
