@@ -1,10 +1,13 @@
 """Documents, tables, comments, page layout, list labels, CSV texts: values that must come out."""
 
+import difflib
+import random
 import zipfile
 from io import BytesIO
 
 import pytest
 
+from docloom.functions import align
 from docloom.functions import documents as C
 from docloom.operators import document_queries as Q
 from docloom.operators import page_queries as P
@@ -82,3 +85,20 @@ def test_shifted_ranges(spark, skip, rows, cols, want):
     out = S.shifted_ranges(*(F.lit(x) for x in (skip, rows, cols, 0, 0)))
     r = spark.createDataFrame([(0, 0, 2, 2)], "r0 int, c0 int, r1 int, c1 int").select(*[c.alias(n) for n, c in out.items()]).first()
     assert (tuple(r)[1:] if r["kept"] else None) == want
+
+
+def test_ratio_is_difflibs():
+    r = random.Random(1)
+    for _ in range(500):
+        a, b = ("".join(r.choice("abc d") for _ in range(r.randint(0, 25))) for _ in range(2))
+        b = b if r.random() < 0.6 else "".join(x for x in a if r.random() < 0.8)
+        assert align.sequence_ratio(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def test_comments_with_a_partner_of_their_id_are_not_compared(monkeypatch):
+    looked = []
+    monkeypatch.setattr(align, "sequence_ratio", lambda a, b: looked.append((a, b)) or 0.9, raising=False)
+    before = [(str(i), "x", f"text {i}") for i in range(30)]
+    after = [(str(i) if i else "", "x", f"other {i}") for i in range(30)]
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)
+    assert C.match_comments(before, after)[1] == (1, 1) and len(looked) == 31
