@@ -33,8 +33,11 @@ _GAP = ["key", "gap"]
 _SIDE = ["side", *_GAP]
 
 
-def counted(df: DataFrame, keys: list[str], pos: str, flag: Column, name: str) -> DataFrame:
-    """df with `name`: how many rows before this one have the flag."""
+def counted(df: DataFrame, keys: list[str], pos: str, flag: Column, name: str, short: bool = False) -> DataFrame:
+    """df with `name`: how many rows before this one have the flag. short: no key has more rows than a task may sort."""
+    if short:
+        upto = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("_flag", flag.cast("long")).withColumn(name, F.sum("_flag").over(upto) - F.col("_flag")).drop("_flag")
     df = df.withColumns({"_flag": flag.cast("long"), "_range": F.floor(F.col(pos) / RANGE)})
     upto = Window.partitionBy(*keys, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,10 +171,11 @@ def _compared(lines: DataFrame) -> DataFrame:
     return lines.repartition(*_GAP).sortWithinPartitions(*_GAP, "side", "pos").mapInArrow(match, schema)
 
 
-def line_diff(before: DataFrame, after: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def line_diff(before: DataFrame, after: DataFrame, rounds: int = ROUNDS, direct: int = 0) -> DataFrame:
     """(key long, pos long, line) of both texts -> key, kind, before_pos, after_pos, line. A null line is empty.
 
     Texts that come with a gap (a string) are compared within gaps of one name only, which stand in the same order in both.
+    direct: where no gap has more lines than that, all are compared at once, exactly, each by any task.
     What comes out is read from files, so it costs little to use it several times.
     """
     spark = before.sparkSession
@@ -181,6 +185,8 @@ def line_diff(before: DataFrame, after: DataFrame, rounds: int = ROUNDS) -> Data
     text = lambda d, side: d.select(F.lit(side).alias("side"), F.col("key").cast("long").alias("key"), gap(d).alias("gap"), F.col("pos").cast("long").alias("pos"), F.coalesce("line", F.lit("")).alias("line"))
     left = stored(text(before, 0).union(text(after, 1)), f"{folder}/texts")
     out = []
+    if direct and (left.groupBy(*_GAP).count().agg(F.max("count")).first()[0] or 0) <= direct:
+        return stored(_compared(left), f"{folder}/compared")
     for r in range(rounds + 1):
         shared = stored(common(left), f"{folder}/common-{r}")
         many, once = shared.agg(F.count("*"), F.count_if("once")).first()

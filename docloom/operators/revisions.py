@@ -22,6 +22,8 @@ PIECE = r"\w+|\s+|[^\w\s]"
 #: Places that a line's pieces have: more than a text's longest line has characters. The last of them is its mark's.
 WIDTH = 1 << 31
 ORDER = ["step", "side", "place"]
+#: Where no text has more characters, both versions together, a text's rows are counted by one task; and lines or pieces compared at once.
+SHORT, DIRECT = 1 << 20, 4_096
 
 
 def _pieces(lines: DataFrame, changed: DataFrame) -> DataFrame:
@@ -36,15 +38,17 @@ def _pieces(lines: DataFrame, changed: DataFrame) -> DataFrame:
 def tracked(before: DataFrame, after: DataFrame) -> DataFrame:
     """key, step, side, place, kind (equal, deleted, added), text; in the order of step, side and place it is the document."""
     folder = scratch(before.sparkSession, "revisions")
-    diff = line_diff(before, after)
+    size = before.select("key", "line").union(after.select("key", "line")).groupBy("key").agg(F.sum(F.length(F.coalesce("line", F.lit(""))) + 1).alias("n"))
+    short = (size.agg(F.max("n")).first()[0] or 0) <= SHORT
+    diff = line_diff(before, after, direct=DIRECT)
     sides = []
     for own, gone in (("before_pos", "deleted"), ("after_pos", "added")):
         mine = diff.where(F.col("kind").isin("equal", gone)).select("key", "kind", own, F.when(F.col("kind") == gone, F.col("line")).alias("line"))
-        at = counted(mine, ["key"], own, F.col("kind") == "equal", "hunk").where(F.col("kind") == gone)
+        at = counted(mine, ["key"], own, F.col("kind") == "equal", "hunk", short).where(F.col("kind") == gone)
         sides.append(stored(at.select("key", "hunk", F.col(own).alias("pos"), "line"), f"{folder}/{gone}"))
     old, new = sides
     changed = old.select("key", "hunk").distinct().intersect(new.select("key", "hunk").distinct())
-    inner = line_diff(_pieces(old, changed), _pieces(new, changed)).select("key", "kind", "before_pos", "after_pos", F.col("line").alias("text"))
+    inner = line_diff(_pieces(old, changed), _pieces(new, changed), direct=DIRECT).select("key", "kind", "before_pos", "after_pos", F.col("line").alias("text"))
     ends = [d.join(changed, ["key", "hunk"], "left_semi").groupBy("key", "hunk").agg((F.max("pos") * WIDTH + WIDTH - 1).alias(n)) for d, n in ((old, "before_pos"), (new, "after_pos"))]
     marks = ends[0].join(ends[1], ["key", "hunk"]).select("key", F.lit("equal").alias("kind"), "before_pos", "after_pos", F.lit("\n").alias("text"))
     none, whole = F.lit(None).cast("long"), F.concat("line", F.lit("\n")).alias("text")
@@ -55,14 +59,14 @@ def tracked(before: DataFrame, after: DataFrame) -> DataFrame:
         .union(alone(new).select("key", F.lit("added"), none, F.col("pos") * WIDTH, whole))
         .union(inner).union(marks)
     )
-    return _ordered(stored(rows, f"{folder}/pieces"))
+    return _ordered(stored(rows, f"{folder}/pieces"), short)
 
 
-def _ordered(rows: DataFrame) -> DataFrame:
+def _ordered(rows: DataFrame, short: bool) -> DataFrame:
     """What is kept comes in the same order in both versions: how much of it lies before a piece, on its own side, is its step."""
     kept = F.col("kind") == "equal"
-    left = counted(rows.where("kind <> 'added'"), ["key"], "before_pos", kept, "step")
-    right = counted(rows.where("kind <> 'deleted'"), ["key"], "after_pos", kept, "step").where("kind = 'added'")
+    left = counted(rows.where("kind <> 'added'"), ["key"], "before_pos", kept, "step", short)
+    right = counted(rows.where("kind <> 'deleted'"), ["key"], "after_pos", kept, "step", short).where("kind = 'added'")
     side = F.when(kept, 2).when(F.col("kind") == "added", 1).otherwise(0)
     return left.union(right).select("key", "step", side.alias("side"), F.coalesce("before_pos", "after_pos").alias("place"), "kind", "text")
 

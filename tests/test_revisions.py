@@ -111,3 +111,18 @@ def test_small_parts_share_a_task():
     parts = [docx.TextPart(str(i), size=n) for i, n in enumerate((10, 10, 5 << 20, 10))]
     assert [[p.path for p in t.parts] for t in docx.bundled(parts, docx.TASK)] == [["0", "1"], ["2"], ["3"]]
     assert docx.bundled([], docx.TASK) == []
+
+
+def test_short_texts_take_few_stages(spark, cases):
+    found = []
+    for most in (R.SHORT, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(R, "SHORT", most)
+            m.setattr(R, "DIRECT", 4_096 if most else 0)
+            spark.sparkContext.setJobGroup(f"short-{most}", "tracked")
+            d = R.tracked(lines(spark, 0, cases), lines(spark, 1, cases))
+            totals = {r["key"]: r["text"] for accepted in (True,) for r in R.version(d, accepted).collect()}
+            tracker = spark.sparkContext.statusTracker()
+            found.append((totals, sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"short-{most}"))))
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0][0] == found[1][0] and found[0][1] < min(found[1][1], 90)
