@@ -5,7 +5,7 @@
     write_revisions(df, path)                       # df: document, step, side, place, kind, text
 
 Reading takes a partition for each part of a document that holds text (body, headers, footers, notes,
-comments), or for several small ones. Revisions are read as accepted, or as rejected with option `revisions` = `rejected`; a paragraph whose mark
+comments), or for several small ones; small documents are opened by the tasks that read them. Revisions are read as accepted, or as rejected with option `revisions` = `rejected`; a paragraph whose mark
 is gone goes on in the next one of its cell, note or part. Writing makes a document for each name: a titled section for
 each page, which begins on a new page, and a paragraph for each line; or pieces of text that are kept, deleted or added, as
 tracked changes (options `revisions` = `tracked`, `author`, `date`), a line feed being a paragraph's mark. Characters
@@ -14,6 +14,7 @@ that XML cannot hold are left out.
 
 from __future__ import annotations
 
+import functools
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -29,7 +30,7 @@ from pyspark.sql.types import StructType
 
 from docloom.session import ship
 from docloom.sources.media import is_encrypted
-from docloom.sources.storage import Job, Written, listed, located
+from docloom.sources.storage import Job, Written, located, sizes
 
 #: The format's name spaces and the parts that hold text.
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -44,12 +45,16 @@ _NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 BATCH = 5_000
 #: Bytes of XML that one task reads, if it reads several parts, and what a part counts at least.
 TASK, OPEN = 4 << 20, 128 << 10
+#: Bytes of a file that a task opens to find its parts, and how much XML a file is taken to hold for each of its bytes.
+SMALL, INFLATED = 64 << 10, 8
 #: The elements of revisions.
 REVISIONS = {"deleted": "del", "added": "ins"}
 
 
 @dataclass
 class TextPart:
+    """A part of a document; without member or error, a document whose parts are still to be found."""
+
     path: str
     section: str | None = None
     member: str | None = None
@@ -85,12 +90,18 @@ GONE = {"accepted": ("del", "moveFrom"), "rejected": ("ins", "moveTo")}
 ROOMS = ("tc", "footnote", "endnote", "comment", "body", "hdr", "ftr")
 
 
+@functools.cache
+def _tag(name: str) -> str:
+    return f"{{{W}}}{name}"
+
+
 def paragraphs(stream, view: str = "accepted") -> Iterator[tuple]:
     """(pos, text, list_level, table_ix, row_ix, col_ix, author) of a part's paragraphs, while it is being parsed.
 
     What a revision has deleted or moved away (rejected: added or moved here) is not text; separators between notes are not notes.
     """
-    tag = lambda n: f"{{{W}}}{n}"
+    tag = _tag
+    level_of, marks = f"{tag('pPr')}/{tag('numPr')}/{tag('ilvl')}", [f"{tag('pPr')}/{tag('rPr')}/{tag(n)}" for n in GONE[view]]
     gone, rooms = {tag(n) for n in GONE[view]}, {tag(n) for n in ROOMS}
     texts = {tag("t"), tag("delText")}
     tables, inside, hidden, author, pos = -1, [], 0, None, 0
@@ -123,12 +134,12 @@ def paragraphs(stream, view: str = "accepted") -> Iterator[tuple]:
             inside.pop()
             e.clear()
         elif e.tag == tag("p") and not hidden:
-            level = e.find(f"{tag('pPr')}/{tag('numPr')}/{tag('ilvl')}")
+            level = e.find(level_of)
             text = "".join(MARKS.get(x.tag) or (x.text or "" if x.tag in texts else "") for x in e.iter())
             here = (None if level is None else int(level.get(tag("val"))), *(inside[-1] if inside else (None, None, None)), author)
             whole = (begun[0] + text, *(begun[1:] if begun[0] else here)) if begun else (text, *here)
             begun = None
-            if any(e.find(f"{tag('pPr')}/{tag('rPr')}/{n}") is not None for n in gone):
+            if any(e.find(m) is not None for m in marks):
                 begun = whole
             else:
                 yield pos, *whole
@@ -144,40 +155,45 @@ class DocumentReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         out = []
-        for p in listed(self.path, (".docx", ".docm", ".doc")):
-            try:
-                with located(self.path)[0].open_input_file(p) as f:
-                    head = f.read(8)
-                    if is_encrypted(head) or p.lower().endswith(".doc"):
-                        out.append(TextPart(p, error="UNSUPPORTED_FORMAT" if p.lower().endswith(".doc") else "PASSWORD_REQUIRED"))
-                        continue
-                    f.seek(0)
-                    with zipfile.ZipFile(f) as z:
-                        out += [TextPart(p, s, m, size=z.getinfo(m).file_size) for s, m in text_parts(z.namelist())]
-            except Exception as e:  # a file's fault is its own row
-                out.append(TextPart(p, error=f"READ_FAILED: {e}"))
+        for p, size in sizes(self.path, (".docx", ".docm", ".doc")):
+            out += [TextPart(p, size=size * INFLATED)] if size <= SMALL else self._parts(p)
         return bundled(out, TASK)
 
+    def _parts(self, p: str) -> list[TextPart]:
+        try:
+            with located(self.path)[0].open_input_file(p) as f:
+                head = f.read(8)
+                if is_encrypted(head) or p.lower().endswith(".doc"):
+                    return [TextPart(p, error="UNSUPPORTED_FORMAT" if p.lower().endswith(".doc") else "PASSWORD_REQUIRED")]
+                f.seek(0)
+                with zipfile.ZipFile(f) as z:
+                    return [TextPart(p, s, m, size=z.getinfo(m).file_size) for s, m in text_parts(z.namelist())]
+        except Exception as e:  # a file's fault is its own row
+            return [TextPart(p, error=f"READ_FAILED: {e}")]
+
     def read(self, partition: TextParts) -> Iterator[pa.RecordBatch]:
-        for p in partition.parts:
-            yield from self._read(p)
+        held = []
+        for whole in partition.parts:
+            for p in [whole] if whole.member or whole.error else self._parts(whole.path):
+                for row in self._rows(p):
+                    held.append(row)
+                    if len(held) >= BATCH:
+                        yield self._batch(held)
+                        held = []
+        if held:
+            yield self._batch(held)
 
-    def _read(self, p: TextPart) -> Iterator[pa.RecordBatch]:
-        held, error = [], p.error
+    def _rows(self, p: TextPart) -> Iterator[tuple]:
+        error = p.error
         if not error:
             try:
                 with located(self.path)[0].open_input_file(p.path) as f, zipfile.ZipFile(f) as z, z.open(p.member) as part:
                     for row in paragraphs(part, self.view):
-                        held.append((p.path, p.section, p.member, *row, None))
-                        if len(held) >= BATCH:
-                            yield self._batch(held)
-                            held = []
+                        yield p.path, p.section, p.member, *row, None
             except Exception as e:
                 error = f"READ_FAILED: {e}"
         if error:
-            held.append((p.path, p.section, p.member, *[None] * 7, error))
-        if held:
-            yield self._batch(held)
+            yield p.path, p.section, p.member, *[None] * 7, error
 
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(x), k.type) for x, k in zip(zip(*rows), self.kinds)], schema=self.kinds)

@@ -126,3 +126,13 @@ def test_short_texts_take_few_stages(spark, cases):
             found.append((totals, sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"short-{most}"))))
             spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert found[0][0] == found[1][0] and found[0][1] < min(found[1][1], 90)
+
+
+def test_small_documents_are_opened_by_tasks(spark, tmp_path, monkeypatch):
+    d = spark.range(40).select(F.col("id").cast("string").alias("document"), F.lit(1).alias("page"), F.lit("T").alias("title"), F.array(F.lit("x"), F.col("id").cast("string")).alias("lines"))
+    docx.write_documents(d, str(tmp_path / "t"))
+    schema = spark.read.format("docloom-docx").load(str(tmp_path / "t")).schema
+    with monkeypatch.context() as m:
+        m.setattr(docx.zipfile, "ZipFile", None)
+        reader = docx.DocumentReader(schema, {"path": str(tmp_path / "t")})
+        assert sorted(p.path.rsplit("/", 1)[1] for t in reader.partitions() for p in t.parts if not p.error) == sorted(f"{i}.docx" for i in range(40))
