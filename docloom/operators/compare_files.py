@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.operators.line_diff import combined, line_diff
 from docloom.operators.revisions import tracked
 from docloom.sources import docx
-from docloom.sources.storage import scratch
+from docloom.sources.storage import scratch, stored
 
 
 @dataclass(frozen=True)
@@ -35,12 +35,7 @@ def compare_folders(spark: SparkSession, before: str, after: str, options: Compa
     """
     docx.register(spark)
     folder = scratch(spark, "compare")
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    read = [stored(spark.read.format("docloom-docx").load(p).withColumn("document", F.regexp_extract("path", "([^/]+)$", 1)), n) for p, n in ((before, "before"), (after, "after"))]
+    read = [stored(spark.read.format("docloom-docx").load(p).withColumn("document", F.regexp_extract("path", "([^/]+)$", 1)), f"{folder}/{n}") for p, n in ((before, "before"), (after, "after"))]
     errors = [d.where("error IS NOT NULL").select("document", F.lit(n).alias("side"), "error") for d, n in zip(read, ("before", "after"))]
     faulty = errors[0].union(errors[1])
     taken = F.lit(True)
@@ -50,7 +45,7 @@ def compare_folders(spark: SparkSession, before: str, after: str, options: Compa
         taken &= F.col("section") == "body"
     texts = [d.where(taken).join(faulty.select("document").distinct(), "document", "left_anti").select("document", "section", "part", "pos", "text") for d in read]
     names = texts[0].select("document", "section", "part").union(texts[1].select("document", "section", "part")).distinct()
-    names = stored(names.withColumn("key", F.monotonically_increasing_id()), "names")  # numbers stay as they are once stored
+    names = stored(names.withColumn("key", F.monotonically_increasing_id()), f"{folder}/names")  # numbers stay as they are once stored
     lines = [t.join(names, ["document", "section", "part"]).select("key", "pos", F.col("text").alias("line")) for t in texts]
     changes = names.join(combined(line_diff(*lines)), "key").drop("key")
     if options.tracked:
