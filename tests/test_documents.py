@@ -102,3 +102,10 @@ def test_comments_with_a_partner_of_their_id_are_not_compared(monkeypatch):
     after = [(str(i) if i else "", "x", f"other {i}") for i in range(30)]
     monkeypatch.setattr(difflib, "SequenceMatcher", None)
     assert C.match_comments(before, after)[1] == (1, 1) and len(looked) == 31
+
+
+def test_texts_are_folded_once_not_for_every_pair(monkeypatch):
+    looked, plain = [], align.folded
+    monkeypatch.setattr(align, "folded", lambda t: looked.append(t) or plain(t))
+    before, after = [f"line {i} of  Text" for i in range(20)], [f"Line {i} of text!" for i in range(20)]
+    assert align.align(before, after) == [(i, i) for i in range(20)] and len(looked) == 40
